@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import exact_dedup, fingerprints, licenses, line_dedup, packing, pii, preference, sentencepiece_nbest
+from weftline.llm import exact_dedup, fingerprints, licenses, line_dedup, ngram_join, packing, pii, preference, quality, sentencepiece_nbest
 from weftline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_nbest.segment_digests(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.neighbours(table(spark, sf_dir, "conversations"))
 
@@ -58,9 +66,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     op1_license_scan,
+    op2_ngram_jaccard_join,
     op3_line_dedup,
     op4_best_fit_packing,
     op5_sentencepiece,
+    op6_quality_classifier,
     op7_chat_preferences,
     op8_fingerprints,
     op9_pii,
@@ -74,6 +84,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_ngram_jaccard_join": ngram_join.ORACLE_SQL,
         "op3_line_dedup": line_dedup.ORACLE_SQL,
         "op7_chat_preferences": preference.ORACLE_SQL,
         "op9_pii": pii.ORACLE_SQL,
