@@ -75,9 +75,10 @@ def exact_duplicates(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     salted = _combine(salted, "digest", "salt").select("uid", "id", "digest", "content", F.col("best.uid").alias("salt_uid"), "total")
     winners = salted.filter("uid = salt_uid").select("uid", "id", "digest", "content", F.col("total").alias("n")).repartition("digest")
     kept = _combine(winners, "digest").select(
-        F.col("uid").alias("salt_uid"), F.col("best.id").alias("keep_id"), F.col("best.uid").alias("keep_uid"), F.col("total").alias("group_size")
+        F.col("uid").alias("salt_uid"), F.col("n").alias("total"), F.col("best.id").alias("keep_id"), F.col("best.uid").alias("keep_uid"), F.col("total").alias("group_size")
     )
-    places = salted.select(F.col("uid").alias("local_uid"), "salt_uid").join(kept, "salt_uid").drop("salt_uid")
+    # Joined on total, too, so that both sides read the same columns of the salted stage: then Spark shuffles its texts once.
+    places = salted.select(F.col("uid").alias("local_uid"), "salt_uid", "total").join(kept, ["salt_uid", "total"]).drop("salt_uid", "total")
 
     def known(c: str) -> Column:
         return F.when(F.col(c) != NO_ID, F.col(c))
