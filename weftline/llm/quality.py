@@ -16,7 +16,9 @@ as they are: each row counts and is scored.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
+from operator import eq
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -30,35 +32,38 @@ TARGETS = ("good", "toxic")
 _UPPER, _DIGIT = bytes(range(65, 91)), bytes(range(48, 58))
 _SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,'-!|\"():;?")
 _SPLIT = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lower()
-SURFACE = 12
+_STEMS = (5, 6, 7)
 
 
 def words_of(text: bytes) -> set[bytes]:
-    return set(text.translate(_SPLIT).lower().split())
+    """Distinct words, and their stems: the first bytes of longer words, marked."""
+    words = set(text.translate(_SPLIT).lower().split())
+    stems = [{w[:n] + b"~" for w in words if len(w) > n} for n in _STEMS]
+    return words.union(*stems)
 
 
 def surface(text: bytes) -> list[float]:
     """Shares of kinds of characters, and how words and lines run; each about 0 to 1."""
     size, tokens = max(len(text), 1), text.split()
-    without = lambda chars: (size - len(text.translate(None, chars)) - (not text)) / size
+    share = lambda chars: (len(text) - len(text.translate(None, chars))) / size
     lines = text.split(b"\n")
     many = max(len(tokens), 1)
+    shares = [share(_UPPER), share(_DIGIT), share(_SIGNS), share(b"!"), share(b"|"), sum(map(eq, tokens, tokens[1:])) / many]
     return [
         1.0,
-        without(_UPPER),
-        without(_DIGIT),
-        min(1.0, 5 * without(_SIGNS)),
-        min(1.0, 5 * without(b"!")),
-        min(1.0, 5 * without(b"|")),
+        *shares,
+        *map(math.sqrt, shares),
         len(set(tokens)) / many,
         len(set(lines)) / max(len(lines), 1),
         min(1.0, len(text) / many / 20),
-        min(1.0, np.log1p(len(tokens)) / 10),
-        sum(map(text.count, (b"\n-", b"\n*", b"{", b"}", b"<", b">"))) / many,
+        math.log1p(len(tokens)) / 10,
         min(1.0, text.count(b"\n") / many),
     ]
 
 
+SURFACE = len(surface(b""))
+
+
 @dataclass
 class Evidence:
     """The fitted classifiers: for each target, weights of words that tell, and of the surface with the sum of these."""
@@ -66,35 +71,41 @@ class Evidence:
     words: dict[str, dict[bytes, float]] = field(default_factory=dict)
     weights: dict[str, np.ndarray] = field(default_factory=dict)
 
-    def features(self, target: str, text: bytes, words: set[bytes], shape: list[float]) -> list[float]:
-        told = self.words[target]
-        found = [told[w] for w in words & told.keys()]
-        return [*shape, sum(found), max(found, default=0.0), min(found, default=0.0)]
-
     def log_odds(self, text: bytes) -> tuple[float, float]:
         words, shape = words_of(text), surface(text)
-        return tuple(float(np.clip(self.weights[t] @ self.features(t, text, words, shape), -12, 12)) for t in TARGETS)
-
-
-def _informative(present: list[set[bytes]], y: np.ndarray, most: int = 400) -> dict[bytes, float]:
-    """Log odds ratios, smoothed, of the words that differ beyond chance between the classes."""
-    counts: dict[bytes, list[int]] = {}
-    for words, label in zip(present, y, strict=True):
-        for w in words:
-            counts.setdefault(w, [0, 0])[int(label)] += 1
-    total = np.bincount(y.astype(int), minlength=2)
-    out = {}
-    for w, (a, b) in counts.items():
-        if a + b >= 5:
-            ratio = np.log((b + 0.5) / (total[1] - b + 0.5)) - np.log((a + 0.5) / (total[0] - a + 0.5))
-            error = np.sqrt(1 / (b + 0.5) + 1 / (total[1] - b + 0.5) + 1 / (a + 0.5) + 1 / (total[0] - a + 0.5))
-            if abs(ratio) > 4 * error:
-                out[w] = (abs(ratio) / error, float(ratio))
-    best = sorted(out.items(), key=lambda x: (-x[1][0], x[0]))[:most]
-    return {w: ratio for w, (_, ratio) in best}
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40) -> np.ndarray:
+        out = []
+        for t in TARGETS:
+            told = self.words[t]
+            out.append(float(np.clip(self.weights[t] @ _features(shape, words, {w: told[w] for w in words & told.keys()}), -12, 12)))
+        return tuple(out)
+
+
+def _features(shape: list[float], words: set[bytes], found: dict[bytes, float]) -> list[float]:
+    """The surface, then what the terms found weigh, and how many words hold one that speaks for the target."""
+    told = [w for w, weight in found.items() if weight > 0]
+    stems = {w for w in told if w[-1:] == b"~"}
+    held = sum(1 for w in words if w[-1:] != b"~" and (w in found and found[w] > 0 or stems and any(w[:n] + b"~" in stems for n in _STEMS if len(w) > n))) if told else 0
+    weights = found.values()
+    return [*shape, sum(weights) / 10, max(weights, default=0.0) / 5, min(weights, default=0.0) / 5, math.log1p(held), float(held > 1)]
+
+
+def _informative(rows: list[np.ndarray], y: np.ndarray, terms: int, most: int = 80) -> np.ndarray:
+    """A weight for each term: its log odds ratio, smoothed, where the classes differ in it beyond chance, and else 0.
+
+    Beyond chance: by a likelihood ratio test whose bar rises with the number of terms that are tried.
+    """
+    a, b = (np.bincount(np.concatenate([r for r, label in zip(rows, y, strict=True) if label == k] or [[]]).astype(int), minlength=terms).astype(float) for k in (0, 1))
+    n0, n1 = (y == 0).sum(), (y == 1).sum()
+    share = (a + b) / (n0 + n1)
+    part = lambda o, e: np.where(o > 0, o * np.log(np.maximum(o, 1e-9) / np.maximum(e, 1e-9)), 0.0)
+    g = 2 * (part(b, n1 * share) + part(a, n0 * share) + part(n1 - b, n1 * (1 - share)) + part(n0 - a, n0 * (1 - share)))
+    ratio = np.log((b + 0.5) / (n1 - b + 0.5)) - np.log((a + 0.5) / (n0 - a + 0.5))
+    g[a + b < 4] = 0
+    bar = max(2 * np.log(max(terms, 1)) + 2, np.sort(g)[-most] if terms > most else 0.0)
+    return np.where(g > bar, ratio, 0.0)
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 40) -> np.ndarray:
     """Newton's method with a ridge on all but the first weight."""
     w = np.zeros(x.shape[1])
     hold = np.full(x.shape[1], ridge)
@@ -109,20 +120,27 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40)
 
 
 def fit(texts: list[bytes], labels: dict[str, np.ndarray]) -> Evidence:
-    """Two classifiers; the words are chosen on one half of the rows and weighed on the other, then chosen on all.
+    """Two classifiers. Each half of the rows is weighed with words chosen on the other half; then words are chosen on all.
 
     A target of one class alone (or no rows at all) gets a constant.
     """
-    made, present, shapes = Evidence(), [words_of(t) for t in texts], [surface(t) for t in texts]
+    made, shapes, index = Evidence(), [surface(t) for t in texts], {}
+    rows = [np.fromiter((index.setdefault(w, len(index)) for w in sorted(words_of(t))), np.int64) for t in texts]
     for target in TARGETS:
         y = labels[target]
         if len(y) < 8 or not 0 < y.sum() < len(y):
             made.words[target] = {}
-            made.weights[target] = np.array([8.0 * (np.mean(y) - 0.5) if len(y) else (2.0 if target == "good" else -4.0)] + [0.0] * (SURFACE + 2))
+            made.weights[target] = np.array([8.0 * (np.mean(y) - 0.5) if len(y) else (2.0 if target == "good" else -4.0)] + [0.0] * (SURFACE + 4))
             continue
-        made.words[target] = _informative(present[::2], y[::2])
-        rows = np.array([made.features(target, texts[i], present[i], shapes[i]) for i in range(1, len(texts), 2)])
-        made.weights[target] = _logistic(rows, y[1::2])
+        x = np.zeros((len(rows), SURFACE + 5))
+        for half in (0, 1):
+            told = _informative(rows[1 - half :: 2], y[1 - half :: 2], len(index))
+            for i in range(half, len(rows), 2):
+                words = words_of(texts[i])
+                x[i] = _features(shapes[i], words, {w: float(told[index[w]]) for w in words if told[index[w]]})
+        made.weights[target] = _logistic(x, y)
+        told = _informative(rows, y, len(index))
+        made.words[target] = {w: float(told[i]) for w, i in index.items() if told[i]}
     return made
 
 
