@@ -190,7 +190,7 @@ def site_priors(scored: DataFrame) -> tuple[DataFrame, dict[str, float]]:
         for t, c in sums.items():
             m = mean[t]
             excess = F.col(n) * F.pow(F.col(c) / F.col(n) - m, 2) - m * (1 - m)
-            parts.append((F.sum(excess) / (F.sum(n) - F.sum(F.pow(F.col(n), 2)) / F.sum(n))).alias(t))
+            parts.append(F.try_divide(F.sum(excess), F.sum(n) - F.try_divide(F.sum(F.pow(F.col(n), 2)), F.sum(n))).alias(t))
         got = groups.agg(*parts).first()
         out = {}
         for t in sums:
