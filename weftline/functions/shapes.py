@@ -85,7 +85,10 @@ def moved(vertices: Column, t: Column) -> Column:
 
 
 def bounds(vertices: Column) -> Column:
-    side = lambda f: F.array(*[f(F.transform(vertices, lambda v, k=k: v[k])) for k in range(3)])
+    def along(k: int) -> Column:
+        return F.transform(vertices, lambda v: v[k])
+
+    side = lambda f: F.array(*[f(along(k)) for k in range(3)])
     return F.struct(side(F.array_min).alias("lo"), side(F.array_max).alias("hi"))
 
 
