@@ -12,11 +12,11 @@ from weftline.session import table
 
 @query(
     """SELECT ds, lang, count(*) AS n, count(text) AS n_text FROM (
-      SELECT 'pv' AS ds, lang, text FROM documents UNION ALL SELECT 'hy3d', NULL, text FROM conversations) GROUP BY ds, lang"""
+      SELECT 'first' AS ds, lang, text FROM documents UNION ALL SELECT 'second', NULL, text FROM conversations) GROUP BY ds, lang"""
 )
 def library_union_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("lang", "text")
-    both = keyed.tagged_union({"pv": docs, "hy3d": table(spark, sf_dir, "conversations").select("text")})
+    both = keyed.tagged_union({"first": docs, "second": table(spark, sf_dir, "conversations").select("text")})
     return both.groupBy("ds", "lang").agg(F.count("*").alias("n"), F.count("text").alias("n_text"))
 
 
