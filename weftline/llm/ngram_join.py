@@ -8,11 +8,15 @@ is a hash of the set, so copies need not be expanded). Two nodes are linked when
    few candidates.
 2. A second pass writes the prefix of each node: of n shingles, the first n - ceil(percent * n / 100) + 1, which linked
    nodes share at least one of. Prefix rows whose shingle only one node has are dropped; nothing else can be a candidate.
-3. *Stars.* For each shared prefix shingle and length band, the smallest node is compared with the others: in a group of near
-   copies that links all at once, without its pairs. Pairs pass the length and positional filters, each is verified once, on the
-   whole sets, after the suffix filter. Linked nodes form components.
-4. *Rest.* Wherever a prefix shingle is still shared by different components, all its pairs of different components, not
-   seen before, pass the filters and are verified. Then no link between different components is left, so components are final.
+3. *Stars.* For each shared prefix shingle and length band, the most central node (the one that shares most of its prefix with
+   others) is compared with the rest: in a group of near copies that links all at once, without its pairs. Pairs pass the length,
+   positional and parity filters, each is verified once, on the whole sets, after the suffix filter. Linked nodes form components.
+4. *Rest.* Wherever a prefix shingle is still shared by different components, those of its nodes that are not in the component of
+   its centre are compared with all its nodes of other components, by the same filters, and what was not seen before is verified.
+   Then no link between different components is left, so components are final.
+
+The parity filter holds 512 bits a node, each the parity of the shingles that hash to it: two sets differ in at least as many
+shingles as their bits do, so a pair that differs in too many can't be a link. It spares the sets of nearly all other pairs.
 
 A link inside a component that steps 3 and 4 did not need is not listed, but none that joins components is lost. Sets are
 made from the texts again for those nodes that are in a candidate pair; no pass holds the sets of all documents.
@@ -31,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import batches_of, bounded_batches, checkpoint_dir, cut, text_bytes
+from weftline.llm.common import batches_of, bounded_batches, checkpoint_dir, cut, remove, text_bytes
 from weftline.llm.components import connected
 
 SKETCH_BITS = 20
@@ -107,7 +111,17 @@ def _intersection(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.count_nonzero(x[at] == y)) if len(x) else 0
 
 
-_COUNTED = pa.schema([("id", pa.int64()), ("tie", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("chunk", pa.int32()), ("counts", pa.binary())])
+PARITY = [f"p{k}" for k in range(8)]
+_COUNTED = pa.schema(
+    [("id", pa.int64()), ("tie", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), *((p, pa.int64()) for p in PARITY), ("chunk", pa.int32()), ("counts", pa.binary())]
+)
+_COUNTED_DDL = f"id long, tie long, node long, n int, {', '.join(p + ' long' for p in PARITY)}, chunk int, counts binary"
+
+
+def parity(hashes: np.ndarray) -> list[int]:
+    bits = np.bincount((hashes & np.uint64(511)).astype(np.int64), minlength=512) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
+
 
 
 def _buckets(hashes: np.ndarray) -> np.ndarray:
@@ -125,7 +139,7 @@ def _count(width: int):
                     found = shingles(text, width)
                     held.append(_buckets(found))
                     size += len(found)
-                    yield doc, tie, node_of(found), len(found), None, None
+                    yield doc, tie, node_of(found), len(found), *parity(found), None, None
                 if size > 1 << 19:
                     counts[:] += np.bincount(np.concatenate(held), minlength=len(counts)).astype(np.uint32)
                     held, size = [], 0
@@ -133,7 +147,7 @@ def _count(width: int):
                 counts[:] += np.bincount(np.concatenate(held), minlength=len(counts)).astype(np.uint32)
             for k, part in enumerate(counts.reshape(CHUNKS, -1)):
                 if part.any():
-                    yield None, None, None, None, k, zlib.compress(part.tobytes(), 1)
+                    yield *[None] * (4 + len(PARITY)), k, zlib.compress(part.tobytes(), 1)
 
         yield from batches_of(rows(), _COUNTED, 16384)
 
@@ -236,21 +250,31 @@ class NgramJoin:
         df.write.parquet(f"{self.folder}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 
+    def _drop(self, *names: str) -> None:
+        """Removes tables that nothing reads any more."""
+        for name in names:
+            remove(self.spark, f"{self.folder}/{name}")
+
     def run(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Documents (id, node, n), components of linked nodes (node, root), and the links found (a, b)."""
-        counted = self._stored(self.rows.mapInArrow(_count(self.width), "id long, tie long, node long, n int, chunk int, counts binary"), "counted")
+        counted = self._stored(self.rows.mapInArrow(_count(self.width), _COUNTED_DDL), "counted")
         documents = counted.filter("chunk is null").select("id", "tie", "node", "n")
         frequency = self.spark.sparkContext.broadcast(_gathered(counted))  # of a fixed size
         prefix = self.rows.select("text").mapInArrow(_prefixes(self.width, self.percent, frequency), "token long, node long, n int, place int")
         prefix = self._stored(prefix, "prefix")
         several = prefix.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("token")
-        shared = self._stored(prefix.join(several, "token").distinct(), "shared")
+        shared = prefix.join(several, "token")
+        central = shared.groupBy("node").agg((F.count("*") / F.max(F.col("n") - F.ceil(self.percent * F.col("n") / 100) + 1)).alias("central"))
+        shared = self._stored(shared.join(central, "node"), "shared")
+        self._drop("prefix")
+        nodes = self._stored(counted.filter("n > 0").select("node", *PARITY).dropDuplicates(["node"]), "nodes")
 
-        stars = self._stored(self._stars(shared), "stars")
+        stars = self._stored(self._may_link(self._stars(shared), nodes), "stars")
         links = self._stored(self._verify(documents, stars), "star_links")
         roots = connected(links)
-        rest = self._stored(self._rest(shared, roots, stars), "rest")
+        rest = self._stored(self._rest(shared, roots, stars, nodes), "rest")
         more = self._stored(self._verify(documents, rest), "rest_links")
+        self._drop("shared", "nodes", "stars", "rest", "sets")
         links = links.union(more)
         return documents, connected(links), links
 
@@ -265,19 +289,39 @@ class NgramJoin:
         ahead = 1 + F.least(n_a - at_a, n_b - at_b) - 1 + F.least(at_a, at_b)
         return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * self.percent) & (ahead >= needed)
 
+    def _differ_little(self, a: str, b: str):
+        """The parity filter."""
+        n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
+        most = n_a + n_b - 2 * F.ceil(self.percent * (n_a + n_b) / (100 + self.percent) - 1e-9)
+        apart = sum((F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in PARITY), F.lit(0))
+        return apart <= most
+
     def _stars(self, shared: DataFrame) -> DataFrame:
+        """(a, b, n of both): each node with the centres of its bands."""
         banded = shared.withColumn("band", self._band(F.col("n")))
-        centres = banded.groupBy("token", "band").agg(F.min(F.struct("node", "n", "place")).alias("c")).select("token", "band", "c.*")
+        centres = banded.groupBy("token", "band").agg(F.max(F.struct("central", "node", "n", "place")).alias("c")).select("token", "band", "c.*")
         near = centres.select("token", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), "node", "n", "place")
         pairs = banded.alias("m").join(near.alias("c"), ["token", "band"]).filter(F.col("m.node") != F.col("c.node")).filter(self._passes("m", "c"))
-        return pairs.select(F.col("c.node").alias("a"), F.col("m.node").alias("b")).distinct()
-
-    def _rest(self, shared: DataFrame, roots: DataFrame, stars: DataFrame) -> DataFrame:
+        low = F.col("c.node") < F.col("m.node")
+        ends = [F.when(low, F.col(f"c.{c}")).otherwise(F.col(f"m.{c}")) for c in ("node", "n")] + [F.when(low, F.col(f"m.{c}")).otherwise(F.col(f"c.{c}")) for c in ("node", "n")]
+        return pairs.select(F.col("c.node").alias("centre"), *[e.alias(c) for e, c in zip(ends, ("a", "n_a", "b", "n_b"), strict=True)]).dropDuplicates(["a", "b"])
+
+    def _may_link(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Those star pairs that the parity filter lets through, the centre first."""
+        left = nodes.withColumnRenamed("node", "a").withColumn("x", F.struct(*PARITY)).select("a", "x")
+        right = nodes.withColumnRenamed("node", "b").withColumn("y", F.struct(*PARITY)).select("b", "y")
+        both = pairs.join(left, "a").join(right, "b").select("a", "b", "centre", F.struct("x.*", F.col("n_a").alias("n")).alias("x"), F.struct("y.*", F.col("n_b").alias("n")).alias("y"))
+        kept = both.filter(self._differ_little("x", "y"))
+        return kept.select(F.col("centre").alias("a"), F.when(F.col("centre") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("b"))
+
+    def _rest(self, shared: DataFrame, roots: DataFrame, stars: DataFrame, nodes: DataFrame) -> DataFrame:
         rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        split = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
-        left = cut(rooted.join(split, "token"))
-        pairs = left.alias("x").join(left.alias("y"), "token").filter((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))).filter(self._passes("x", "y"))
-        pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+        told = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.struct("central", "node", "root")).alias("c"))
+        split = told.filter("low < high").select("token", F.col("c.root").alias("main"))
+        left = cut(rooted.join(split, "token").join(nodes, "node").drop("central"))
+        odd, all_ = left.filter("root <> main").alias("x"), left.drop("main").alias("y")
+        pairs = odd.join(all_, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & self._passes("x", "y") & self._differ_little("x", "y"))
+        pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         known = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         return pairs.join(known, ["a", "b"], "left_anti")
 
@@ -285,7 +329,7 @@ class NgramJoin:
         """(node, hashes) for nodes, each from one document that has it."""
         one = documents.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "tie")).alias("one")).select("node", "one.*")
         texts = self._some_rows(one).join(one, ["id", "tie"]).select("node", "text")
-        return texts.mapInArrow(_sets_of(self.width), "node long, hashes binary").dropDuplicates(["node"])
+        return texts.mapInArrow(_sets_of(self.width), "node long, hashes binary")
 
     def _some_rows(self, wanted: DataFrame) -> DataFrame:
         """Those rows that may be wanted, by a filter of fixed size, so that not all texts are shuffled for the join that follows."""
@@ -319,7 +363,7 @@ class NgramJoin:
         """Those pairs (a, b) that are links. The set of a goes once to each salt of its partners; sets of partners stream past it."""
         salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        sets = self._stored(self._sets(documents, nodes), f"sets-{uuid.uuid4().hex[:8]}")
+        sets = self._stored(self._sets(documents, nodes), f"sets/{uuid.uuid4().hex[:8]}")
         leads = salted.select("a", "salt").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "hashes")
         members = salted.join(sets.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "hashes")
         dealt = leads.union(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
