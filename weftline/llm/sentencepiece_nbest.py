@@ -23,6 +23,7 @@ import heapq
 import math
 import zlib
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +34,16 @@ from pyspark.sql import functions as F
 from weftline.llm.common import batches_of, bounded_batches, text_bytes
 
 NBEST = 3
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 _CHUNK = regex.compile(r" ?\p{L}+| ?[^\p{L} \n]+| |\n")
 
 Segmentation = tuple[float, list[int]]
 Entry = tuple[bytes, float, float]
 
 
+_reach = itemgetter(0)
+
+
 class Vocabulary:
     def __init__(self, path: str):
         import sentencepiece
@@ -64,45 +68,47 @@ class Vocabulary:
         norm = math.log(sum(1 / (k + 1) for k in range(len(order))))
         self.score = {i: -math.log(k + 1) - norm for k, i in enumerate(order)}
         self.spelled = min(self.score.values()) - 10
-        self.edges = {p: (self.score[i], (i,)) for p, i in self.ids.items()}
-        self.starts = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
+        #: Pieces have their edge here, and what only begins a piece has nothing in it.
+        self.edges: dict[str, tuple] = {p[:n]: () for p in self.ids for n in range(1, len(p))}
+        self.edges |= {p: (self.score[i], (i,)) for p, i in self.ids.items()}
         self.known: dict[str, Entry] = {}  # by what follows a space
         self.inner: dict[str, Entry] = {}
+        self.deep: dict[tuple[str, int], list[Segmentation]] = {}
 
     def lattice(self, text: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For each place in text, the edges that end there: (start, score, ids)."""
-        edges, starts, size = self.edges, self.starts, len(text)
+        edges, size = self.edges, len(text)
         into: list[list] = [[] for _ in range(size + 1)]
         for start in range(size):
-            end, alone = start, text[start] not in edges
-            while end < size:
-                end += 1
-                part = text[start:end]
-                if part in edges:
-                    into[end].append((start, *edges[part]))
-                elif part not in starts:
+            for end in range(start + 1, size + 1):
+                edge = edges.get(text[start:end])
+                if edge:
+                    into[end].append((start, *edge))
+                elif edge is None:
                     break
-            if alone:
+            if not edges.get(text[start]):
                 spelled = tuple(self.bytes[b] for b in text[start].encode("utf-8", "surrogatepass"))
                 into[start + 1].append((start, self.spelled * len(spelled), spelled))
         return into
 
     def best(self, text: str, n: int) -> list[Segmentation]:
         """The n best segmentations of one lattice, best first."""
-        into = self.lattice(text)
-        forward = [0.0]
-        for edges in into[1:]:
-            forward.append(max([forward[start] + score for start, score, _ in edges]))
+        into, forward, ways = self.lattice(text), [0.0], [[]]
+        for edges in into[1:]:  # of the edges into a place, no more than the n best can be in the n best
+            reached = [(forward[start] + score, start, score, ids) for start, score, ids in edges]
+            if len(reached) > 1:
+                reached.sort(key=_reach, reverse=True)
+            forward.append(reached[0][0])
+            ways.append(reached[:n])
         found: list[Segmentation] = []
         queue = [(-forward[-1], 0, len(text), 0.0, None)]  # less the whole score, order of entry, place, score behind, path behind
         entered, push, pop = 0, heapq.heappush, heapq.heappop
         while queue:
             _, _, at, behind, path = pop(queue)
             if at:
-                for start, score, ids in into[at]:
+                for reach, start, score, ids in ways[at]:
                     entered += 1
-                    score += behind
-                    push(queue, (-forward[start] - score, entered, start, score, (ids, path)))
+                    push(queue, (-reach - behind, entered, start, behind + score, (ids, path)))
                 continue
             out: list[int] = []
             while path:
@@ -132,6 +138,12 @@ class Vocabulary:
             self.known[word] = entry
         return entry
 
+    def _deeper(self, word: str, n: int) -> list[Segmentation]:
+        if len(self.deep) >= REMEMBERED // 10:
+            self.deep.clear()
+        out = self.deep[word, n] = self.best(" " + word, n)
+        return out
+
     def encode(self, text: str, n: int = 1) -> list[tuple[float, bytes]]:
         """The n best segmentations of a text: score, and ids as little-endian unsigned 32-bit numbers."""
         if not text:
@@ -151,7 +163,7 @@ class Vocabulary:
             if left[k] == math.inf:
                 break
             left[k] = math.inf
-            others[k] = self.best(" " + words[k], n)
+            others[k] = self.deep.get((words[k], n)) or self._deeper(words[k], n)
             top = others[k][0][0]
             ways = heapq.nsmallest(n, [(w + top - s, (*c, (k, i)) if i else c) for w, c in ways for i, (s, _) in enumerate(others[k])])
         for loss, changes in ways[1:]:
