@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import numpy as np
 from helpers import DOCS, clashing, docs
 from weftline.llm.quality import classify, fit, sample, score_documents, site_priors
@@ -39,3 +41,26 @@ def test_rows_and_columns_stay_whole(spark):
     assert score_documents(empty, none).count() == 0 and classify(empty, none).count() == 0
     clash = clashing(spark).withColumnsRenamed({"key": "source", "token": "lang"})
     assert classify(clash, none).select("row.*").columns == clash.columns
+
+
+def test_all_telling_terms_count_in_each_language():
+    """Words of a rarer language tell less each, and there are more telling words than 80."""
+    rng = random.Random(2)
+    plain = {lang: [f"{lang}{i}" for i in range(40)] for lang in ("en", "es")}
+    foul = {lang: [f"{lang}z{i}" for i in range(60)] for lang in ("en", "es")}
+    rows = [(lang, toxic) for lang, n in (("en", 300), ("es", 120)) for toxic in (0, 1) for _ in range(n)]
+    texts_of = [" ".join(rng.sample(plain[lang], 20) + (rng.sample(foul[lang], 20) if toxic else rng.sample(plain[lang], 20))).encode() for lang, toxic in rows]
+    toxic = np.array([float(t) for _, t in rows])
+    half = np.arange(len(rows)) % 2 == 0
+    made = fit([t for t, h in zip(texts_of, half, strict=True) if h], {"good": np.ones(half.sum()), "toxic": toxic[half]})
+    assert {w.encode() for words in foul.values() for w in words} <= made.words["toxic"].keys()
+    for lang in ("en", "es"):
+        held_out = [t for t, (of, bad), h in zip(texts_of, rows, half, strict=True) if of == lang and bad and not h]
+        assert np.mean([made.log_odds(t)[1] > 0 for t in held_out]) > 0.95
+
+
+def test_toxic_recall_per_language(spark):
+    frame, labels = (spark.read.parquet(f"{BIG}/{t}.parquet") for t in ("documents", "labels"))
+    odd = labels.filter("doc_id % 2 = 1 and toxic = 1")
+    told = score_documents(frame, labels.filter("doc_id % 2 = 0")).join(odd, "doc_id").join(frame.select("doc_id", "lang"), "doc_id").toPandas()
+    assert set(told.lang) == {"en", "de", "fr", "es"} and ((~told.keep).groupby(told.lang).mean() > 0.8).all()

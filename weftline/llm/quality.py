@@ -89,7 +89,7 @@ def _features(shape: list[float], words: set[bytes], found: dict[bytes, float])
     return [*shape, sum(weights) / 10, max(weights, default=0.0) / 5, min(weights, default=0.0) / 5, math.log1p(held), float(held > 1)]
 
 
-def _informative(rows: list[np.ndarray], y: np.ndarray, terms: int, most: int = 80) -> np.ndarray:
+def _informative(rows: list[np.ndarray], y: np.ndarray, terms: int) -> np.ndarray:
     """A weight for each term: its log odds ratio, smoothed, where the classes differ in it beyond chance, and else 0.
 
     Beyond chance: by a likelihood ratio test whose bar rises with the number of terms that are tried.
@@ -101,8 +101,7 @@ def _informative(rows: list[np.ndarray], y: np.ndarray, terms: int, most: int =
     g = 2 * (part(b, n1 * share) + part(a, n0 * share) + part(n1 - b, n1 * (1 - share)) + part(n0 - a, n0 * (1 - share)))
     ratio = np.log((b + 0.5) / (n1 - b + 0.5)) - np.log((a + 0.5) / (n0 - a + 0.5))
     g[a + b < 4] = 0
-    bar = max(2 * np.log(max(terms, 1)) + 2, np.sort(g)[-most] if terms > most else 0.0)
-    return np.where(g > bar, ratio, 0.0)
+    return np.where(g > 2 * np.log(max(terms, 1)) + 2, ratio, 0.0)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 40) -> np.ndarray:
