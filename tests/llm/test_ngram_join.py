@@ -7,7 +7,8 @@ from helpers import DOCS, clashing, docs
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from weftline.llm.components import connected
-from weftline.llm.ngram_join import near_duplicates, overlap_needed, suffix_bound, without_near_duplicates
+from weftline.llm import ngram_join
+from weftline.llm.ngram_join import near_duplicates, near_links, overlap_needed, suffix_bound, without_near_duplicates
 
 
 def sets(text, width):
@@ -67,6 +68,23 @@ def test_against_all_pairs(spark):
         assert sorted(map(tuple, found.collect()), key=str) == brute(rows, width, percent)
 
 
+def test_all_links_are_counted_and_listed(spark, monkeypatch):
+    """Also links between copies of a centre, in blocks of few nodes."""
+    rows = corpus()
+    base = [f"w{i}" for i in range(60)]
+    rows += [(1000 + k, " ".join([*base[:k], f"x{k}", *base[k:]]), "en", "s", 1) for k in range(0, 60, 3)]
+    for block, width, percent in ((256, 4, 85), (3, 2, 60)):
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
+        made = {r[0]: frozenset(sets(r[1], width)) for r in rows}
+        texts = sorted({s for s in made.values() if s}, key=sorted)
+        links = {frozenset((x, y)) for i, x in enumerate(texts) for y in texts[:i] if 100 * len(x & y) >= percent * len(x | y)}
+        found = near_duplicates(docs(spark, rows), width, percent).collect()
+        class_of = {r.class_id: made[r.doc_id] for r in found if r.n_shingles}
+        assert {r.doc_id: r.n_links for r in found} == {doc: sum(s in pair for pair in links) for doc, s in made.items()}
+        listed = [frozenset((class_of[r.a], class_of[r.b])) for r in near_links(docs(spark, rows), width, percent).collect()]
+        assert len(listed) == len(links) and set(listed) == links
+
+
 def test_odd_rows(spark):
     frame = docs(spark)
     rows = [tuple(r) for r in frame.collect()]

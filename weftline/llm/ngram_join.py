@@ -18,8 +18,11 @@ is a hash of the set, so copies need not be expanded). Two nodes are linked when
 The parity filter holds 512 bits a node, each the parity of the shingles that hash to it: two sets differ in at least as many
 shingles as their bits do, so a pair that differs in too many can't be a link. It spares the sets of nearly all other pairs.
 
-A link inside a component that steps 3 and 4 did not need is not listed, but none that joins components is lost. Sets are
-made from the texts again for those nodes that are in a candidate pair; no pass holds the sets of all documents.
+5. *All links.* Every link lies inside a component, so all pairs of a component's nodes that are in neighbouring size bands are
+compared, on the whole sets. Large components are dealt out in pairs of blocks of about BLOCK nodes, so that no task holds one whole
+and a set is sent once a block, not once a pair. Components alone (``run``) don't need this step.
+
+Sets are made from the texts again for those nodes that are in a candidate pair; no pass holds the sets of all documents.
 """
 
 from __future__ import annotations
@@ -44,6 +47,8 @@ SALTS = 32
 #: Words and sets that a worker remembers, to spare work; both start anew when full.
 WORDS, SETS = 300_000, 200_000
 NO_ID = -(1 << 63)
+#: Nodes of a block, and the shingles that are compared at a time.
+BLOCK, COLUMNS = 256, 4096
 
 _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -237,6 +242,60 @@ def _verified(percent: int):
     return run
 
 
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
+    """The intersections of all sets on the left with all on the right, or with each other."""
+    sets = left + (right or [])
+    rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    met = times[at] > 1
+    at, rows = (np.cumsum(times > 1) - 1)[at[met]], rows[met]
+    order = np.argsort(at, kind="stable")
+    at, rows = at[order], rows[order]
+    out, most = np.zeros((len(left), len(right or left)), np.int64), int((times > 1).sum())
+    for low in range(0, most, COLUMNS):
+        i, j = np.searchsorted(at, (low, low + COLUMNS))
+        held = np.zeros((len(sets), min(COLUMNS, most - low)), np.float32)
+        held[rows[i:j], at[i:j] - low] = 1
+        out += (held[: len(left)] @ held[len(left) if right else 0 :].T).astype(np.int64)
+    if not right:
+        np.fill_diagonal(out, [len(x) for x in left])
+    return out
+
+
+def _all_links(percent: int, listed: bool):
+    """From rows (root, x, y, side, node, hashes), sorted: all links (a, b) of the blocks x and y, or how many each node has there."""
+
+    def linked(same: bool, sides: tuple[dict[int, np.ndarray], dict[int, np.ndarray]]) -> pa.RecordBatch | None:
+        left, right = sides[0], sides[0] if same else sides[1]
+        if not left or not right:
+            return None
+        both = _overlaps(list(left.values()), None if same else list(right.values()))
+        n = [np.array([len(x) for x in side.values()]) for side in (left, right)]
+        hit = 100 * both >= percent * (n[0][:, None] + n[1][None, :] - both)
+        i, j = np.nonzero(np.triu(hit, 1) if same else hit)
+        if not len(i):
+            return None
+        a, b = np.array(list(left), np.int64)[i], np.array(list(right), np.int64)[j]
+        if listed:
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        nodes, times = np.unique(np.concatenate([a, b]), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(times.astype(np.int64))], names=["node", "links"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sides = None, ({}, {})
+        for batch in batches:
+            for root, x, y, side, node, hashes in zip(*(batch.column(c).to_pylist() for c in ("root", "x", "y", "side", "node", "hashes")), strict=True):
+                if key != (root, x, y):
+                    if key and (made := linked(key[1] == key[2], sides)):
+                        yield made
+                    key, sides = (root, x, y), ({}, {})
+                sides[side][node] = np.frombuffer(hashes, np.uint64)
+        if key and (made := linked(key[1] == key[2], sides)):
+            yield made
+
+    return run
+
+
 class NgramJoin:
     """The join over one set of documents; its steps keep what the next need in the shared folder."""
 
@@ -245,6 +304,7 @@ class NgramJoin:
         bounded_batches(self.spark)
         self.rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), text_bytes().alias("text")).withColumn("tie", F.xxhash64("text"))
         self.folder = f"{checkpoint_dir(self.spark)}/ngrams-{uuid.uuid4().hex}"
+        self.sets: list[str] = []
 
     def _stored(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{self.folder}/{name}")
@@ -255,8 +315,8 @@ class NgramJoin:
         for name in names:
             remove(self.spark, f"{self.folder}/{name}")
 
-    def run(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Documents (id, node, n), components of linked nodes (node, root), and the links found (a, b)."""
+    def run(self, keep_sets: bool = False) -> tuple[DataFrame, DataFrame]:
+        """Documents (id, tie, node, n) and components of linked nodes (node, root). The sets are kept for links() or n_links()."""
         counted = self._stored(self.rows.mapInArrow(_count(self.width), _COUNTED_DDL), "counted")
         documents = counted.filter("chunk is null").select("id", "tie", "node", "n")
         frequency = self.spark.sparkContext.broadcast(_gathered(counted))  # of a fixed size
@@ -274,9 +334,57 @@ class NgramJoin:
         roots = connected(links)
         rest = self._stored(self._rest(shared, roots, stars, nodes), "rest")
         more = self._stored(self._verify(documents, rest), "rest_links")
-        self._drop("shared", "nodes", "stars", "rest", "sets")
-        links = links.union(more)
-        return documents, connected(links), links
+        self._drop("shared", "nodes", "stars", "rest", *([] if keep_sets else ["sets"]))
+        return documents, connected(links.union(more))
+
+    def links(self, documents: DataFrame, roots: DataFrame) -> DataFrame:
+        """All links (a, b) between nodes, a < b, each once; after run(keep_sets=True)."""
+        sized = self._sized(documents, roots)
+        pairs = sized.filter("m = 2").groupBy("root").agg(F.min("node").alias("a"), F.max("node").alias("b")).select("a", "b")
+        return self._last(pairs.union(self._dealt(sized).mapInArrow(_all_links(self.percent, True), "a long, b long")), "links")
+
+    def n_links(self, documents: DataFrame, roots: DataFrame) -> DataFrame:
+        """(node, n_links) for each node that has links; after run(keep_sets=True). Links are counted where they are found."""
+        sized = self._sized(documents, roots)
+        pairs = sized.filter("m = 2").select("node", F.lit(1).cast("long").alias("links"))
+        counts = pairs.union(self._dealt(sized).mapInArrow(_all_links(self.percent, False), "node long, links long"))
+        return self._last(counts.groupBy("node").agg(F.sum("links").alias("n_links")), "n_links")
+
+    def _last(self, df: DataFrame, name: str) -> DataFrame:
+        stored = self._stored(df, name)
+        self._drop("sets")
+        return stored
+
+    def _sized(self, documents: DataFrame, roots: DataFrame) -> DataFrame:
+        """Linked nodes with their band and the number of nodes of their component; cut, as it is read more than once."""
+        nodes = documents.join(roots.select("node"), "node", "left_semi").select("node", "n").distinct()
+        placed = roots.join(nodes, "node").withColumn("band", self._band(F.col("n"))).select("node", "root", "band")
+        return cut(placed.join(placed.groupBy("root").agg(F.count("*").alias("m")), "root"))
+
+    def _dealt(self, sized: DataFrame) -> DataFrame:
+        """The sets of components of three nodes and more, to each pair of blocks that they are in. Two nodes have one link."""
+        bands = sized.filter(F.col("m") > BLOCK).groupBy("root", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
+        beside = [bands.select("root", (F.col("band") + d).alias("band"), F.col("k").alias(name)) for d, name in ((-1, "up"), (1, "down"))]
+        blocks = bands
+        for other in beside:
+            blocks = blocks.join(other, ["root", "band"], "left")
+        blocks = blocks.na.fill(0, ["up", "down"])
+        many = sized.filter(F.col("m") > BLOCK).join(blocks, ["root", "band"]).withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+        upto = "if({0} > 0, sequence(0, {0} - 1), cast(array() as array<int>))".format
+        code = "(cast({} as long) * 16777216 + {} + 1)".format
+        ways = ", ".join(
+            f"transform({upto(of)}, j -> named_struct('x', {x}, 'y', {y}, 'side', {side}))"
+            for of, x, y, side in (
+                ("k", code("band", "least(i, j)"), code("band", "greatest(i, j)"), "if(i <= j, 0, 1)"),
+                ("up", code("band", "i"), code("band + 1", "j"), "0"),
+                ("down", code("band - 1", "j"), code("band", "i"), "1"),
+            )
+        )
+        few = sized.filter(f"m > 2 and m <= {BLOCK}").selectExpr("node", "root", "0L as x", "0L as y", "0 as side")
+        ways = few.union(many.selectExpr("node", "root", f"explode(concat({ways})) as w").selectExpr("node", "root", "w.x", "w.y", "w.side"))
+        sets = self.spark.read.schema("node long, hashes binary").parquet(*self.sets)
+        met = ways.join(sets, "node").select("root", "x", "y", "side", "node", "hashes")
+        return met.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y", "side", "node")
 
     def _band(self, n):
         """Sizes in one band are within the length filter of each other."""
@@ -363,7 +471,9 @@ class NgramJoin:
         """Those pairs (a, b) that are links. The set of a goes once to each salt of its partners; sets of partners stream past it."""
         salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        sets = self._stored(self._sets(documents, nodes), f"sets/{uuid.uuid4().hex[:8]}")
+        name = f"sets/{uuid.uuid4().hex[:8]}"
+        sets = self._stored(self._sets(documents, nodes), name)
+        self.sets.append(f"{self.folder}/{name}")
         leads = salted.select("a", "salt").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "hashes")
         members = salted.join(sets.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "hashes")
         dealt = leads.union(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
@@ -371,32 +481,41 @@ class NgramJoin:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """A row for each row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included) and
-    class_id (equal for equal sets, and for these only).
+    """A row for each row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included),
+    class_id (equal for equal sets, and for these only) and n_links, the number of other classes that its class is linked with.
 
     Texts without words, empty and null ones have no shingles and are linked with nothing, not even with each other. A null
     doc_id ranks above all others as a component's name, so a component has one only if all its ids are null. Repeated rows
     are documents of their own. The input must give the same rows each time it is read: a stored table, or a checkpoint.
     """
-    documents, roots, _ = NgramJoin(docs, width, percent).run()
+    join = NgramJoin(docs, width, percent)
+    documents, roots = join.run(keep_sets=True)
+    n_links = join.n_links(documents, roots)
     grown = documents.withColumn("doc_id", F.when(F.col("id") != NO_ID, F.col("id")))
     named = grown.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     component = named.groupBy("root").agg(F.min("least").alias("component_id"))
     nodes = named.select("node", "root").join(component, "root").select("node", "component_id")
-    return grown.join(nodes, "node", "left").select(
+    return grown.join(nodes, "node", "left").join(n_links, "node", "left").select(
         "doc_id",
         F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.when(F.col("n") > 0, F.col("node")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
 
 
+def near_links(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """(a, b): all links between classes (class_id of near_duplicates), a < b, each once."""
+    join = NgramJoin(docs, width, percent)
+    return join.links(*join.run(keep_sets=True))
+
+
 def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that stay: of each component the one with the smallest doc_id, and all that are linked with nothing.
 
     Of rows that repeat a doc_id with the same text, one stays if it is the component's.
     """
-    documents, roots, _ = NgramJoin(docs, width, percent).run()
+    documents, roots = NgramJoin(docs, width, percent).run()
     mine = documents.filter("n > 0").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = mine.groupBy("root").agg(F.min(F.struct(F.expr(f"id = {NO_ID}").alias("last"), "id", "tie")).alias("first")).select("first.id", "first.tie")
     kept = first.union(documents.filter("n = 0").select("id", "tie").distinct())
