@@ -1,9 +1,10 @@
 from __future__ import annotations
 
 import re
+from itertools import product
 
 from helpers import DOCS, SF, clashing, docs, texts
-from weftline.llm.licenses import BASE, evaluate, parse, scan, scan_licenses
+from weftline.llm.licenses import BASE, evaluate, leading, parse, scan, scan_licenses
 from weftline.llm.registry import op1_license_scan
 
 
@@ -47,6 +48,22 @@ def test_tags_and_joined_notices():
     assert scan(b"SPDX-License-Identifier: or or")[5:7] == ("", "")
 
 
+def test_what_follows_a_tag_does_not_count_however_long():
+    for written in ("mit", "gpl-2.0-only or mit", "mit and (isc or bsd-3-clause)"):
+        short = scan(f"SPDX-License-Identifier: {written}".encode())
+        for n in (1, 39, 41, 42, 500, 50_000):
+            for more in ("word " * n, "( " * n, "or ( mit and " * n, ") " * n):
+                assert scan(f"SPDX-License-Identifier: {written} {more}".encode())[5:] == short[5:]
+    long = " or ".join(["mit"] * 300)
+    assert scan(f"SPDX-License-Identifier: {long} and so on, {'x ' * 99}".encode())[6] == f"{long} and so"
+
+
+def test_longest_expression_against_all_prefixes():
+    for n in range(7):
+        for tokens in product(("mit", "or", "(", ")"), repeat=n):
+            assert leading(iter(tokens)) == list(next((tokens[:k] for k in range(n, 0, -1) if parse(list(tokens[:k]))), ()))
+
+
 def test_no_rows_and_clashing_columns(spark):
     assert scan_licenses(spark.createDataFrame([], DOCS)).count() == 0
     assert scan_licenses(clashing(spark)).count() == 6 and scan_licenses(docs(spark)).count() == 11

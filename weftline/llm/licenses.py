@@ -45,7 +45,7 @@ UNKNOWN = 4
 BINDS = {"or": 1, "and": 2, "with": 3}
 
 _WORDS = bytes(ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else b if b >= 128 else 32 for b in range(256))
-_TOKEN = re.compile(r"[()]|[a-z0-9][a-z0-9.+:-]*")
+_TOKEN = re.compile(rb"[()]|[a-z0-9][a-z0-9.+:-]*")
 _OUT = pa.schema(
     [("doc_id", pa.int64())]
     + [(c, pa.int64()) for c in ("n_words", "n_base", "first_word", "last_word")]
@@ -107,19 +107,30 @@ def evaluate(postfix: list[str]) -> tuple[int, list[str]]:
     return stack[0]
 
 
+def leading(tokens: Iterator[str]) -> list[str]:
+    """The longest run of tokens, from the first on, that is an expression; what stops every longer one ends the reading."""
+    held: list[str] = []
+    whole, depth, operand_next = 0, 0, True
+    for token in tokens:
+        name = token.rstrip(".:")
+        if (name == ")" or name in BINDS) == operand_next or name == ")" and not depth:
+            break
+        depth += (name == "(") - (name == ")")
+        operand_next = name == "(" or name in BINDS
+        held.append(token)
+        if not operand_next and not depth:
+            whole = len(held)
+    return held[:whole]
+
+
 def tagged(text: bytes) -> Iterator[tuple[str, int, list[str]]]:
     """Expressions after SPDX tags, each to the end of its line: as written, grade, licences. text: lower-cased."""
     at = text.find(RAW_TAG)
     while at >= 0:
         end = text.find(b"\n", at)
-        written = text[at + len(RAW_TAG) : len(text) if end < 0 else end].decode("utf-8", "replace")
-        tokens = _TOKEN.findall(written)
-        for n in range(len(tokens), 0, -1):  # what follows an expression on its line is no part of it
-            if postfix := parse([t.rstrip(".:") for t in tokens[:n]]):
-                yield (" ".join(tokens[:n]), *evaluate(postfix))
-                break
-            if n < len(tokens) - 40:
-                break
+        tokens = (m[0].decode() for m in _TOKEN.finditer(text, at + len(RAW_TAG), len(text) if end < 0 else end))
+        if written := leading(tokens):  # what follows an expression on its line is no part of it
+            yield (" ".join(written), *evaluate(parse([t.rstrip(".:") for t in written])))
         at = text.find(RAW_TAG, at + len(RAW_TAG))
 
 
