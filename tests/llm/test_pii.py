@@ -84,3 +84,11 @@ def test_no_rows_and_native_plan(spark):
     assert found.count() == 0
     plan = find_personal_data(texts(spark, "a"))._jdf.queryExecution().toString() + mask_documents(docs(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_secrets_of_any_length(spark):
+    sizes = (31, 32, 64, 65, 128, 5000)
+    rows = texts(spark, *[f"token={('ab12' * 1250)[:n]} end" for n in sizes])
+    found = sorted(find_personal_data(rows).collect(), key=lambda r: r.doc_id)
+    assert [r.spans for r in found] == ["" if n < 32 else f"secret:6:{6 + n}" for n in sizes]
+    assert sum(r.text == "token=[SECRET] end" for r in mask_documents(rows).collect()) == len(sizes) - 1
