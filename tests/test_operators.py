@@ -143,12 +143,13 @@ def test_contact_edges_against_all_pairs(spark):
     rng = np.random.default_rng(2)
     p = rng.random((300, 3))
     made = [(i % 2, i % 7, i, p[i].tolist()) for i in range(300)]
-    found = rows(graph.contact_edges(spark.createDataFrame(made, "oid int, part int, pid int, p array<double>"), 0.12), "oid", "a", "b")
+    points = spark.createDataFrame(made, "oid int, part int, pid int, p array<double>")
+    found, by_object = (rows(graph.contact_edges(points, 0.12, few=few), "oid", "a", "b") for few in (0, 1000))
     want = {}
     for (o, a, _, x), (q, b, j, y) in itertools.product(made, made):
         if o == q and a < b and np.linalg.norm(np.array(x) - y) < 0.12:
             want.setdefault((o, a, b), set()).add(j)
-    assert found == [(*k, len(v)) for k, v in sorted(want.items())]
+    assert found == by_object == [(*k, len(v)) for k, v in sorted(want.items())]
 
 
 # ---- tables and annotations

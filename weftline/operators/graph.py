@@ -14,20 +14,38 @@ from pyspark.sql import functions as F
 Graph = dict[Hashable, dict[Hashable, float]]
 
 
-def contact_edges(points: DataFrame, tau: float, dims: int = 3) -> DataFrame:
+#: Points of an object up to which all its pairs are compared; beyond, points meet by grid cell.
+FEW = 64
+
+
+def contact_edges(points: DataFrame, tau: float, dims: int = 3, few: int = FEW) -> DataFrame:
     """(oid, a, b, weight) for a < b: how many points of b lie nearer than tau to some point of a.
 
-    points: (oid, part, pid and p, an array of coordinates, in units of the object's diagonal). A point goes to its own cell of
-    width tau, and as a possible partner to all cells around it, so each pair within tau meets in exactly one cell.
+    points: (oid, part, pid and p, an array of coordinates, in units of the object's diagonal). Points of small objects meet by
+    object; those of others by cells of width tau.
     """
-    cells = points.withColumn("cell", F.transform("p", lambda x: F.floor(x / tau)))
-    moves = F.array(*[F.array(*[F.lit((k // 3**d) % 3 - 1).cast("long") for d in range(dims)]) for k in range(3**dims)])
-    around = cells.withColumn("cell", F.explode(F.transform(moves, lambda m: F.zip_with("cell", m, lambda c, s: c + s))))
-    left = around.select("oid", "cell", F.col("part").alias("a"), F.col("p").alias("pa"))
-    right = cells.select("oid", "cell", F.col("part").alias("b"), "pid", F.col("p").alias("pb"))
-    near = F.aggregate(F.zip_with("pa", "pb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v) < tau * tau
-    met = left.join(right, ["oid", "cell"]).filter(F.col("a") < F.col("b")).filter(near)
-    return met.groupBy("oid", "a", "b").agg(F.countDistinct("pid").alias("weight"))
+    sized = points.join(points.groupBy("oid").agg(F.count("*").alias("many")), "oid")
+    small = sized.filter(F.col("many") <= few).select("oid", "part", "pid", "p")
+    x, y = small.alias("x"), small.alias("y")
+    by_object = x.join(y, F.col("x.oid") == F.col("y.oid")).filter(F.col("x.part") < F.col("y.part"))
+    pairs = [by_object, _by_cell(sized.filter(F.col("many") > few).drop("many"), tau, dims)]
+    near = F.aggregate(F.zip_with("x.p", "y.p", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v) < tau * tau
+    met = [p.filter(near).select("x.oid", F.least("x.part", "y.part").alias("a"), F.greatest("x.part", "y.part").alias("b"), F.when(F.col("x.part") < F.col("y.part"), F.col("y.pid")).otherwise(F.col("x.pid")).alias("pid")) for p in pairs]
+    return met[0].union(met[1]).groupBy("oid", "a", "b").agg(F.countDistinct("pid").alias("weight"))
+
+
+def _by_cell(points: DataFrame, tau: float, dims: int) -> DataFrame:
+    """Pairs x, y of points of different parts whose cells touch, each once: a point goes to its own cell, and as a partner to half of the cells around it."""
+    cells = [f"c{d}" for d in range(dims)]
+    placed = points.select("*", *[F.floor(F.col("p")[d] / tau).alias(c) for d, c in enumerate(cells)])
+    steps = [[(k // 3**d) % 3 - 1 for d in range(dims)] for k in range(3**dims // 2, 3**dims)]  # the first is the own cell
+    moves = F.array(*[F.struct(*[F.lit(v).cast("long").alias(c) for v, c in zip(step, cells, strict=True)]) for step in steps])
+    around = placed.withColumn("m", F.explode(moves)).select("oid", "part", "pid", "p", *[(F.col(c) + F.col(f"m.{c}")).alias(c) for c in cells], F.expr(" and ".join(f"m.{c} = 0" for c in cells)).alias("own"))
+    x, y = around.alias("x"), placed.alias("y")
+    same = F.col("x.oid") == F.col("y.oid")
+    for c in cells:
+        same &= F.col(f"x.{c}") == F.col(f"y.{c}")
+    return x.join(y, same).filter((F.col("x.part") < F.col("y.part")) | (F.col("x.part") > F.col("y.part")) & ~F.col("x.own"))
 
 
 def graph_of(nodes: Iterable, edges: Iterable[tuple]) -> Graph:

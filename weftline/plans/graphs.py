@@ -55,16 +55,36 @@ def graph_articulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _told(spark, sf_dir, graph.told_roles, "part long, role string")
 
 
-@query()
+#: From an end of each edge, all that is reached without that edge.
+_WITHOUT_EDGE = f"""{_EDGES}, ways AS (SELECT oid, a, b FROM edges UNION ALL SELECT oid, b, a FROM edges),
+  side AS (SELECT oid, a AS mount, b AS root, b AS part FROM ways
+    UNION SELECT s.oid, s.mount, s.root, e.b FROM side s JOIN ways e ON e.oid = s.oid AND e.a = s.part AND NOT (e.a = s.root AND e.b = s.mount OR e.a = s.mount AND e.b = s.root)),
+  bridges AS (SELECT oid, mount, root FROM side GROUP BY ALL HAVING count(*) FILTER (WHERE part = mount) = 0)"""
+
+
+@query(f"WITH RECURSIVE {_WITHOUT_EDGE} SELECT oid, mount AS a, root AS b FROM bridges WHERE mount < root")
 def graph_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _told(spark, sf_dir, graph.told_bridges, "a long, b long")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_WITHOUT_EDGE}, whole AS (SELECT oid, count(DISTINCT part) AS n FROM points GROUP BY oid),
+    sides AS (SELECT s.oid, s.mount, s.root, string_agg(part, ',' ORDER BY part) AS parts, count(*) AS n
+      FROM side s JOIN bridges b ON b.oid = s.oid AND b.mount = s.mount AND b.root = s.root GROUP BY ALL)
+    SELECT s.oid, s.mount, s.parts, round(s.n / w.n, 6) AS share FROM sides s JOIN whole w ON w.oid = s.oid WHERE s.n / w.n BETWEEN 0.05 AND 0.45"""
+)
 def graph_subassemblies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _told(spark, sf_dir, graph.told_subassemblies, "mount long, parts string, share double")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_EDGES}, ways AS (SELECT oid, a, b FROM edges UNION ALL SELECT oid, b, a FROM edges),
+    nodes AS (SELECT DISTINCT oid, part FROM points), anchor AS (SELECT oid, min(part) AS part FROM nodes GROUP BY oid),
+    slots AS (SELECT p.oid, p.part AS slot, n.part AS anchor FROM nodes p JOIN anchor n ON n.oid = p.oid AND p.part <> n.part),
+    held AS (SELECT oid, slot, anchor AS part FROM slots
+      UNION SELECT h.oid, h.slot, e.b FROM held h JOIN ways e ON e.oid = h.oid AND e.a = h.part AND e.b <> h.slot)
+    SELECT s.oid, s.slot, coalesce(string_agg(p.part, ',' ORDER BY p.part) FILTER (WHERE p.part <> s.slot AND h.part IS NULL), '') AS orphans
+    FROM slots s JOIN nodes p ON p.oid = s.oid LEFT JOIN held h ON h.oid = s.oid AND h.slot = s.slot AND h.part = p.part GROUP BY s.oid, s.slot"""
+)
 def graph_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _told(spark, sf_dir, graph.told_orphans, "slot long, orphans string")
