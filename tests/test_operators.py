@@ -5,11 +5,12 @@ import json
 import struct
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from weftline.functions import shapes
-from weftline.operators import annotate, gates, geometry, graph, keyed, recipe, retrieve
+from weftline.operators import annotate, gates, geometry, graph, keyed, recipe, retrieve, vision
 from weftline.sources import files
 from weftline.streaming import review
 
@@ -306,3 +307,38 @@ def test_job_receipts_stream(spark, tmp_path):
     q.awaitTermination()
     found = {r.job: r.done for r in spark.read.parquet(out).collect()}
     assert found["a"] is not None and found.get("b", 0) is None
+
+
+# ---- what was quadratic or wrong
+
+
+def test_sheared_transforms(spark):
+    """Columns of length about 1 and a positive determinant, yet nearly flat; against a singular value decomposition."""
+    from weftline.operators.geometry import is_valid_transform
+
+    rng = np.random.default_rng(3)
+    made = [np.array([[1, 1, 0], [0, 1e-6, 0], [0, 0, 1]]), np.array([[1, 1, 0], [0, 1e-4, 0], [0, 0, 1]]), 1.1e-5 * np.eye(3), 0.9e-5 * np.eye(3), 9.9e3 * np.eye(3), 1.1e4 * np.eye(3), -np.eye(3), np.zeros((3, 3))]
+    for _ in range(300):
+        u, v = (np.linalg.qr(rng.normal(size=(3, 3)))[0] for _ in "uv")
+        made.append(u @ np.diag(10 ** rng.uniform(-6, 5, 3)) @ v)
+    whole = []
+    for m in made:
+        t = np.eye(4)
+        t[:3, :3] = m
+        whole.append(t)
+    frame = spark.createDataFrame([(i, t.reshape(-1).tolist()) for i, t in enumerate(whole)], "i int, t array<double>")
+    found = {r.i: r.ok for r in frame.select("i", shapes.is_transform(F.col("t")).alias("ok")).collect()}
+    assert not found[0] and found[1] and found[2] and not found[3] and found[4] and not found[5]
+    values = [np.maximum(np.linalg.svd(t[:3, :3], compute_uv=False), 1e-300) for t in whole]
+    clear = [i for i, s in enumerate(values) if np.abs(np.log(s[[0, 2]] / [1e4, 1e-5])).min() > 1e-3]
+    assert [found[i] for i in clear] == [is_valid_transform(whole[i]) for i in clear]
+
+
+def test_percentiles_against_numpy(spark):
+    values = [float(v) for v in np.random.default_rng(4).normal(size=501)] + [0.25] * 40
+    at = (0.0, 0.05, 0.1, 0.25, 0.5, 0.9, 1.0)
+    found = {r.p: r.value for r in vision.change_percentiles(spark.createDataFrame([(v,) for v in [*values, None]], "metric double"), at=at).collect()}
+    assert [found[p] for p in at] == pytest.approx(np.quantile(values, at).tolist())
+    assert [r.value for r in vision.change_percentiles(spark.createDataFrame([], "metric double"), at=(0.5,)).collect()] == [None]
+    low = vision.lowest(spark.createDataFrame([(v, i) for i, v in enumerate([*values, None])], "metric double, turn int"))
+    assert [r.metric for r in low.collect()] == sorted(values)[:14]

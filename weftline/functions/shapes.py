@@ -56,14 +56,35 @@ def determinant(t: Column) -> Column:
     return a * (e * i - f * h) - b * (d * i - f * g) + c * (d * h - e * g)
 
 
-def is_transform(t: Column) -> Column:
-    """16 finite numbers, an affine last row, a positive determinant, and column lengths between 1e-5 and 1e4."""
+def singular_values(t: Column) -> tuple[Column, Column]:
+    """The largest and the smallest singular value of the linear part.
+
+    Their squares are roots of the Gram matrix's characteristic polynomial. Its largest root comes by cosines; the two others
+    from what is left, whose coefficients are sums of squares of minors, so that the smallest root keeps its digits.
+    """
     m = linear_part(t)
-    lengths = [F.sqrt(m[0][c] * m[0][c] + m[1][c] * m[1][c] + m[2][c] * m[2][c]) for c in range(3)]
+    g = [[sum((m[k][i] * m[k][j] for k in range(3)), F.lit(0.0)) for j in range(3)] for i in range(3)]
+    third = (g[0][0] + g[1][1] + g[2][2]) / 3
+    beside = g[0][1] * g[0][1] + g[0][2] * g[0][2] + g[1][2] * g[1][2]
+    spread = F.sqrt((sum(((g[i][i] - third) * (g[i][i] - third) for i in range(3)), F.lit(0.0)) + 2 * beside) / 6)
+    d = [[(g[i][j] - (third if i == j else F.lit(0.0))) / spread for j in range(3)] for i in range(3)]
+    half = (d[0][0] * (d[1][1] * d[2][2] - d[1][2] * d[1][2]) - d[0][1] * (d[0][1] * d[2][2] - d[1][2] * d[0][2]) + d[0][2] * (d[0][1] * d[1][2] - d[1][1] * d[0][2])) / 2
+    first = F.when(spread > third * 1e-14, third + 2 * spread * F.cos(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), half))) / 3)).otherwise(third)
+    pairs = [(0, 1), (0, 2), (1, 2)]
+    minors = sum(((m[i][k] * m[j][n] - m[i][n] * m[j][k]) * (m[i][k] * m[j][n] - m[i][n] * m[j][k]) for i, j in pairs for k, n in pairs), F.lit(0.0))
+    product = determinant(t) * determinant(t) / first
+    both = (minors - product) / first
+    last = 2 * product / (both + F.sqrt(F.greatest(both * both - 4 * product, F.lit(0.0))))
+    return F.sqrt(first), F.sqrt(last)
+
+
+def is_transform(t: Column) -> Column:
+    """16 finite numbers, an affine last row, a positive determinant, and singular values between 1e-5 and 1e4."""
+    most, least = singular_values(t)
     finite = F.forall(t, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e300))
     last = F.slice(t, 13, 4) == F.array(*[F.lit(float(x)) for x in (0, 0, 0, 1)])
-    sized = (F.least(*lengths) >= 1e-5) & (F.greatest(*lengths) <= 1e4)
-    return F.coalesce((F.size(t) == 16) & finite & last & sized & (determinant(t) > 0), F.lit(False))
+    sized = (least >= 1e-5 * (1 - 1e-12)) & (most <= 1e4 * (1 + 1e-12))
+    return F.coalesce((F.size(t) == 16) & finite & last & F.when(determinant(t) > 0, sized), F.lit(False))
 
 
 def is_similarity(t: Column, absolute: float = 1e-9, relative: float = 1e-7) -> Column:

@@ -12,15 +12,17 @@ def state_fold(edits: DataFrame, chain: Sequence[str] = ("chain",), node: str =
     """The state after each turn: (chain, turn, node, version) for each node that is there then.
 
     The last writer of a node wins; a null version takes it away. A version lives from its turn to the turn before the next
-    write of its node, so states are made from lives and the turns there are: no window holds more than the writes of one node.
+    write of its node. Turns are numbered densely, and each life is laid out over the numbers of its own turns, so that the work is
+    that of the rows that come out. Ties of turn and seq fall to the largest version.
     """
-    last = Window.partitionBy(*chain, node, turn).orderBy(F.desc(seq))
-    writes = edits.withColumn("_r", F.row_number().over(last)).filter("_r = 1").drop("_r")
-    following = F.lead(turn).over(Window.partitionBy(*chain, node).orderBy(turn))
-    lives = writes.withColumn("_until", following).filter(F.col(version).isNotNull()).select(*chain, node, F.col(turn).alias("_from"), "_until", version)
-    turns = edits.select(*chain, turn).distinct()
-    alive = (F.col("_from") <= F.col(turn)) & (F.col("_until").isNull() | (F.col(turn) < F.col("_until")))
-    return turns.join(lives, list(chain)).filter(alive).select(*chain, turn, node, version)
+    last = Window.partitionBy(*chain, node, turn).orderBy(F.desc(seq), F.desc(version))
+    turns = edits.select(*chain, turn).distinct().withColumn("_n", F.row_number().over(Window.partitionBy(*chain).orderBy(turn)))
+    writes = edits.withColumn("_r", F.row_number().over(last)).filter("_r = 1").drop("_r").join(turns, [*chain, turn])
+    ends = turns.groupBy(*chain).agg((F.max("_n") + 1).alias("_end"))
+    following = F.lead("_n").over(Window.partitionBy(*chain, node).orderBy("_n"))
+    lives = writes.withColumn("_until", following).filter(F.col(version).isNotNull()).join(ends, list(chain))
+    alive = F.explode(F.sequence("_n", F.coalesce("_until", "_end") - 1))
+    return lives.select(*chain, node, version, alive.alias("_n")).join(turns, [*chain, "_n"]).select(*chain, turn, node, version)
 
 
 def last_records(edits: DataFrame, chain: Sequence[str], turn: str, seq: str) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.session import shared_folder
+
 # Fixed values.
 CHANGED, OPAQUE, VIEWS, LEAST_BYTES = 14, 8, 4, 1024
 
@@ -37,8 +41,32 @@ def previous_frame(own_previous: Column, turn_before: Column) -> Column:
 
 
 def change_percentiles(metrics: DataFrame, column: str = "metric", at: tuple[float, ...] = (0.0, 0.05, 0.1, 0.25, 0.5, 0.9)) -> DataFrame:
-    got = metrics.agg(F.percentile(column, F.array(*[F.lit(p) for p in at])).alias("v"))
-    return got.select(F.explode(F.arrays_zip(F.array(*[F.lit(p) for p in at]).alias("p"), F.col("v"))).alias("x")).select(F.col("x.p").alias("p"), F.col("x.v").alias("value"))
+    """(p, value): exact percentiles, between two values in proportion; null where there are no values.
+
+    Values are dealt by ranges; their numbers tell in which few ranges the wanted ranks are, and only those are ranked.
+    """
+    spark = metrics.sparkSession
+    shared_folder(spark)
+    values = metrics.select(F.col(column).cast("double").alias("v")).filter("v is not null")
+    held = values.repartitionByRange("v").withColumn("range", F.spark_partition_id()).checkpoint()
+    many = [(r["range"], r["n"]) for r in held.groupBy("range").agg(F.count("*").alias("n"), F.min("v").alias("low")).orderBy("low").collect()]  # one for each range
+    starts, total = {}, 0
+    for part, n in many:
+        starts[part] = (total, n)
+        total += n
+    places = [p * (total - 1) for p in at] if total else []
+    wanted = {r for x in places for r in (math.floor(x), math.ceil(x))}
+    cells = [(part, r - first) for part, (first, n) in starts.items() for r in wanted if first <= r < first + n]
+    told = spark.createDataFrame([(part, k + 1) for part, k in cells] or [(-1, 0)], "range int, k int")
+    ranked = held.join(F.broadcast(told.select("range").distinct()), "range").withColumn("k", F.row_number().over(Window.partitionBy("range").orderBy("v")))
+    found = {starts[r["range"]][0] + r["k"] - 1: r["v"] for r in ranked.join(F.broadcast(told), ["range", "k"]).collect()}  # two for each of at
+    made = [(p, found[math.floor(x)] + (found[math.ceil(x)] - found[math.floor(x)]) * (x - math.floor(x))) for p, x in zip(at, places)] or [(p, None) for p in at]
+    return spark.createDataFrame(made, "p double, value double")
+
+
+def lowest(metrics: DataFrame, column: str = "metric", many: int = 14) -> DataFrame:
+    """The rows that changed least, the limit being the feature; nulls are not among them."""
+    return metrics.filter(F.col(column).isNotNull()).orderBy(column, *[c for c in metrics.columns if c != column]).limit(many)
 
 
 def changed_region(pixels: DataFrame, keys: list[str], width: int, height: int, margin: int = 6) -> DataFrame:

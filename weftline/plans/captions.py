@@ -129,16 +129,32 @@ def axisymmetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_T = ["l_quantity", "0.0", "l_tax", "l_discount", "0.0", "l_quantity", "0.0", "l_tax", "-l_tax", "0.0", "l_quantity", "0.0", "0.0", "0.0", "0.0", "1.0"]
+#: Scaled, sheared by tax and discount, flat in one direction where the discount is 0, and mirrored for a few.
+_T = [
+    "l_quantity", "l_extendedprice / 10 * (l_linenumber % 2)", "l_tax", "l_discount", "0.0", "l_discount / 1000", "0.0", "l_tax",
+    "-l_tax", "0.0", "if(l_linenumber = 7, -1.0, 1.0) * l_quantity", "0.0", "0.0", "0.0", "0.0", "1.0",
+]
+_LINEAR = f"""gram AS (SELECT l_orderkey, l_linenumber, {", ".join(f"cast({x.replace('if(', 'CASE WHEN ').replace(', -1.0, 1.0)', ' THEN -1.0 ELSE 1.0 END')} AS DOUBLE) AS m{i // 4}{i % 4}" for i, x in enumerate(_T) if i < 12 and i % 4 < 3)} FROM lineitem),
+  g AS (SELECT *, {", ".join(f"m0{i} * m0{j} + m1{i} * m1{j} + m2{i} * m2{j} AS g{i}{j}" for i, j in ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)))},
+    m00 * (m11 * m22 - m12 * m21) - m01 * (m10 * m22 - m12 * m20) + m02 * (m10 * m21 - m11 * m20) AS det FROM gram)"""
+
+
+def _definite(diagonal: str, sign: str) -> str:
+    """By leading minors, that the Gram matrix less (or, turned, more than) a multiple of the identity is positive definite."""
+    a, d, f = (diagonal.format(x) for x in ("g00", "g11", "g22"))
+    b, c, e = (f"({sign}{x})" for x in ("g01", "g02", "g12"))
+    return f"({a} > 0 AND {a} * {d} - {b} * {b} > 0 AND {a} * ({d} * {f} - {e} * {e}) - {b} * ({b} * {f} - {e} * {c}) + {c} * ({b} * {e} - {d} * {c}) > 0)"
+
+
+_VALID = f"det > 0 AND {_definite('({} - 1e-10)', '')} AND {_definite('(1e8 - {})', '-')}"
 
 
 @query(
-    """SELECT l_orderkey, l_linenumber, l_quantity BETWEEN 1e-5 AND 1e4 AND sqrt(l_quantity * l_quantity + l_tax * l_tax) <= 1e4 AS valid,
-      l_quantity BETWEEN 1e-5 AND 1e4 AND abs(l_tax * l_tax) * 2 / 3 <= 1e-9 + 1e-7 * (3 * l_quantity * l_quantity + 2 * l_tax * l_tax) / 3 AS similar,
-      round(l_quantity * (l_quantity * l_quantity + l_tax * l_tax), 2) AS det FROM lineitem"""
+    f"""WITH {_LINEAR} SELECT l_orderkey, l_linenumber, {_VALID} AS valid, {rounded_sql('det', 2)} AS det,
+      {_VALID} AND {" AND ".join(f"abs(g{i}{j}{' - (g00 + g11 + g22) / 3' if i == j else ''}) <= 1e-9 + 1e-7 * (g00 + g11 + g22) / 3" for i in range(3) for j in range(i, 3))} AS similar FROM g"""
 )
 def transform_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as transforms: scaled by quantity, turned a little by tax."""
+    """Line items as transforms. The SQL tells singular values by definite matrices, without roots."""
     lines = table(spark, sf_dir, "lineitem").withColumn("t", F.array(*[F.expr(f"cast({x} as double)") for x in _T]))
     t = F.col("t")
-    return lines.select("l_orderkey", "l_linenumber", shapes.is_transform(t).alias("valid"), shapes.is_similarity(t).alias("similar"), F.round(shapes.determinant(t), 2).alias("det"))
+    return lines.select("l_orderkey", "l_linenumber", shapes.is_transform(t).alias("valid"), shapes.is_similarity(t).alias("similar"), rounded(shapes.determinant(t), 2).alias("det"))

@@ -19,9 +19,10 @@ from weftline.streaming import review
 def job_receipt_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Views as jobs, the purchases of the same user within an hour as their receipts: the batch form of the stream join."""
     events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    jobs = events.filter("event_type = 'view'").select(F.col("user_id").alias("job"), "ts", "event_id")
-    receipts = events.filter("event_type = 'purchase'").select(F.col("user_id").alias("job"), F.col("ts").alias("done"))
-    within = F.expr("b.job = a.job AND b.done >= a.ts AND b.done <= a.ts + interval 1 hour")
+    hour = F.floor(F.unix_micros("ts") / 3_600_000_000)
+    jobs = events.filter("event_type = 'view'").select(F.col("user_id").alias("job"), hour.alias("hour"), "ts", "event_id")
+    receipts = events.filter("event_type = 'purchase'").select(F.col("user_id").alias("job"), F.explode(F.array(hour, hour - 1)).alias("hour"), F.col("ts").alias("done"))
+    within = F.expr("b.job = a.job AND b.hour = a.hour AND b.done >= a.ts AND b.done <= a.ts + interval 1 hour")
     both = jobs.alias("a").join(receipts.alias("b"), within, "left")
     return both.groupBy(F.col("event_id").alias("job")).agg(F.min(F.unix_micros("b.done") - F.unix_micros("a.ts")).alias("latency_us"))
 
