@@ -1,43 +1,78 @@
-"""What the corpus operators share: lineage cuts, bounded Arrow batches, and text basics."""
+"""What the corpus operators share: lineage cuts, bounded Arrow batches, what a worker remembers, and text basics."""
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Iterable, Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.session import remove, shared_folder
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BATCH_ROWS = 1000
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+CHUNK = 128
+
+__all__ = ["Memory", "batches_of", "bounded_batches", "checkpoint_dir", "cut", "held_for", "in_files", "let", "lower_ascii", "remove", "running", "text_bytes"]
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep an Arrow batch of texts small enough for a worker; a session that sets its own size keeps it."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Keep an Arrow batch of texts small enough for a worker, in rows and in bytes; a session that sets its own sizes keeps them."""
+    told = spark.conf.getAll
+    for key, most in (("maxRecordsPerBatch", str(BATCH_ROWS)), ("maxBytesPerBatch", str(BATCH_BYTES))):
+        if f"spark.sql.execution.arrow.{key}" not in told:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", most)
+
+
+class Memory(dict):
+    """What is remembered to spare work, of at most so many bytes; it starts anew when full."""
+
+    def __init__(self, most_bytes: int):
+        super().__init__()
+        self.most, self.size = most_bytes, 0
+
+    def keep(self, key, value, size: int):
+        """size: of key and value, without what the table itself takes for an entry."""
+        if self.size + size + 200 > self.most:
+            self.clear()
+            self.size = 0
+        self[key] = value
+        self.size += size + 200
+        return value
+
+
+_held: dict[str, dict] = {}
+
+
+def held_for(operator: str) -> dict:
+    """What this worker process keeps from task to task for an operator. What it kept for others goes first, since workers outlive stages."""
+    if operator not in _held:
+        if _held:
+            _held.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+        _held[operator] = {}
+    return _held[operator]
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is named."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-"))
-    return context.getCheckpointDir()
+    return shared_folder(spark)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a table of our own in the shared folder."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def in_files(df: DataFrame, rows: int, each: int = 20_000) -> DataFrame:
+    """df in no more tasks than so many rows ask for, or 8, so that small tables are not written in a great many files. Large ones stay as they are."""
+    return df.coalesce(max(8, -(-rows // each)))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the checkpoint folder, so that lost executors cost no recomputation."""
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, computed once and written to the checkpoint folder, so that lost executors cost no recomputation. rows: a bound of its rows, if known."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else in_files(df, rows)).checkpoint(eager=True)
 
 
 def text_bytes(column: str = "text"):
@@ -50,6 +85,34 @@ def lower_ascii(column):
     return F.when(F.octet_length(column) == F.char_length(column), F.lower(column)).otherwise(F.translate(column, UPPER, LOWER))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(items: Column, start: Column, emits: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """For each of the items, in order, what step(state, item) emits beside the next state.
+
+    Results are appended within chunks of CHUNK items, and then chunk by chunk, since appending copies an array.
+    """
+    made = f"cast(array() as array<{emits}>)"
+
+    def one(acc: Column, x: Column) -> Column:
+        state, emitted = step(acc["state"], x)
+        return F.struct(state.alias("state"), F.concat(acc["out"], F.array(emitted)).alias("out"))
+
+    def chunk(acc: Column, of: Column) -> Column:
+        done = F.aggregate(of, F.struct(acc["state"].alias("state"), F.expr(made).alias("out")), one)
+        return let(done, lambda d: F.struct(d["state"].alias("state"), F.concat(acc["outs"], F.array(d["out"])).alias("outs")))
+
+    def all_(held: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(held) - 1) / CHUNK).cast("int")), lambda k: F.slice(held, k * CHUNK + 1, F.lit(CHUNK)))
+        zero = F.struct(start.alias("state"), F.expr(f"cast(array() as array<array<{emits}>>)").alias("outs"))
+        return F.when(F.size(held) > 0, F.flatten(F.aggregate(chunks, zero, chunk, lambda acc: acc["outs"]))).otherwise(F.expr(made))
+
+    return let(items, all_)
+
+
 def batches_of(rows: Iterable[tuple], schema: pa.Schema, most: int = 4096, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Record batches of at most so many rows, and of not much more than so many bytes in binary and string cells."""
     held: list[tuple] = []

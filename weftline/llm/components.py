@@ -15,8 +15,9 @@ def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     the number of rounds grows with the logarithm of the longest chain. A hub's links are an aggregation with partial sums
     and the split side of a join, never a group in one task. Each round is cut from its lineage.
     """
-    both = cut(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct())
-    roots = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")))
+    rows = 2 * links.count()  # and there are no more nodes than that
+    both = cut(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct(), rows)
+    roots = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), rows)
     for _ in range(most_rounds):
         near = both.join(roots.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         seen = roots.join(near, "node").select("node", "root", F.least("root", "near").alias("low"))
@@ -27,7 +28,7 @@ def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
             .agg(F.min("low").alias("up"))
         )
         jumped = hooked.join(hooked.select(F.col("node").alias("up"), F.col("up").alias("root")), "up", "left").select("node", F.least("up", "root").alias("root"))
-        after = cut(jumped)
+        after = cut(jumped, rows)
         moved = after.join(roots.withColumnRenamed("root", "old"), "node").filter("root <> old").limit(1).count()
         roots = after
         if not moved:

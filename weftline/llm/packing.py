@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import batches_of, bounded_batches, cut, text_bytes
+from weftline.llm.common import Memory, batches_of, bounded_batches, cut, held_for, text_bytes
 
 CAPACITY = 2048
 SLICES = 4000
-#: Words whose ids a worker remembers; more are encoded anew.
-REMEMBERED = 400_000
+#: Bytes of words and their ids that a worker remembers.
+REMEMBERED = 32 << 20
 
 Plan = list[tuple[int, tuple[tuple[int, int], ...]]]
 
@@ -46,7 +46,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.known: dict[bytes, bytes] = {}
+        self.known = Memory(REMEMBERED)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.shown = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
@@ -67,9 +67,8 @@ class WordEncoder:
     def word(self, word: bytes) -> bytes:
         ids = self.known.get(word)
         if ids is None:
-            ids = self._word(word)
-            if len(self.known) < REMEMBERED:
-                self.known[word] = ids
+            made = self._word(word)
+            return self.known.keep(word, made, len(word) + len(made) + 66)
         return ids
 
     def encode(self, text: bytes) -> bytes:
@@ -83,16 +82,16 @@ class WordEncoder:
         return b"".join(ids)
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 _PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
 def encoder(path: str) -> WordEncoder:
     """One for each worker process, which outlives its tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    held = held_for("packing")
+    if path not in held:
+        held[path] = WordEncoder(path)
+    return held[path]
 
 
 def _pieces_of(path: str, capacity: int, end: int, with_ids: bool):

@@ -31,10 +31,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import batches_of, bounded_batches, text_bytes
+from weftline.llm.common import Memory, batches_of, bounded_batches, held_for, text_bytes
 
 NBEST = 3
-REMEMBERED = 600_000
+#: Bytes that a worker remembers of words, of chunks, and of the segmentations that were searched for again.
+WORDS, CHUNKS, DEEP = 128 << 20, 64 << 20, 16 << 20
 _CHUNK = regex.compile(r" ?\p{L}+| ?[^\p{L} \n]+| |\n")
 
 Segmentation = tuple[float, list[int]]
@@ -71,9 +72,9 @@ class Vocabulary:
         #: Pieces have their edge here, and what only begins a piece has nothing in it.
         self.edges: dict[str, tuple] = {p[:n]: () for p in self.ids for n in range(1, len(p))}
         self.edges |= {p: (self.score[i], (i,)) for p, i in self.ids.items()}
-        self.known: dict[str, Entry] = {}  # by what follows a space
-        self.inner: dict[str, Entry] = {}
-        self.deep: dict[tuple[str, int], list[Segmentation]] = {}
+        self.known = Memory(WORDS)  # an Entry by what follows a space
+        self.inner = Memory(CHUNKS)
+        self.deep = Memory(DEEP)  # segmentations by word and number
 
     def lattice(self, text: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For each place in text, the edges that end there: (start, score, ids)."""
@@ -125,8 +126,7 @@ class Vocabulary:
         if entry is None:
             first, *second = self.best(text, 2)
             entry = (np.asarray(first[1], "<u4").tobytes(), first[0], first[0] - second[0][0] if second else math.inf)
-            if len(self.inner) < REMEMBERED:
-                self.inner[text] = entry
+            self.inner.keep(text, entry, 2 * len(text) + len(entry[0]) + 200)
         return entry
 
     def word(self, word: str) -> Entry:
@@ -134,15 +134,13 @@ class Vocabulary:
         chunks = _CHUNK.findall(" " + word)
         ids, scores, losses = zip(*map(self.chunk, chunks), strict=True)
         entry = (b"".join(ids), math.fsum(scores), min(losses))
-        if len(chunks) <= 2 and "\n" not in word and len(self.known) < REMEMBERED:
-            self.known[word] = entry
+        if len(chunks) <= 2 and "\n" not in word:
+            self.known.keep(word, entry, 2 * len(word) + len(entry[0]) + 200)
         return entry
 
     def _deeper(self, word: str, n: int) -> list[Segmentation]:
-        if len(self.deep) >= REMEMBERED // 10:
-            self.deep.clear()
-        out = self.deep[word, n] = self.best(" " + word, n)
-        return out
+        made = self.best(" " + word, n)
+        return self.deep.keep((word, n), made, 2 * len(word) + sum(8 * len(ids) + 200 for _, ids in made) + 200)
 
     def encode(self, text: str, n: int = 1) -> list[tuple[float, bytes]]:
         """The n best segmentations of a text: score, and ids as little-endian unsigned 32-bit numbers."""
@@ -179,14 +177,12 @@ class Vocabulary:
         return b"".join([shown[i] for i in np.frombuffer(ids, "<u4").tolist()])[1:]
 
 
-_VOCABULARIES: dict[str, Vocabulary] = {}
-
-
 def vocabulary(path: str) -> Vocabulary:
     """One for each worker process."""
-    if path not in _VOCABULARIES:
-        _VOCABULARIES[path] = Vocabulary(path)
-    return _VOCABULARIES[path]
+    held = held_for("sentencepiece")
+    if path not in held:
+        held[path] = Vocabulary(path)
+    return held[path]
 
 
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("rank", pa.int32()), ("score", pa.float64()), ("ids", pa.binary())])
