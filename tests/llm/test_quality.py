@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
-from helpers import DOCS, clashing, docs
+from helpers import DOCS, SF, clashing, docs
 from weftline.llm.quality import classify, fit, sample, score_documents, site_priors
 
 BIG = "/root/testdata/sf0.1"
@@ -25,6 +25,54 @@ def test_site_rates_shrink_toward_their_priors(spark):
     assert of["bad", "a"] > of["bad", "b"] - 1e-9 > of["new", "a"] > of["big", "a"] and of[None, None] < odds["toxic"]
 
 
+def test_posteriors_of_every_row_against_numpy(spark):
+    """The shrinkage, written down plainly: sums by site in dictionaries, no grouped aggregation."""
+    frame, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rows = score_documents(frame, labels).join(frame.select("doc_id", "source", "lang"), "doc_id").collect()
+    assert len(rows) == frame.count()
+    for t in ("good", "toxic"):
+        own = np.array([r[f"own_{t}"] for r in rows])
+        mean = own.mean()
+        hosts, paths = ([(r.source, r.lang)[:k] for r in rows] for k in (1, 2))
+        at_host, at_path = ({s: own[[i for i, x in enumerate(sites) if x == s]] for s in set(sites)} for sites in (hosts, paths))
+
+        def strength(sites):
+            n = np.array([len(v) for v in sites.values()])
+            rate = np.array([v.mean() for v in sites.values()])
+            spread = (n * (rate - mean) ** 2 - mean * (1 - mean)).sum() / (n.sum() - (n**2).sum() / n.sum())
+            return np.clip(mean * (1 - mean) / spread - 1, 5, 1e5) if spread > 0 else 1e5
+
+        of_host, of_path = strength(at_host), strength(at_path)
+        for r, odds in zip(rows, np.log(own / (1 - own)), strict=True):
+            h, p = at_host[(r.source,)], at_path[r.source, r.lang]
+            host = (of_host * mean + h.sum()) / (of_host + len(h))
+            path = (of_path * host + p.sum()) / (of_path + len(p))
+            want = odds + np.log(path / (1 - path)) - np.log(mean / (1 - mean))
+            assert abs(r[f"p_{t}"] - 1 / (1 + np.exp(-want))) < 1e-9
+    assert all(r.keep == (r.p_toxic <= 0.5 and r.p_good >= 0.5) for r in rows)
+
+
+def test_fit_on_executors_is_the_fit_in_memory(spark):
+    frame, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rows = frame.join(labels.filter("quality is not null and toxic is not null"), "doc_id").orderBy("doc_id").collect()
+    want = fit([(r.text or "").encode() for r in rows], {"good": np.array([float(r.quality) for r in rows]), "toxic": np.array([float(r.toxic) for r in rows])})
+    got = sample(frame, labels)
+    assert got.words == want.words and all(np.allclose(got.weights[t], want.weights[t], rtol=1e-9, atol=1e-9) for t in want.weights)
+
+
+def test_repeated_ids_fit_the_same_each_time(spark):
+    """Rows of one id with other texts, and labels that disagree, in any order."""
+    rng = random.Random(4)
+    rows = [(i % 40, " ".join(rng.choice(["fine", "plain", "word", "bad", "junk"]) + str(rng.randrange(9)) for _ in range(30)), "en", "s", 1) for i in range(120)]
+    told = [(i % 40, rng.randrange(2), rng.randrange(2)) for i in range(120)]
+    made = []
+    for _ in range(2):
+        rng.shuffle(rows)
+        rng.shuffle(told)
+        made.append(sample(docs(spark, rows), spark.createDataFrame(told, LABELS)))
+    assert made[0].words == made[1].words and all(np.array_equal(made[0].weights[t], made[1].weights[t]) for t in made[0].weights)
+
+
 def test_one_class_and_no_labels(spark):
     assert fit([], {"good": np.array([]), "toxic": np.array([])}).log_odds(b"text")[0] > 0
     none = spark.createDataFrame([], LABELS)

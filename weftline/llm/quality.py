@@ -2,7 +2,8 @@
 
 A document's own evidence is two log odds, that it is good and that it is toxic, from classifiers over its words and its
 surface. They are fitted on a sample of labelled documents of at most ``fit_rows`` rows (a bound of the fit alone: what is
-scored, and every count below, covers all documents).
+scored, and every count below, covers all documents). Their texts stay on the executors, which count terms and make features.
+Of labels that disagree about a doc_id, the least quality counts, and then the most toxic; of texts that repeat one, the least.
 
 Documents come from hosts, and within these from paths. Grouped aggregation sums the evidence of each path and host. A host's
 rate is shrunk toward the global rate, and a path's toward its host's, by as much as rates of sites differ beyond what chance
@@ -11,22 +12,27 @@ odds, moved from the global rate to the rate of its path.
 
 A document is rejected when its posterior of being toxic, or of not being good, is over ``reject``. Null texts count as
 empty; empty texts have no words, so only their surface speaks. Null hosts or paths are a site of their own. Documents repeat
-as they are: each row counts and is scored.
+as they are: each row counts and is scored. No rows give no rows; without labels, texts are taken as good. Extra columns are
+carried or left unread, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from operator import eq
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bounded_batches, cut, text_bytes
+from weftline.llm.common import batches_of, bounded_batches, cut, text_bytes
 
 FIT_ROWS = 6000
+#: Sites that are broadcast to the rows; if there are more, rows and sites are shuffled to each other.
+SITES = 20_000
 REJECT = 0.5
 TARGETS = ("good", "toxic")
 _UPPER, _DIGIT = bytes(range(65, 91)), bytes(range(48, 58))
@@ -86,17 +92,16 @@ def _features(shape: list[float], words: set[bytes], found: dict[bytes, float])
     stems = {w for w in told if w[-1:] == b"~"}
     held = sum(1 for w in words if w[-1:] != b"~" and (w in found and found[w] > 0 or stems and any(w[:n] + b"~" in stems for n in _STEMS if len(w) > n))) if told else 0
     weights = found.values()
-    return [*shape, sum(weights) / 10, max(weights, default=0.0) / 5, min(weights, default=0.0) / 5, math.log1p(held), float(held > 1)]
+    return [*shape, math.fsum(weights) / 10, max(weights, default=0.0) / 5, min(weights, default=0.0) / 5, math.log1p(held), float(held > 1)]
 
 
-def _informative(rows: list[np.ndarray], y: np.ndarray, terms: int) -> np.ndarray:
+def _informative(a: np.ndarray, b: np.ndarray, n0: int, n1: int, terms: int) -> np.ndarray:
     """A weight for each term: its log odds ratio, smoothed, where the classes differ in it beyond chance, and else 0.
 
-    Beyond chance: by a likelihood ratio test whose bar rises with the number of terms that are tried.
+    a and b: in how many of the n0 and n1 texts of the classes it is. Beyond chance: by a likelihood ratio test whose bar rises
+    with the number of terms that are tried.
     """
-    a, b = (np.bincount(np.concatenate([r for r, label in zip(rows, y, strict=True) if label == k] or [[]]).astype(int), minlength=terms).astype(float) for k in (0, 1))
-    n0, n1 = (y == 0).sum(), (y == 1).sum()
-    share = (a + b) / (n0 + n1)
+    share = (a + b) / max(n0 + n1, 1)
     part = lambda o, e: np.where(o > 0, o * np.log(np.maximum(o, 1e-9) / np.maximum(e, 1e-9)), 0.0)
     g = 2 * (part(b, n1 * share) + part(a, n0 * share) + part(n1 - b, n1 * (1 - share)) + part(n0 - a, n0 * (1 - share)))
     ratio = np.log((b + 0.5) / (n1 - b + 0.5)) - np.log((a + 0.5) / (n0 - a + 0.5))
@@ -104,6 +109,37 @@ def _informative(rows: list[np.ndarray], y: np.ndarray, terms: int) -> np.ndarra
     return np.where(g > 2 * np.log(max(terms, 1)) + 2, ratio, 0.0)
 
 
+#: A text's cell: which half it is in, and its two labels. Weights are wanted of terms in the half of even rows, of odd ones, and in all.
+CELLS = [(half, good, toxic) for half in (0, 1) for good in (0, 1) for toxic in (0, 1)]
+PARTS = [(halves, target) for halves in ((0,), (1,), (0, 1)) for target in TARGETS]
+
+
+def _counted(rows: Iterable[tuple[int, bytes]]) -> Iterator[tuple]:
+    """From (cell, text): each term, and in how many texts of each cell it is."""
+    counts: dict[bytes, list[int]] = {}
+    for cell, text in rows:
+        for w in words_of(text):
+            counts.setdefault(w, [0] * len(CELLS))[cell] += 1
+    return ((w, *n) for w, n in counts.items())
+
+
+def _weighed(counts: np.ndarray, texts: np.ndarray, terms: int) -> np.ndarray:
+    """The weights of terms (rows) in each of PARTS, from their counts and the numbers of texts in each cell."""
+    out = []
+    for halves, target in PARTS:
+        sides = [[k for k, cell in enumerate(CELLS) if cell[0] in halves and cell[1 + TARGETS.index(target)] == label] for label in (0, 1)]
+        out.append(_informative(*(counts[:, side].sum(axis=1).astype(float) for side in sides), *(int(texts[side].sum()) for side in sides), terms))
+    return np.column_stack(out)
+
+
+def _features_of(rows: Iterable[tuple[int, bytes]], told: dict[bytes, list[float]]) -> Iterator[list[list[float]]]:
+    """For each text, its features for each target, by the words that the other half has told."""
+    for cell, text in rows:
+        words, shape, half = words_of(text), surface(text), CELLS[cell][0]
+        known = [(w, told[w]) for w in words & told.keys()]
+        yield [_features(shape, words, {w: v[k] for w, v in known if v[k]}) for k in (PARTS.index(((1 - half,), t)) for t in TARGETS)]
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 40) -> np.ndarray:
     """Newton's method with a ridge on all but the first weight."""
     w = np.zeros(x.shape[1])
@@ -118,50 +154,93 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 40)
     return w
 
 
-def fit(texts: list[bytes], labels: dict[str, np.ndarray]) -> Evidence:
-    """Two classifiers. Each half of the rows is weighed with words chosen on the other half; then words are chosen on all.
-
-    A target of one class alone (or no rows at all) gets a constant.
-    """
-    made, shapes, index = Evidence(), [surface(t) for t in texts], {}
-    rows = [np.fromiter((index.setdefault(w, len(index)) for w in sorted(words_of(t))), np.int64) for t in texts]
-    for target in TARGETS:
-        y = labels[target]
+def _settled(x: list[np.ndarray], labels: dict[str, np.ndarray], told: dict[bytes, list[float]]) -> Evidence:
+    """The classifiers, from features of each target, labels, and weights of terms. A target of one class alone (or no rows at all) gets a constant."""
+    made = Evidence()
+    for k, target in enumerate(TARGETS):
+        y, part = labels[target], PARTS.index(((0, 1), target))
         if len(y) < 8 or not 0 < y.sum() < len(y):
             made.words[target] = {}
             made.weights[target] = np.array([8.0 * (np.mean(y) - 0.5) if len(y) else (2.0 if target == "good" else -4.0)] + [0.0] * (SURFACE + 4))
-            continue
-        x = np.zeros((len(rows), SURFACE + 5))
-        for half in (0, 1):
-            told = _informative(rows[1 - half :: 2], y[1 - half :: 2], len(index))
-            for i in range(half, len(rows), 2):
-                words = words_of(texts[i])
-                x[i] = _features(shapes[i], words, {w: float(told[index[w]]) for w in words if told[index[w]]})
-        made.weights[target] = _logistic(x, y)
-        told = _informative(rows, y, len(index))
-        made.words[target] = {w: float(told[i]) for w, i in index.items() if told[i]}
+        else:
+            made.words[target] = {w: v[part] for w, v in told.items() if v[part]}
+            made.weights[target] = _logistic(x[k], y)
     return made
 
 
+def fit(texts: list[bytes], labels: dict[str, np.ndarray]) -> Evidence:
+    """Two classifiers. Each half of the rows is weighed with words chosen on the other half; then words are chosen on all."""
+    cells = [CELLS.index((i % 2, int(labels["good"][i]), int(labels["toxic"][i]))) for i in range(len(texts))]
+    words, counts = [], []
+    for w, *n in _counted(zip(cells, texts, strict=True)):
+        words.append(w)
+        counts.append(n)
+    weights = _weighed(np.array(counts, np.int64).reshape(-1, len(CELLS)), np.bincount(cells, minlength=len(CELLS)), len(words))
+    told = {w: v.tolist() for w, v in zip(words, weights, strict=True) if v.any()}
+    x = np.array(list(_features_of(zip(cells, texts, strict=True), told))).reshape(len(texts), len(TARGETS), SURFACE + 5)
+    return _settled([x[:, k] for k in range(len(TARGETS))], labels, told)
+
+
+_TERMS = pa.schema([("term", pa.binary()), *((f"c{k}", pa.int64()) for k in range(len(CELLS)))])
+_WEIGHTS = pa.schema([("term", pa.binary()), ("weights", pa.list_(pa.float64()))])
+_X = pa.schema([("place", pa.int64()), ("cell", pa.int32()), ("x", pa.list_(pa.float64()))])
+
+
 def sample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Evidence:
-    """Evidence from the fit_rows labelled documents whose ids hash lowest. Labels that are null are left out."""
-    told = labels.filter("doc_id is not null and quality is not null and toxic is not null").dropDuplicates(["doc_id"])
-    chosen = told.select("doc_id", "quality", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    ids = docs.sparkSession.createDataFrame(chosen.collect(), chosen.schema)  # of bounded size
-    rows = docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
-    labels_of = {"good": rows["quality"].to_numpy(float), "toxic": rows["toxic"].to_numpy(float)}
-    return fit([bytes(t) for t in rows["text"]], labels_of)
+    """Evidence from the fit_rows labelled documents whose ids hash lowest. Labels that are null are left out.
 
+    To the driver come their ids and labels, the terms that tell, and the features of each row: nothing that grows with texts.
+    """
+    known = labels.filter("doc_id is not null and quality is not null and toxic is not null")
+    wary = F.min(F.struct((F.col("quality") > 0).cast("int").alias("good"), (-(F.col("toxic") > 0).cast("int")).alias("clean")))
+    told = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(wary.alias("l")).select("doc_id", "l.good", (-F.col("l.clean")).alias("toxic"))
+    chosen = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    ids = docs.sparkSession.createDataFrame(chosen.collect(), chosen.schema)  # of bounded size
+    texts = docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(ids), "doc_id")
+    ordered = F.row_number().over(Window.orderBy("doc_id")).cast("long") - 1
+    rows = cut(texts.groupBy("doc_id", "good", "toxic").agg(F.min("text").alias("text")), 100 * fit_rows)
+    placed = rows.select("doc_id", ordered.alias("place"))  # ids alone, as many as are fitted
+    cell = F.element_at(F.array(*map(F.lit, range(len(CELLS)))), (F.col("place") % 2 * 4 + F.col("good") * 2 + F.col("toxic") + 1).cast("int"))
+    rows = rows.join(F.broadcast(placed), "doc_id").select("place", cell.alias("cell"), "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = ((c, t) for b in batches for c, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        yield from batches_of(_counted(pairs), _TERMS, 16384)
+
+    c = [f"c{k}" for k in range(len(CELLS))]
+    counts = rows.select("cell", "text").mapInArrow(count, "term binary, " + ", ".join(f"{x} long" for x in c))
+    counts = cut(counts.groupBy("term").agg(*[F.sum(x).alias(x) for x in c]), 100 * fit_rows)
+    terms, of_cell = counts.count(), np.zeros(len(CELLS), np.int64)
+    for r in rows.groupBy("cell").agg(F.count("*").alias("n")).collect():
+        of_cell[r["cell"]] = r["n"]
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            weights = _weighed(np.column_stack([batch.column(x).to_numpy(zero_copy_only=False) for x in c]), of_cell, terms)
+            tell = np.flatnonzero(weights.any(axis=1))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(tell)), pa.array(weights[tell].tolist(), _WEIGHTS.field(1).type)], schema=_WEIGHTS)
+
+    telling = {bytes(r["term"]): list(r["weights"]) for r in counts.mapInArrow(weigh, "term binary, weights array<double>").collect()}
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for place, cell, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                (x,) = _features_of([(cell, text)], telling)
+                yield pa.RecordBatch.from_pylist([{"place": place, "cell": cell, "x": [v for part in x for v in part]}], _X)
+
+    made = sorted(rows.mapInArrow(make, "place long, cell int, x array<double>").collect())  # fit_rows rows of fixed size
+    x = np.array([r["x"] for r in made]).reshape(len(made), len(TARGETS), SURFACE + 5)
+    at = [CELLS[r["cell"]] for r in made]
+    return _settled([x[:, k] for k in range(len(TARGETS))], {t: np.array([float(cell[1 + k]) for cell in at]) for k, t in enumerate(TARGETS)}, telling)
 
 
 def scores(evidence: Evidence):
     """A column function from texts (binary) to their log odds of being good and toxic."""
+    kind = pa.struct([(t, pa.float64()) for t in TARGETS])
 
-    @F.pandas_udf("struct<good:double,toxic:double>")
-    def scored(texts):
-        import pandas as pd
-
-        return pd.DataFrame([evidence.log_odds(bytes(t)) for t in texts], columns=list(TARGETS))
+    @F.arrow_udf("struct<good:double,toxic:double>")
+    def scored(texts: pa.Array) -> pa.Array:
+        return pa.array([dict(zip(TARGETS, evidence.log_odds(t), strict=True)) for t in texts.to_pylist()], kind)
 
     return scored
 
@@ -170,8 +249,8 @@ def _rate(odds: Column) -> Column:
     return 1 / (1 + F.exp(-odds))
 
 
-def _site_sums(scored: DataFrame) -> DataFrame:
-    return cut(scored.groupBy("host", "path").agg(F.count("*").alias("n"), *[F.sum(_rate(F.col(t))).alias(t) for t in TARGETS]))
+def _site_sums(scored: DataFrame, rows: int) -> DataFrame:
+    return cut(scored.groupBy("host", "path").agg(F.count("*").alias("n"), *[F.sum(_rate(F.col(t))).alias(t) for t in TARGETS]), rows)
 
 
 def site_priors(scored: DataFrame) -> tuple[DataFrame, dict[str, float]]:
@@ -179,7 +258,8 @@ def site_priors(scored: DataFrame) -> tuple[DataFrame, dict[str, float]]:
 
     The strength of a prior (in documents) is m (1 - m) / v - 1, for the mean m of rates and their variance v beyond chance.
     """
-    paths = _site_sums(scored)
+    rows = scored.count()
+    paths = _site_sums(scored, rows)
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), *[F.sum(t).alias(f"host_{t}") for t in TARGETS])
     whole = hosts.agg(F.sum("host_n").alias("n"), *[F.sum(f"host_{t}").alias(t) for t in TARGETS]).first()
     mean = {t: min(max((whole[t] or 0.0) / (whole["n"] or 1), 1e-4), 1 - 1e-4) for t in TARGETS}
@@ -206,32 +286,34 @@ def site_priors(scored: DataFrame) -> tuple[DataFrame, dict[str, float]]:
         path = (of_path[t] * host + F.col(t)) / (of_path[t] + F.col("n"))
         out = out.withColumn(f"prior_{t}", F.log(path / (1 - path)))
     odds = {t: float(np.log(mean[t] / (1 - mean[t]))) for t in TARGETS}
-    return cut(out.select("host", "path", *[f"prior_{t}" for t in TARGETS])), odds
+    return cut(out.select("host", "path", *[f"prior_{t}" for t in TARGETS]), rows), odds
 
 
 def _posterior(odds: dict[str, float], target: str) -> Column:
     return _rate(F.col(target) + F.col(f"prior_{target}") - F.lit(odds[target]))
 
 
-def _with_sites(docs: DataFrame, host: Column, path: Column) -> DataFrame:
-    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), text_bytes().alias("text"), host.alias("host"), path.alias("path"))
+def _judged(scored: DataFrame, kept: list[str], reject: float) -> DataFrame:
+    """From rows (host, path, good, toxic and what is kept), cut from their lineage: what is kept, posteriors and keep."""
+    priors, odds = site_priors(scored)
+    sites = priors.withColumnsRenamed({"host": "h", "path": "p"})
+    few = priors.limit(SITES + 1).count() <= SITES
+    both = scored.join(F.broadcast(sites) if few else sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")), "left")
+    told = both.select(*kept, *[_posterior(odds, t).alias(f"p_{t}") for t in TARGETS], *[_rate(F.col(t)).alias(f"own_{t}") for t in TARGETS])
+    return told.withColumn("keep", (F.col("p_toxic") <= reject) & (F.col("p_good") >= 1 - reject))
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, fit_rows: int = FIT_ROWS, reject: float = REJECT) -> DataFrame:
     """(row, p_good, p_toxic, own_good, own_toxic, keep): row holds the columns of docs, whatever their names.
 
-    Texts are scored twice, once for the sums of sites and once for the rows, so that no text is shuffled: sites are joined to
-    rows by broadcast if Spark finds them small enough, and else by a join that splits hot hosts.
+    Each text is scored once. The rows are kept in the shared folder with their two numbers, for the sums of sites and for what
+    follows; no text is shuffled unless there are more than SITES sites.
     """
     bounded_batches(docs.sparkSession)
     score = scores(sample(docs, labels, fit_rows))
     host, path = (F.col("source") if host is None else host), (F.col("lang") if path is None else path)
-    placed = _with_sites(docs, host, path).withColumn("s", score("text"))
-    priors, odds = site_priors(placed.select("host", "path", "s.*"))
-    sites = priors.withColumnsRenamed({"host": "h", "path": "p"})
-    both = placed.select("row", "host", "path", "s.*").join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")), "left")
-    told = both.select("row", *[_posterior(odds, t).alias(f"p_{t}") for t in TARGETS], *[_rate(F.col(t)).alias(f"own_{t}") for t in TARGETS])
-    return told.withColumn("keep", (F.col("p_toxic") <= reject) & (F.col("p_good") >= 1 - reject))
+    placed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), host.alias("host"), path.alias("path"), score(text_bytes()).alias("s"))
+    return _judged(cut(placed.select("row", "host", "path", "s.*")), ["row"], reject)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, reject: float = REJECT) -> DataFrame:
@@ -241,10 +323,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS
     """
     bounded_batches(docs.sparkSession)
     score = scores(sample(docs, labels, fit_rows))
-    scored = docs.select("doc_id", F.col("source").alias("host"), F.col("lang").alias("path"), score(text_bytes()).alias("s")).select("doc_id", "host", "path", "s.*")
-    scored = cut(scored)
-    priors, odds = site_priors(scored)
-    sites = priors.withColumnsRenamed({"host": "h", "path": "p"})
-    both = scored.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")), "left")
-    told = both.select("doc_id", *[_posterior(odds, t).alias(f"p_{t}") for t in TARGETS], *[_rate(F.col(t)).alias(f"own_{t}") for t in TARGETS])
-    return told.withColumn("keep", (F.col("p_toxic") <= reject) & (F.col("p_good") >= 1 - reject))
+    scored = docs.select("doc_id", F.col("source").alias("host"), F.col("lang").alias("path"), score(text_bytes()).alias("s"))
+    return _judged(cut(scored.select("doc_id", "host", "path", "s.*")), ["doc_id"], reject)
