@@ -55,6 +55,30 @@ def test_runs_compact_and_anti_join(spark):
         runs.add(keys)
     assert [len(level) for level in runs.levels] == [1, 0, 1]
     assert sorted(r.n_docs for r in runs.totals().collect()) == [1] * 5 + [5]
+    assert [r.n_docs for r in runs.totals(5).collect()] == [5]
+    runs.close()
+
+
+def test_the_anti_join_carries_the_counts(spark, monkeypatch):
+    """Without its survivors nothing is dropped; with all rows as survivors, counts of batches are not added up."""
+    rows = some_rows()
+    want = sum(n for _, _, n, _ in brute(rows))
+    fresh = LineRuns.fresh
+    found = {}
+    for name, wrong in (("right", fresh), ("none", lambda self, batch: batch.limit(0)), ("all", lambda self, batch: batch)):
+        monkeypatch.setattr(LineRuns, "fresh", wrong)
+        found[name] = sum(r.n_dropped for r in dedup_lines(docs(spark, rows), n_batches=5, fanout=2).collect())
+    assert found["right"] == want and found["none"] == 0 and found["all"] != want
+
+
+def test_merges_shuffle_nothing(spark):
+    runs = LineRuns(spark, fanout=3)
+    for k in range(2):
+        runs.add(line_keys(docs(spark, [(k, f"{LINE}\n{LINE} number {k}", "en", "s", 1)])))
+    batch = spark.table(runs.levels[0][0])
+    plan = runs.fresh(batch)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "Exchange" not in plan
+    runs.close()
 
 
 def test_no_rows_and_clashing_columns(spark):

@@ -1,10 +1,11 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
 A line's key is the line without white space at both ends, A-Z lower-cased; a row of a run is (h1, h2, n_docs, max_doc) for
-the 128-bit hash of a key, and a run is stored sorted by (h1, h2). :class:`LineRuns` takes one batch of documents after the
-other: it merge-anti-joins the batch's keys with the runs there are (what is left was never seen before), and adds the batch
-as a run of its own at level 0. Whenever a level holds ``fanout`` runs, they are merged into one run of the next level, so a
-key is rewritten a logarithmic number of times. Counts of a key in several runs add up; merging keeps the largest doc_id.
+the 128-bit hash of a key, and a run is stored bucketed and sorted by (h1, h2). :class:`LineRuns` takes one batch of documents
+after the other: it merge-anti-joins the batch's keys with the runs there are. What is left was never seen before: it is a
+run of its own at level 0, so each key is in one run alone. What was seen before goes to a run of repeats, with what it adds to
+its key's count. Whenever a level holds ``fanout`` runs, they are merged into one run of the next level, so a key is rewritten a
+logarithmic number of times. In the end, counts of keys are formed from their first sightings and, where there are any, the repeats.
 
 Once all batches are in, keys found in ``min_docs`` documents lose all their lines except in the largest doc_id holding them.
 Rows that repeat a doc_id count as documents of their own, and as the largest they all keep the line. A null doc_id ranks
@@ -16,7 +17,6 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 import xxhash
@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import batches_of, bounded_batches, checkpoint_dir, text_bytes
+from weftline.llm.common import batches_of, bounded_batches, checkpoint_dir, cut, in_files, remove, text_bytes
 
 BLANK = b" \t\n\x0b\x0c\r"
 NO_ID = -(1 << 63)
-_RUN = ["h1", "h2", "n_docs", "max_doc", "first"]
+_RUN = ["h1", "h2", "n_docs", "max_doc"]
 _KEYS = pa.schema([("id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
 _KEPT = pa.schema([("id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept", pa.binary()), ("sha", pa.string())])
 
@@ -55,61 +55,85 @@ def _keys_of(min_chars: int):
 
 
 class LineRuns:
-    """The levelled runs, each a Parquet table in the shared folder."""
+    """The levelled runs: tables in the shared folder, bucketed and sorted by key, so that anti joins shuffle nothing."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 3, folder: str | None = None):
+    def __init__(self, spark: SparkSession, fanout: int = 3, folder: str | None = None, rows: int | None = None):
+        """rows: how many rows there may be of documents and keys; few are kept in few buckets."""
         self.spark, self.fanout = spark, fanout
         self.folder = folder or f"{checkpoint_dir(spark)}/runs-{uuid.uuid4().hex}"
+        dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.few = rows is not None and rows < 20_000 * dealt
+        self.buckets = min(8, dealt) if self.few else dealt
         self.levels: list[list[str]] = []
+        self.repeats: list[str] = []
         self._made = 0
 
-    def _store(self, run: DataFrame, level: int) -> None:
+    def _stored(self, rows: DataFrame) -> str:
+        """rows (_RUN) as a table; its name."""
         self._made += 1
-        path = f"{self.folder}/level{level}-{self._made}"
-        run.select(*_RUN).sortWithinPartitions("h1", "h2").write.parquet(path)
+        name = f"{self.folder.rsplit('/', 1)[-1]}_{self._made}".replace("-", "_")
+        (rows.coalesce(self.buckets) if self.few else rows).select(*_RUN).write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{self.folder}/{name}").saveAsTable(name)
+        return name
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE {name}")
+        remove(self.spark, f"{self.folder}/{name}")
+
+    def _add_run(self, name: str, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
+        self.levels[level].append(name)
         if len(self.levels[level]) >= self.fanout:
             merged, self.levels[level] = self.levels[level], []
-            self._store(self._merged(merged), level + 1)
+            both = self._read(*(f"{self.folder}/{name}" for name in merged))  # no key is in two of them
+            self._add_run(self._stored(both if self.few else both.repartition(self.buckets, "h1", "h2")), level + 1)
             for old in merged:
-                self._remove(old)
-
-    def _remove(self, path: str) -> None:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
-
-    def _merged(self, paths: list[str]) -> DataFrame:
-        runs = [self.spark.read.parquet(p) for p in paths]
-        return reduce(DataFrame.unionByName, runs).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"), F.max("first").alias("first"))
-
-    def totals(self) -> DataFrame:
-        """All runs as one: a row for each key."""
-        paths = [p for level in self.levels for p in level]
-        if not paths:
-            return self.spark.createDataFrame([], "h1 long, h2 long, n_docs long, max_doc long, first boolean")
-        return self._merged(paths)
-
-    def _against(self, batch: DataFrame, how: str) -> DataFrame:
-        """batch, merge-joined (left_anti or left_semi) with the keys of all runs, which are stored in the order of the join."""
-        paths = [p for level in self.levels for p in level]
-        if not paths:
-            return batch if how == "left_anti" else batch.limit(0)
-        return batch.join(self.spark.read.parquet(*paths).select("h1", "h2").hint("merge"), ["h1", "h2"], how)
+                self._drop(old)
+
+    def _read(self, *paths: str) -> DataFrame:
+        """Tables as plain files. Their union as tables would be taken for partitioned by key by Spark 4.1, which it is not."""
+        return self.spark.read.schema("h1 long, h2 long, n_docs long, max_doc long").parquet(*paths)
+
+    def _runs(self) -> list[DataFrame]:
+        return [self.spark.table(name) for level in self.levels for name in level]
 
     def fresh(self, batch: DataFrame) -> DataFrame:
-        """Those keys of a batch that no run has."""
-        return self._against(batch, "left_anti")
+        """Those rows of a batch whose keys no run has, by one merge anti join after the other."""
+        for run in self._runs():
+            batch = batch.join(run.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+        return batch
 
     def add(self, keys: DataFrame) -> None:
         """Adds a batch, given as (id, h1, h2) with one row for each document and key.
 
-        Keys that the anti join leaves enter with first set; those seen before enter as what they add to their counts.
+        The keys that the anti joins leave become a run of level 0; those seen before become a run of repeats, of what they add.
         """
-        batch = keys.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("id").alias("max_doc"))
-        marked = self.fresh(batch).withColumn("first", F.lit(True)).unionByName(self._against(batch, "left_semi").withColumn("first", F.lit(False)))
-        self._store(marked, 0)
+        batch = self._stored(keys.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("id").alias("max_doc")))
+        first = self._stored(self.fresh(self.spark.table(batch)))
+        self.repeats.append(f"{self.folder}/repeats-{self._made}")
+        seen = self.spark.table(batch).join(self.spark.table(first).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+        (seen.coalesce(self.buckets) if self.few else seen).write.parquet(self.repeats[-1])
+        self._add_run(first, 0)
+        self._drop(batch)
+
+    def totals(self, min_docs: int = 1) -> DataFrame:
+        """A row for each key that min_docs documents have: what its first sighting says and what the repeats add; stored beside the runs."""
+        out = f"{self.folder}/totals-{uuid.uuid4().hex}"
+        if self.repeats:
+            added = cut(self._read(*self.repeats).groupBy("h1", "h2").agg(F.sum("n_docs").alias("more"), F.max("max_doc").alias("later")), 8 * 20_000 if self.few else None)
+            n = F.col("n_docs") + F.coalesce("more", F.lit(0))
+            for run in self._runs():
+                told = run.join(added, ["h1", "h2"], "left").filter(n >= min_docs)
+                told = told.coalesce(self.buckets) if self.few else told
+                told.select("h1", "h2", n.alias("n_docs"), F.greatest("max_doc", "later").alias("max_doc")).write.mode("append").parquet(out)
+        return self._read(out) if self.repeats else self.spark.createDataFrame([], "h1 long, h2 long, n_docs long, max_doc long")
+
+    def close(self) -> None:
+        """Drops all that is stored."""
+        for name in [name for level in self.levels for name in level]:
+            self._drop(name)
+        self.levels, self.repeats = [], []
+        remove(self.spark, self.folder)
 
 
 def line_keys(docs: DataFrame, min_chars: int = 40) -> DataFrame:
@@ -141,15 +165,20 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, n_batch
     The batches are dealt by a hash of the key, document by document; their number changes the work, not the result.
     """
     spark = docs.sparkSession
-    runs = LineRuns(spark, fanout)
-    stored = f"{runs.folder}/keys"
+    folder = f"{checkpoint_dir(spark)}/runs-{uuid.uuid4().hex}"
+    stored = f"{folder}/keys"
     line_keys(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(n_batches)).cast("int")).write.partitionBy("batch").parquet(stored)
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("id", "h1", "h2")] + [T.StructField("batch", T.IntegerType())])
     keys = spark.read.schema(schema).parquet(stored)
+    n_keys = keys.count()
+    runs = LineRuns(spark, fanout, folder, n_keys)
     for k in range(n_batches):
         runs.add(keys.filter(F.col("batch") == k))
-    repeated = runs.totals().filter(F.col("n_docs") >= min_docs).select("h1", "h2", "max_doc")
-    drops = keys.join(repeated, ["h1", "h2"]).filter("id <> max_doc").groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("hs"))
+    repeated = runs.totals(min_docs).select("h1", "h2", "max_doc")
+    # Both sides are plain shuffles, so that Spark can split the rows of a line that very many documents hold.
+    drops = cut(keys.join(repeated, ["h1", "h2"]).filter("id <> max_doc").select("id", "h1", "h2"), n_keys)
+    runs.close()
+    drops = drops.groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("hs"))
     h16 = F.transform("hs", lambda h: F.concat(_little(h["h1"]), _little(h["h2"])))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), text_bytes().alias("text"))
     kept = (
