@@ -3,7 +3,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from helpers import DOCS, SF, clashing, docs, texts
+from helpers import DOCS, SF, TINY, clashing, docs, texts
 from weftline.llm.fingerprints import _rolled, anchors, fingerprint_documents, likeness, read, sketch, written
 from weftline.llm.registry import op8_fingerprints
 
@@ -49,6 +49,45 @@ def test_whole_table(spark):
     assert np.median(edited) > 0.4 and np.median(following) < 0.1
 
 
+def plain_likeness(x: bytes, y: bytes, size=None):
+    """By sets and a quadratic longest rising subsequence, from all anchors of both texts."""
+    marks = []
+    for text in (x, y):
+        first = {}
+        for h, at in zip(*(v.tolist() for v in anchors(text))):
+            first.setdefault(h, at)
+        marks.append(dict(sorted(first.items())[:size]))
+    a, b = marks
+    if not a and not b:
+        return 1.0
+    union = sorted(a.keys() | b.keys())[:size]
+    shared = [h for h in union if h in a and h in b]
+    if not shared:
+        return 0.0
+    place = [b[h] for h in sorted(a.keys() & b.keys(), key=a.get)]
+    best = []
+    for i, v in enumerate(place):
+        best.append(1 + max((best[j] for j in range(i) if place[j] < v), default=0))
+    return len(shared) / len(union) * max(best) / len(place)
+
+
+def test_likeness_of_the_whole_table(spark):
+    """The sketch's and that of all anchors, each against its plain form; and how far they are apart."""
+    rows = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{TINY}/documents.parquet").collect())
+    frame = spark.read.parquet(f"{TINY}/documents.parquet")
+    told = {size: {r.doc_id: r for r in fingerprint_documents(frame, size).collect()} for size in (64, None)}
+    apart = []
+    for (doc, text), (_, after) in zip(rows, [*rows[1:], rows[0]]):
+        m = len(text) // 4
+        edited = (text[: len(text) - m] + after[:m] if m else text).encode()
+        for size, found in told.items():
+            near = [plain_likeness(text.encode(), other, size) for other in (edited, after.encode())]
+            assert [found[doc].near_edited, found[doc].near_next] == near
+        assert len(read(told[None][doc].fingerprint)[0]) == len(set(anchors(text.encode())[0].tolist()))
+        apart.append(told[64][doc].near_edited - told[None][doc].near_edited)
+    assert np.abs(apart).mean() < 0.04 and np.sqrt(np.mean(np.square(apart))) < 0.07
+
+
 def test_likeness_estimates_all_anchors():
     rng = np.random.default_rng(1)
     a = rng.integers(97, 123, 20000).astype(np.uint8).tobytes()

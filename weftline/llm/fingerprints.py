@@ -2,12 +2,13 @@
 
 A k-mer of bytes is a closed syncmer when its smallest inner s-mer, by hash, stands first or last in it. Whether it is one
 depends on its own k bytes alone, so equal passages choose equal anchors wherever they stand. A fingerprint holds the
-``size`` anchors of smallest hash, each with its first place, as base64 of little-endian unsigned 32-bit pairs ordered by hash: a bounded
-sketch of the anchors of the whole text. A text shorter than k bytes is its own single anchor; an empty text has none.
+``size`` anchors of smallest hash (all of them, if size is None), each with its first place, as base64 of little-endian unsigned 32-bit
+pairs ordered by hash: a bounded sketch of the anchors of the whole text. A text shorter than k bytes is its own single anchor; an empty text has none.
 
 The likeness of two fingerprints is the share of common anchors among the smallest of both together (an estimate of the
-Jaccard similarity of all anchors, exact where both hold all of theirs), times the share of the common ones that stand in the same order in both. Two
-empty fingerprints are alike by 1.
+Jaccard similarity of all anchors, exact where both hold all of theirs), times the share of the common ones that stand in the same
+order in both. With size None it is exact for all texts, and fingerprints grow with them. Two empty fingerprints are alike by 1.
+Columns besides doc_id and text are not read; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -80,10 +81,10 @@ def anchors(text: bytes, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray
     return mixed >> np.uint64(32), at
 
 
-def sketch(text: bytes, size: int = SIZE, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray, int]:
+def sketch(text: bytes, size: int | None = SIZE, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray, int]:
     """The size anchors of smallest hash (ascending, each once, at its first place), and the number of all."""
     hashes, at = anchors(text, k, s)
-    if len(hashes) > 4 * size:  # the smallest ones, with room for repeats
+    if size is not None and len(hashes) > 4 * size:  # the smallest ones, with room for repeats
         few = np.argpartition(hashes, 4 * size)[: 4 * size]
         chosen, first = np.unique(hashes[few], return_index=True)
         if len(chosen) >= size:
@@ -113,7 +114,7 @@ def _in_order(values: list[int]) -> int:
     return len(tails)
 
 
-def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], size: int = SIZE) -> float:
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], size: int | None = SIZE) -> float:
     if not len(a[0]) and not len(b[0]):
         return 1.0
     union = np.union1d(a[0], b[0])[:size]
@@ -125,7 +126,7 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
     return shared / len(union) * _in_order(place.tolist()) / len(place)
 
 
-def _compared(size: int):
+def _compared(size: int | None):
     def row(doc: int, text: str, mark, following: str, after):
         n, m = len(text), len(text) // 4
         edited = (text[: n - m] + following[:m] if m else text).encode()
@@ -151,7 +152,7 @@ def _compared(size: int):
     return run
 
 
-def fingerprint_documents(docs: DataFrame, size: int = SIZE) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, size: int | None = SIZE) -> DataFrame:
     """A row for each row of docs, compared with its edited text and with the next document by ascending doc_id.
 
     Null ids come first; rows that repeat an id follow each other by a hash of their texts. The last row's next is the first.
