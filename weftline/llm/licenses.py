@@ -124,14 +124,16 @@ def leading(tokens: Iterator[str]) -> list[str]:
 
 
 def tagged(text: bytes) -> Iterator[tuple[str, int, list[str]]]:
-    """Expressions after SPDX tags, each to the end of its line: as written, grade, licences. text: lower-cased."""
+    """Expressions after SPDX tags, each to the end of its line or to the next tag: as written, grade, licences. text: lower-cased."""
     at = text.find(RAW_TAG)
     while at >= 0:
-        end = text.find(b"\n", at)
-        tokens = (m[0].decode() for m in _TOKEN.finditer(text, at + len(RAW_TAG), len(text) if end < 0 else end))
+        at += len(RAW_TAG)
+        line, tag = text.find(b"\n", at), text.find(RAW_TAG, at)
+        ends = [end for end in (line, tag, len(text)) if end >= 0]
+        tokens = (m[0].decode() for m in _TOKEN.finditer(text, at, min(ends)))
         if written := leading(tokens):  # what follows an expression on its line is no part of it
             yield (" ".join(written), *evaluate(parse([t.rstrip(".:") for t in written])))
-        at = text.find(RAW_TAG, at + len(RAW_TAG))
+        at = tag
 
 
 _AUTOMATA: dict[tuple, object] = {}
