@@ -342,3 +342,51 @@ def test_percentiles_against_numpy(spark):
     assert [r.value for r in vision.change_percentiles(spark.createDataFrame([], "metric double"), at=(0.5,)).collect()] == [None]
     low = vision.lowest(spark.createDataFrame([(v, i) for i, v in enumerate([*values, None])], "metric double, turn int"))
     assert [r.metric for r in low.collect()] == sorted(values)[:14]
+
+
+def test_mmr_recomputed(spark):
+    """The registered query against a greedy choice written down plainly."""
+    from weftline.plans import retrieval
+
+    sf = "/root/testdata/sf0.01"
+    limits = retrieval.FIXTURE
+    pool = {}
+    for r in retrieve.scored(retrieval.candidates(spark, sf), limits).collect():
+        pool.setdefault(r.label, []).append((r.score, r.pid, r.oid, [float(x) for x in r.vec]))
+    want = []
+    for label, rows_ in pool.items():
+        left, chosen = sorted(rows_, key=lambda r: (-r[0], r[1])), []
+        dot = lambda x, y: sum(a * b for a, b in zip(x[3], y[3]))
+        while left and len(chosen) < limits.top:
+            best = max(left, key=lambda r: r[0] - limits.diversity * max([0.0, *(dot(r, c) for c in chosen)]))
+            chosen.append(best)
+            left = [r for r in left if r is not best and r[2] != best[2] and dot(r, best) < limits.duplicate]
+        want += [(label, i + 1, c[1]) for i, c in enumerate(chosen)]
+    found = [(r.label, r.pick, r.pid) for r in retrieval.retrieve_mmr(spark, sf).collect()]
+    assert sorted(found) == sorted(want) and len(want) > 20
+
+
+def test_slots_exclude_and_reject(spark):
+    """A slot's own source, what it excludes, and what lies nearer to a reject stay out; blocks of few rows lose nothing."""
+    rng = np.random.default_rng(6)
+    vecs = rng.normal(size=(120, 8))
+    vecs /= np.linalg.norm(vecs, axis=1)[:, None]
+    library = spark.createDataFrame([(i, i // 6, vecs[i].tolist(), [1.0, 0.5, 0.3], 0.9) for i in range(120)], "pid long, oid long, vec array<double>, sig array<double>, sym double")
+    slots_ = [(k, k // 6, [1.0, 0.5, 0.3], 0.9, vecs[k + 1 : k + 3].tolist(), vecs[k + 3 : k + 4].tolist(), [k + 20]) for k in range(0, 110, 7)]
+    slots = spark.createDataFrame(slots_, "slot long, oid long, sig array<double>, sym double, asked array<array<double>>, rejected array<array<double>>, without array<long>")
+    limits = retrieve.Limits(floor=0.1, saturation=0.4, reject=0.6)
+    want = set()
+    for slot, own, _, _, asked, rejected, without in slots_:
+        acc, rej = (vecs @ np.array(asked).T).max(1), (vecs @ np.array(rejected).T).max(1)
+        ok = [i for i in range(120) if i // 6 != own and i not in without and acc[i] >= 0.1 and rej[i] < 0.6 and acc[i] > rej[i]]
+        first = {}
+        for i in sorted(ok, key=lambda i: (-(min(acc[i], 0.4) + 0.25 * max(acc[i] - 0.4, 0)), i)):
+            first.setdefault(i // 6, i)
+        want |= {(slot, i) for i in list(first.values())[:8]}
+    rows_, asked_ = retrieve.ROWS, retrieve.ASKED
+    try:
+        retrieve.ROWS, retrieve.ASKED = 17, 5
+        found = {(r.slot, r.pid) for r in retrieve.for_slots(library, slots, limits, rejects=True).collect()}
+    finally:
+        retrieve.ROWS, retrieve.ASKED = rows_, asked_
+    assert found == want

@@ -7,7 +7,7 @@ scores: native (higher-order functions) for a few queries, and a matrix product
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -70,6 +70,87 @@ def similarity_matrix(candidates: DataFrame, queries: np.ndarray, name: str) ->
     return candidates.mapInArrow(product, schema)
 
 
+#: Rows of a block of candidates, and queries or slots of a block; a task holds one of each.
+ROWS, ASKED = 2048, 256
+
+
+def _blocks(df: DataFrame, key: str, each: int) -> tuple[DataFrame, int]:
+    """df with block, a number by the hash of its key, and how many blocks there are: about as many rows in each."""
+    many = max(1, -(-df.count() // each))
+    return df.withColumn("block", F.pmod(F.xxhash64(key), F.lit(many))), many
+
+
+def _met(left: DataFrame, right: DataFrame, key: tuple[str, str], work: Callable, schema: T.StructType | str) -> DataFrame:
+    """work(block of left, block of right), for each pair of blocks."""
+    renamed = right.select(*[F.col(c).alias(c) for c in right.columns])  # both may come from one table
+    (a, m), (b, n) = _blocks(left, key[0], ROWS), _blocks(renamed, key[1], ASKED)
+    a = a.withColumnRenamed("block", "a").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    b = b.withColumnRenamed("block", "b").withColumn("a", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
+    return a.groupBy("a", "b").cogroup(b.groupBy("a", "b")).applyInPandas(work, schema)
+
+
+def _matrix(vecs) -> np.ndarray:
+    return np.array([np.asarray(v, np.float64) for v in vecs])
+
+
+def similarity_blocks(candidates: DataFrame, queries: DataFrame, name: str, key: str = "pid") -> DataFrame:
+    """(key, name): the largest dot product of each candidate (key, vec) to a stated set of queries (the same columns), which may be many."""
+
+    def work(mine, asked):
+        import pandas as pd
+
+        if not len(mine) or not len(asked):
+            return pd.DataFrame({key: [], name: []})
+        return pd.DataFrame({key: mine[key], name: (_matrix(mine["vec"]) @ _matrix(asked["vec"]).T).max(axis=1)})
+
+    kind = dict(candidates.dtypes)[key]
+    of = lambda df: df.select(key, F.col("vec").cast("array<double>").alias("vec"))
+    return _met(of(candidates), of(queries), (key, key), work, f"{key} {kind}, {name} double").groupBy(key).agg(F.max(name).alias(name))
+
+
+def for_slots(library: DataFrame, slots: DataFrame, limits: Limits = Limits(), rejects: bool = False, top: bool = True) -> DataFrame:
+    """What each slot may take from a library, in one plan: (slot, pid, oid, s_acc, s_rej, score).
+
+    library: (pid, oid, vec, sig, sym). slots: (slot, oid, sig, sym, asked and rejected: arrays of vectors, without: ids that are
+    left out). A slot's own source, what it excludes and what fails its gates are not scored; with top, the limits.top best remain,
+    one from a source. Slots and library meet block by block. A block passes on, for each slot, the best of each source and the
+    top of these: a source among the best of all is among the best of its block, so nothing is lost.
+    """
+
+    def work(mine, asked):
+        import pandas as pd
+
+        out = []
+        if len(mine):
+            vecs, sig, sym = _matrix(mine["vec"]), _matrix(mine["sig"]), mine["sym"].to_numpy()
+            pid, oid = mine["pid"].to_numpy(), mine["oid"].to_numpy()
+        for s in asked.itertuples() if len(mine) else ():
+            d_sig, d_sym = np.abs(sig[:, 1:] - np.asarray(s.sig)[1:]).sum(axis=1), np.abs(sym - s.sym)
+            open_ = (d_sig <= limits.signature) & (d_sym <= limits.symmetry) & (oid != s.oid) & ~np.isin(pid, s.without)
+            at = np.flatnonzero(open_)
+            if not len(at) or not len(s.asked):
+                continue
+            acc = (vecs[at] @ _matrix(s.asked).T).max(axis=1)
+            rej = (vecs[at] @ _matrix(s.rejected).T).max(axis=1) if len(s.rejected) else np.full(len(at), -np.inf)
+            score = 10.0 * (np.minimum(acc, limits.saturation) + 0.25 * np.maximum(acc - limits.saturation, 0.0)) - 1.5 * d_sym[at] - d_sig[at]
+            kept = acc >= limits.floor
+            if rejects:
+                kept &= (rej < limits.reject) & (acc > rej)
+            told = pd.DataFrame({"slot": s.slot, "pid": pid[at], "oid": oid[at], "s_acc": acc, "s_rej": rej, "score": score})[kept]
+            if top:
+                told = told.sort_values(["score", "pid"], ascending=[False, True]).drop_duplicates("oid").head(limits.top)
+            out.append(told)
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("slot", "pid", "oid", "s_acc", "s_rej", "score")})
+
+    mine = library.select("pid", "oid", F.col("vec").cast("array<double>").alias("vec"), "sig", "sym")
+    kinds = dict(slots.dtypes) | dict(library.dtypes)
+    met = _met(mine, slots, ("pid", "slot"), work, f"slot {kinds['slot']}, pid {kinds['pid']}, oid {kinds['oid']}, s_acc double, s_rej double, score double")
+    if not top:
+        return met
+    best = first_by(met, ["slot", "oid"], [F.desc("score"), F.col("pid")])
+    return best.withColumn("_r", F.row_number().over(Window.partitionBy("slot").orderBy(F.desc("score"), "pid"))).filter(F.col("_r") <= limits.top).drop("_r")
+
+
 def scored(candidates: DataFrame, limits: Limits = Limits(), rejects: bool = False) -> DataFrame:
     """Candidates (s_acc and, with rejects, s_rej) over the floor and not nearer to a reject, with their score.
 

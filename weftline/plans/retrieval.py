@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,10 +77,47 @@ def retrieve_one_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_LIBRARY} SELECT v.pid, {rounded_sql('max(' + _DOT.format(q='q') + ')')} AS s_acc FROM library v, library q WHERE q.pid % 50 = 0 GROUP BY v.pid")
 def retrieve_many_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fiftieth part as a query against all: the matrix form."""
+    """Every fiftieth part as a query against all, block by block."""
     library = parts_library(spark, sf_dir).select("pid", "vec")
-    asked = np.array([r["vec"] for r in library.filter("pid % 50 = 0").select("vec").collect()])  # the stated queries
-    return retrieve.similarity_matrix(library, asked, "s").select("pid", rounded(F.col("s")).alias("s_acc"))
+    return retrieve.similarity_blocks(library, library.filter("pid % 50 = 0"), "s").select("pid", rounded(F.col("s")).alias("s_acc"))
+
+
+def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth part as a slot; the three after it ask, the two after these are rejected, and what is seven before or behind it is excluded."""
+    library = parts_library(spark, sf_dir)
+    own = library.filter("pid % 50 = 0").select(F.col("pid").alias("slot"), "oid", "sig", "sym")
+    near = library.filter("pid % 50 between 1 and 5").select((F.col("pid") - F.col("pid") % 50).alias("slot"), (F.col("pid") % 50).alias("k"), F.col("vec").cast("array<double>").alias("vec"))
+    vecs = near.groupBy("slot").agg(*[F.collect_list(F.when(F.col("k").isin(*ks), F.col("vec"))).alias(c) for c, ks in (("asked", (1, 2, 3)), ("rejected", (4, 5)))])
+    told = own.join(vecs, "slot", "left")
+    empty = F.expr("cast(array() as array<array<double>>)")
+    return told.select("slot", "oid", "sig", "sym", F.coalesce("asked", empty).alias("asked"), F.coalesce("rejected", empty).alias("rejected"), F.array(F.col("slot") - 7, F.col("slot") + 57).alias("without"))
+
+
+_SLOTS = f"""WITH {_LIBRARY.split("), gated AS")[0]}), met AS (
+  SELECT s.pid AS slot, v.*, abs(v.sig[2] - s.sig[2]) + abs(v.sig[3] - s.sig[3]) AS d_sig, abs(v.sym - s.sym) AS d_sym
+  FROM library s JOIN library v ON v.oid <> s.oid AND v.pid <> s.pid - 7 AND v.pid <> s.pid + 57 WHERE s.pid % 50 = 0
+), told AS (
+  SELECT v.slot, v.pid, v.oid, v.d_sig, v.d_sym, max({_DOT.format(q='q')}) FILTER (WHERE q.pid % 50 <= 3) AS s_acc, max({_DOT.format(q='q')}) FILTER (WHERE q.pid % 50 >= 4) AS s_rej
+  FROM met v JOIN library q ON q.pid BETWEEN v.slot + 1 AND v.slot + 5 WHERE v.d_sig <= 0.6 AND v.d_sym <= 0.4 GROUP BY ALL
+), scored AS (
+  SELECT *, 10.0 * (least(s_acc, 0.20) + 0.25 * greatest(s_acc - 0.20, 0.0)) - 1.5 * d_sym - d_sig AS score FROM told WHERE s_acc >= 0.05
+)"""
+
+
+@query(
+    f"""{_SLOTS}, firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY slot, oid ORDER BY score DESC, pid) AS r FROM scored) WHERE r = 1)
+    SELECT slot, pid, oid, {rounded_sql('score')} AS score FROM (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY score DESC, pid) AS place FROM firsts) WHERE place <= 8"""
+)
+def retrieve_slots_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best parts for every slot, one from a source, in one plan."""
+    best = retrieve.for_slots(parts_library(spark, sf_dir), slots(spark, sf_dir), FIXTURE)
+    return best.select("slot", "pid", "oid", rounded(F.col("score")).alias("score"))
+
+
+@query(f"{_SLOTS} SELECT slot, pid, {rounded_sql('s_acc')} AS s_acc, {rounded_sql('s_rej')} AS s_rej, {rounded_sql('score')} AS score FROM scored WHERE s_rej < 0.25 AND s_acc > s_rej")
+def retrieve_slots_reject_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = retrieve.for_slots(parts_library(spark, sf_dir), slots(spark, sf_dir), FIXTURE, rejects=True, top=False)
+    return kept.select("slot", "pid", *[rounded(F.col(c)).alias(c) for c in ("s_acc", "s_rej", "score")])
 
 
 _U = "(cast(('0x' || substr(md5('7:' || pid), 1, 8)) AS BIGINT) + 0.5) / 4294967296.0"
