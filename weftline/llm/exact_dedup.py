@@ -3,7 +3,8 @@
 Equal texts are found in three stages, and each of them compares whole texts, never digests alone:
 
 1. *Locally*: within an Arrow batch, equal texts are merged. One row a text and batch carries the text on.
-2. *Salted*: those rows meet by (digest, salt), so that a digest held by a third of all rows is dealt over ``salts`` tasks.
+2. *Salted*: those rows meet by (digest, salt), so that a digest held by a third of all rows is dealt over ``salts`` tasks: as
+   many as the session shuffles to, and 16 at least.
 3. *Globally*: the winners of the salts, at most ``salts`` rows a text, meet by digest alone.
 
 Members never travel with their text: they find their group through the row that stood for them (local, then salted),
@@ -20,12 +21,12 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from weftline.llm.common import batches_of, bounded_batches, text_bytes
+from weftline.llm.common import batches_of, bounded_batches, lower_ascii, text_bytes
 
-SALTS = 16
 NO_ID = -(1 << 63)
 
 _LOCAL = pa.schema([("uid", pa.int64()), ("id", pa.int64()), ("digest", pa.binary()), ("local_uid", pa.int64()), ("n", pa.int64()), ("content", pa.binary())])
@@ -61,7 +62,11 @@ def _combine(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.withColumns({"best": F.max(F.struct("id", "uid")).over(group), "total": F.sum("n").over(group)})
 
 
-def exact_duplicates(docs: DataFrame, salts: int = SALTS) -> DataFrame:
+def _salt(spark: SparkSession, salts: int | None) -> Column:
+    return F.pmod(F.xxhash64("uid"), F.lit(salts or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+
+
+def exact_duplicates(docs: DataFrame, salts: int | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Empty and null texts form one group. No rows give no rows. Columns other than doc_id and text are not read.
@@ -69,7 +74,7 @@ def exact_duplicates(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     local = _local(docs)
     salted = (
         local.filter(F.col("content").isNotNull())
-        .withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(salts)))
+        .withColumn("salt", _salt(docs.sparkSession, salts))
         .repartition("digest", "salt")
     )
     salted = _combine(salted, "digest", "salt").select("uid", "id", "digest", "content", F.col("best.uid").alias("salt_uid"), "total")
@@ -96,10 +101,30 @@ def exact_duplicates(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     )
 
 
-def without_duplicates(docs: DataFrame, salts: int = SALTS) -> DataFrame:
+def _winners_of():
+    """From (uid, id, text, row): id, digest and row of the row that stands for each text of a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            uids, ids, texts = (batch.column(i).to_pylist() for i in range(3))
+            winner: dict[bytes, int] = {}
+            for k, text in enumerate(texts):
+                content = text.lower()  # bytes: A-Z only
+                best = winner.get(content)
+                if best is None or (ids[k], uids[k]) > (ids[best], uids[best]):
+                    winner[content] = k
+            at = pa.array(list(winner.values()), pa.int64())
+            digests = pa.array([hashlib.sha256(c).digest() for c in winner], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("uid", "id")), digests, batch.column("row").take(at)], names=["uid", "id", "digest", "row"])
+
+    return run
+
+
+def without_duplicates(docs: DataFrame, salts: int | None = None) -> DataFrame:
     """The rows of docs that stay, with all their columns (whatever their names).
 
-    A row that stays stood for its text at every stage, so the rows themselves are carried in one struct beside the text.
+    The rows that stand for their texts are carried whole from stage to stage, and so shuffled twice; whole contents are compared
+    at each, in the row's own text.
     """
     bounded_batches(docs.sparkSession)
     carried = docs.select(
@@ -108,11 +133,15 @@ def without_duplicates(docs: DataFrame, salts: int = SALTS) -> DataFrame:
         text_bytes().alias("text"),
         F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"),
     )
-    local = carried.select("uid", "id", "text").mapInArrow(_combine_locally, _LOCAL_DDL)
-    salted = local.filter(F.col("content").isNotNull()).withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(salts))).repartition("digest", "salt")
-    salted = _combine(salted, "digest", "salt").filter("uid = best.uid").select("uid", "id", "digest", "content", F.col("total").alias("n"))
-    kept = _combine(salted.repartition("digest"), "digest").filter("uid = best.uid").select("uid")
-    return carried.join(kept, "uid", "left_semi").select("row.*")
+    out = T.StructType([T.StructField("uid", T.LongType()), T.StructField("id", T.LongType()), T.StructField("digest", T.BinaryType()), carried.schema["row"]])
+    local = carried.mapInArrow(_winners_of(), out).withColumn("salt", _salt(docs.sparkSession, salts))
+
+    def combined(rows: DataFrame, *keys: str) -> DataFrame:
+        content = lower_ascii(F.coalesce(F.col("row.text"), F.lit("")))
+        best = F.max(F.struct("id", "uid")).over(Window.partitionBy(*keys, "content"))
+        return rows.repartition(*keys).withColumn("content", content).withColumn("best", best).filter("uid = best.uid").drop("content", "best")
+
+    return combined(combined(local, "digest", "salt"), "digest").select("row.*")
 
 
 ORACLE_SQL = """
