@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 
 from helpers import DOCS, SF, clashing, docs, texts
 from pyspark.sql import functions as F
@@ -92,3 +93,18 @@ def test_secrets_of_any_length(spark):
     found = sorted(find_personal_data(rows).collect(), key=lambda r: r.doc_id)
     assert [r.spans for r in found] == ["" if n < 32 else f"secret:6:{6 + n}" for n in sizes]
     assert sum(r.text == "token=[SECRET] end" for r in mask_documents(rows).collect()) == len(sizes) - 1
+
+
+def test_work_is_about_linear_in_the_matches(spark):
+    def seconds(n):
+        frame = texts(spark, "".join(f"{10 + i}, a{i}@x.yz é " for i in range(n))).cache()
+        frame.count()
+        began = time.time()
+        (r,) = find_personal_data(frame).collect()
+        assert r.n_email == n
+        (m,) = mask_documents(frame).collect()
+        assert m.text.count("[EMAIL]") == n
+        return time.time() - began
+
+    seconds(10)
+    assert seconds(100_000) < 20 * seconds(10_000) + 20

@@ -2,6 +2,8 @@
 
 Everything is a DataFrame expression; there is no Python on the way. A kind's pattern is run twice over a text that may hold
 it: once for the matches and once to split the text between them, and the lengths of both, added up in order, give the places.
+Sums run in chunks, and what stands beside a match is cut from the text in an encoding of fixed width, so that the work is about
+linear in the text and its matches.
 
 Kinds, in the order of their spans: email, ip, card, phone (the base kinds), then iban, ssn and secret. A match that its
 validator refuses is dropped, and the text inside it is not tried again. The score of a span is the kind's own, plus what a
@@ -16,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.common import let, running
+
 WINDOW = 40
 THRESHOLD = 0.5
 DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -88,27 +92,35 @@ def _valid(kind: str, match: Column, before: Column, after: Column) -> Column:
     return F.lit(True)
 
 
-def _of_kind(kind: Kind, text: Column) -> Column:
+def _wide(text: Column) -> Column:
+    """The text in four bytes a code point, so that a part of it is found without reading what is before."""
+    return F.encode(text, "UTF-32")
+
+
+def _part(wide: Column, start: Column, n: Column) -> Column:
+    return F.decode(F.substr(wide, (start * 4 + 1).cast("int"), (n * 4).cast("int")), "UTF-32")
+
+
+def _of_kind(kind: Kind, text: Column, wide: Column) -> Column:
     """The spans of a kind; an expression on a text that isn't null."""
     found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     between = F.split(text, kind.pattern, -1)
-    pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, b: F.struct(m.alias("m"), F.length(b).alias("b")))
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<m:string,start:int>>)").alias("out"))
+    pairs = F.zip_with(found, between, lambda m, b: F.struct(m.alias("m"), F.length(b).alias("b")))  # the last has no match
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["b"]
-        return F.struct((start + F.length(x["m"])).alias("at"), F.concat(acc["out"], F.array(F.struct(x["m"].alias("m"), start.alias("start")))).alias("out"))
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + x["b"]
+        return start + F.coalesce(F.length(x["m"]), F.lit(0)), F.struct(x["m"].alias("m"), start.alias("start"))
 
-    placed = F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    placed = running(pairs, F.lit(0), "struct<m:string,start:int>", step)
 
     def keep(x: Column) -> Column:
-        before = F.when(x["start"] > 0, F.substr(text, x["start"], F.lit(1))).otherwise("")
-        return _valid(kind.name, x["m"], before, F.substr(text, x["start"] + F.length(x["m"]) + 1, F.lit(1)))
+        before = F.when(x["start"] > 0, _part(wide, x["start"] - 1, F.lit(1))).otherwise("")
+        return x["m"].isNotNull() & _valid(kind.name, x["m"], before, _part(wide, x["start"] + F.length(x["m"]), F.lit(1)))
 
     def scored(x: Column) -> Column:
         end = x["start"] + F.length(x["m"])
         left = F.greatest(x["start"] - WINDOW, F.lit(0))
-        window = F.concat(F.substr(text, left + 1, x["start"] - left), F.lit(" "), F.substr(text, end + 1, F.lit(WINDOW)))
+        window = F.concat(_part(wide, left, x["start"] - left), F.lit(" "), _part(wide, end, F.lit(WINDOW)))
         score = F.lit(kind.own) + F.when(F.lower(window).rlike(kind.context), F.lit(kind.near)).otherwise(0.0)
         return F.struct(F.lit(kind.name).alias("kind"), x["start"].cast("long").alias("start"), end.cast("long").alias("end"), score.alias("score"))
 
@@ -119,7 +131,8 @@ def _of_kind(kind: Kind, text: Column) -> Column:
 def spans_of(text: Column) -> Column:
     """All spans of a text: array of (kind, start, end, score), by kind, then by start; code points, end exclusive."""
     filled = F.coalesce(text, F.lit(""))
-    return F.concat(*[_of_kind(kind, filled) for kind in KINDS])
+    found = let(_wide(filled), lambda wide: F.concat(*[_of_kind(kind, filled, wide) for kind in KINDS]))
+    return F.when(filled.rlike("|".join(kind.gate for kind in KINDS)), found).otherwise(F.expr(f"cast(array() as {_SPAN})"))
 
 
 def _listed(spans: Column) -> Column:
@@ -147,15 +160,21 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 def masked(text: Column) -> Column:
     """The text with each span replaced by its kind in brackets; of spans that overlap, the first to start names the place. Null stays null."""
     ordered = F.array_sort(F.transform(spans_of(text), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        end = -s["back"]
-        plain = F.substr(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        put = F.concat(acc["out"], plain, F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], end).alias("at"), F.when(s["start"] >= acc["at"], put).otherwise(acc["out"]).alias("out"))
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        told = F.when(s["start"] >= at, F.struct(at.alias("at"), s["start"].alias("until"), s["kind"].alias("kind"), (-s["back"]).alias("end")))
+        return F.greatest(at, -s["back"]), told
+
+    def put(wide: Column, gaps: Column) -> Column:
+        shown = F.transform(gaps, lambda g: F.concat(_part(wide, g["at"], g["until"] - g["at"]), F.lit("["), F.upper(g["kind"]), F.lit("]")))
+        end = F.array_max(F.transform(gaps, lambda g: g["end"]))
+        return F.concat(F.array_join(shown, ""), _part(wide, end, F.length(text) - end))
+
+    def whole(spans: Column) -> Column:
+        gaps = F.filter(running(spans, F.lit(0).cast("long"), "struct<at:long,until:long,kind:string,end:long>", step), lambda g: g.isNotNull())
+        return F.when(F.size(spans) > 0, let(_wide(text), lambda wide: let(gaps, lambda g: put(wide, g)))).otherwise(text)
 
-    return F.aggregate(ordered, zero, step, lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"))))
+    return let(ordered, whole)
 
 
 def mask_documents(docs: DataFrame) -> DataFrame:
