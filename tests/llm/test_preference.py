@@ -65,3 +65,14 @@ def test_no_rows_and_extra_columns(spark):
 def test_native_plan(spark):
     plan = neighbours(spark.createDataFrame([(0, 0, "user", "a")], TURNS))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_pairs_of_large_ids(spark):
+    """Beyond 2^53, where doubles skip numbers."""
+    rows = [((1 << 54) + k, turn, role, f"{k} {turn}") for k in range(12) for turn, role in ((0, "user"), (1, "assistant"))]
+    found = {r.pair_id: r for r in neighbours(spark.createDataFrame(rows, TURNS)).collect()}
+    want = brute(rows)
+    assert found.keys() == want.keys() == {(1 << 53) + k for k in range(6)}
+    for pair, r in found.items():
+        assert (r.chosen_id, r.rejected_id) == (2 * pair, 2 * pair + 1)
+        assert (r.n_prompt_turns, r.prompt, r.chosen, r.chosen_mask, r.rejected, r.rejected_mask) == want[pair]

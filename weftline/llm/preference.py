@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.common import running
+
 START, END = "<|im_start|>", "<|im_end|>\n"
 
 
@@ -32,15 +34,13 @@ def rendered(turns: Column) -> Column:
 
 def learned(turns: Column) -> Column:
     """start:end of each assistant turn in the rendered turns, comma-joined; code points, end exclusive."""
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
 
-    def step(acc: Column, t: Column) -> Column:
-        start = acc["at"] + F.length(_head(t))
+    def step(at: Column, t: Column) -> tuple[Column, Column]:
+        start = at + F.length(_head(t))
         end = start + F.length(_said(t))
-        span = F.concat_ws(":", start.cast("string"), end.cast("string"))
-        return F.struct(end.alias("at"), F.when(t["role"] == "assistant", F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return end, F.when(t["role"] == "assistant", F.concat_ws(":", start.cast("string"), end.cast("string")))
 
-    return F.aggregate(turns, zero, step, lambda acc: F.array_join(acc["out"], ","))
+    return F.array_join(running(turns, F.lit(0).cast("long"), "string", step), ",")  # which leaves out nulls
 
 
 def common_turns(a: Column, b: Column) -> Column:
@@ -84,7 +84,7 @@ def format_preferences(turns: DataFrame, pair: Column, is_chosen: Column) -> Dat
 
 def neighbours(turns: DataFrame) -> DataFrame:
     """Pairs conversation 2k, as the chosen one, with 2k + 1: the table names no preferences of its own."""
-    return format_preferences(turns, F.floor(F.col("conv_id") / 2).cast("long"), F.col("conv_id") % 2 == 0)
+    return format_preferences(turns, F.shiftright(F.col("conv_id").cast("long"), 1), F.col("conv_id") % 2 == 0)
 
 
 def _oracle_side(side: str) -> str:
