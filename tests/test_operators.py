@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from weftline.functions import shapes
 from weftline.operators import annotate, gates, geometry, graph, keyed, recipe, retrieve, vision
+from weftline.operators import library as part_library
 from weftline.sources import files
 from weftline.streaming import review
 
@@ -390,3 +391,51 @@ def test_slots_exclude_and_reject(spark):
     finally:
         retrieve.ROWS, retrieve.ASKED = rows_, asked_
     assert found == want
+
+
+# ---- assets, jobs and pieces
+
+
+def test_paths_stay_inside(spark):
+    paths = {"a/b": True, "/r/a": True, "/r": False, "/r/": False, "/r/../x": False, "a/../b": True, "a/../../b": False, "../r/a": False, "./a": True, "/root/a": False, "": False, "..": False, "/r/a/..": False, None: False}
+    frame = spark.createDataFrame([(p,) for p in paths], "path string")
+    assert [r.ok for r in frame.select(part_library.is_contained(F.col("path"), F.lit("/r/")).alias("ok")).collect()] == list(paths.values())
+
+
+def test_job_outcomes_by_hand(spark):
+    jobs = [("ok", 0.0), ("fail", 0.0), ("slow", 0.0), ("queued", 0.0), ("late start", 0.0), ("long queue", 0.0), ("lost", 0.0)]
+    starts = [("ok", 30.0), ("fail", 1.0), ("slow", 5.0), ("late start", 41.0), ("long queue", 39.0)]
+    receipts = [("ok", 39.0, "ok"), ("fail", 2.0, "no memory"), ("slow", 16.0, "ok"), ("queued", 39.0, "ok here"), ("late start", 42.0, "ok"), ("long queue", 48.0, "ok"), ("ok", 99.0, "again")]
+    frames = [spark.createDataFrame(rows_, schema) for rows_, schema in ((jobs, "job string, ts double"), (starts, "job string, started double"), (receipts, "job string, done double, message string"))]
+    found = {r.job: (r.outcome, r.seconds) for r in review.job_outcomes(*frames, budget=10.0).collect()}
+    assert found == {"ok": ("ok", 39.0), "fail": ("failed", 2.0), "slow": ("compute_timeout", None), "queued": ("ok", 39.0), "late start": ("queue_timeout", None), "long queue": ("ok", 48.0), "lost": ("queue_timeout", None)}
+
+
+def test_retexture_legs_by_hand(spark):
+    rounds = spark.createDataFrame([(1, 10.0, False), (2, 10.0, True), (3, 10.0, False), (4, 0.0, False)], "job int, ts double, rendered boolean")
+    legs = spark.createDataFrame([(1, "render", 12.0), (1, "restyle", 15.0), (1, "texture", 21.0), (2, "restyle", 11.0), (2, "texture", 12.0), (3, "restyle", 30.0), (3, "texture", 31.0), (4, "render", 1.0), (4, "texture", 9.0)], "job int, leg string, done double")
+    assert rows(review.retexture_legs(rounds, legs), "job") == [(1, 2.0, 3.0, 6.0, None), (2, 0.0, 1.0, 1.0, None), (3, None, None, None, "render"), (4, 1.0, None, None, "restyle")]
+
+
+def test_stale_faces_by_hand(spark):
+    """One piece moved, one is new, one gone; far away, one is blocked by the moved one, one lies alone, one has no box."""
+    box = lambda x: ([float(x), 0.0, 0.0], [x + 1.0, 1.0, 1.0])
+    pieces = "chain int, piece string, fingerprint int, lo array<double>, hi array<double>"
+    before = spark.createDataFrame([(1, "moved", 1, *box(0)), (1, "gone", 1, *box(2)), (1, "blocked", 1, *box(50)), (1, "alone", 1, *box(70)), (1, "bare", 1, *box(90)), (1, "near", 1, *box(4))], pieces)
+    after = spark.createDataFrame([(1, "moved", 2, *box(1)), (1, "new", 1, *box(3)), (1, "blocked", 1, *box(50)), (1, "alone", 1, *box(70)), (1, "bare", 1, *box(90)), (1, "near", 1, *box(4))], pieces)
+    faces = spark.createDataFrame([(1, "blocked", ["moved"], *box(50)), (1, "alone", ["blocked"], *box(70)), (1, "bare", [], None, None), (1, "near", [], *box(4)), (1, "gone", [], *box(2))], "chain int, piece string, blockers array<string>, lo array<double>, hi array<double>")
+    assert rows(review.stale_faces(faces, before, after), "piece") == [(1, "bare"), (1, "blocked"), (1, "moved"), (1, "near"), (1, "new")]
+    assert review.stale_faces(faces, after, after).count() == 0
+
+
+def test_places_in_commands(spark):
+    lines = ['add #2 "hat" at=0.5,-0.25 size=2', 'add 2 hat', "remove slot_1"]
+    found = [r.c for r in spark.createDataFrame([(x,) for x in lines], "v string").select(annotate.parsed_command(F.col("v")).alias("c")).collect()]
+    assert [c["at"] for c in found] == [[0.5, -0.25], [0.0, 0.0], None] and found[0].size == 2.0
+
+
+def test_virtual_frame():
+    part = np.array([[x, 5.0, 0.0] for x in np.linspace(0, 10, 101)])
+    frame = geometry.virtual_frame(part, {"far": np.array([[0.0, 50.0, 0.0]]), "near": np.array([[12.0, 5.0, 0.0]]), "none": np.empty((0, 3))}, 20.0)
+    assert frame["neighbour"] == "near" and abs(frame["gap"] - 0.1) < 1e-9 and frame["hits"] == 6 and np.allclose(frame["out"], [-1, 0, 0]) and np.allclose(frame["centre"], [9.75, 5, 0])
+    assert geometry.virtual_frame(part, {}, 20.0) is None and geometry.virtual_frame(part[:0], {"near": part}, 20.0) is None

@@ -169,6 +169,12 @@ def told_components(graph: Graph):
     return [(n, i) for i, c in enumerate(components(graph)) for n in c]
 
 
+def told_connected(graph: Graph):
+    """Whether a graph is in one piece, and in how many it is."""
+    found = len(components(graph))
+    return [(found == 1, found)]
+
+
 def told_roles(graph: Graph):
     """part, role: articulation, isolated, or free (it may be replaced alone)."""
     cuts, alone = low_links(graph)[0], isolated(graph)

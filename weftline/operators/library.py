@@ -90,8 +90,13 @@ def first_division_with_slot(manifest: DataFrame, registry: DataFrame) -> DataFr
     return manifest.join(first, ["oid", "slot"], "left").withColumn("pids", F.coalesce("pids", F.array("slot")))
 
 
-def screened_hosts(parts: DataFrame, used: DataFrame, captioned: DataFrame, low: int = 8, high: int = 25, faces: int = 600_000, largest: float = 0.6) -> DataFrame:
-    """Hosts by counts of their parts (oid, area, faces, component): in number, weight and connection fit for edits, captioned and unused."""
+def screened_hosts(
+    parts: DataFrame, used: DataFrame, captioned: DataFrame, low: int = 8, high: int = 25, faces: int = 600_000, largest: float = 0.6, files: DataFrame | None = None, most_bytes: int = 60_000_000
+) -> DataFrame:
+    """Hosts by counts of their parts (oid, area, faces, component): in number, weight and connection fit for edits, captioned and unused.
+
+    files (oid, bytes): hosts whose file is too large, or isn't there, are left out.
+    """
     stats = parts.groupBy("oid").agg(
         F.count("*").alias("n"),
         F.countDistinct("component").alias("components"),
@@ -99,6 +104,8 @@ def screened_hosts(parts: DataFrame, used: DataFrame, captioned: DataFrame, low:
         F.sum("faces").alias("faces"),
     )
     fit = stats.filter(F.col("n").between(low, high) & (F.col("components") == 1) & (F.col("largest") < largest) & (F.col("faces") <= faces))
+    if files is not None:
+        fit = fit.join(files.filter(F.col("bytes") <= most_bytes).select("oid").distinct(), "oid", "left_semi")
     return fit.join(used.select("oid").distinct(), "oid", "left_anti").join(captioned.select("oid").distinct(), "oid", "left_semi")
 
 
@@ -130,3 +137,38 @@ def round_robin(hosts: DataFrame, bucket: str, order: Sequence[Column], key: Col
     place = [F.col("_turn"), F.desc("_size"), F.col(bucket)]
     once = placed.withColumn("_seen", F.row_number().over(Window.partitionBy("_key").orderBy(*place))).filter("_seen = 1")
     return once.orderBy(*place).limit(limit).drop("_turn", "_key", "_size", "_seen")
+
+
+def installed_on(candidates: DataFrame, placements: DataFrame) -> DataFrame:
+    """candidates (chain, oid, pid) with installed: where in the chain each is placed (chain, slot, turn, oid, pid), as slot(tN), sorted; empty for most."""
+    placed = placements.select("chain", "oid", "pid", F.concat(F.coalesce("slot", F.lit("?")), F.lit("(t"), F.col("turn").cast("string"), F.lit(")")).alias("at"))
+    known = placed.groupBy("chain", "oid", "pid").agg(F.array_sort(F.collect_set("at")).alias("installed"))
+    both = candidates.join(known, ["chain", "oid", "pid"], "left")
+    return both.withColumn("installed", F.coalesce("installed", F.expr("cast(array() as array<string>)")))
+
+
+def to_build(hosts: DataFrame, plans: DataFrame, renders: DataFrame) -> DataFrame:
+    """Hosts (oid) that have a plan and no render yet."""
+    return hosts.join(plans.select("oid").distinct(), "oid", "left_semi").join(renders.select("oid").distinct(), "oid", "left_anti")
+
+
+def is_contained(path: Column, root: Column) -> Column:
+    """Whether a path, relative to a root or absolute, lies inside the root once its dots are followed; links aren't seen. Null is not."""
+    base = F.concat(F.rtrim(root, F.lit("/")), F.lit("/"))
+    inner = F.when(path.startswith("/"), F.when(path.startswith(base), F.substring(path, F.length(base) + 1, F.length(path)))).otherwise(path)
+    steps = F.transform(F.split(inner, "/"), lambda x: F.when(x.isin("", "."), 0).when(x == "..", -1).otherwise(1))
+    zero = F.struct(F.lit(0).alias("deep"), F.lit(0).alias("least"))
+    walked = F.aggregate(steps, zero, lambda a, s: F.struct((a["deep"] + s).alias("deep"), F.least(a["least"], a["deep"] + s).alias("least")))
+    return F.coalesce((walked["least"] >= 0) & (walked["deep"] > 0), F.lit(False))
+
+
+def asset_faults(assets: DataFrame, files: DataFrame, root: Column) -> DataFrame:
+    """(asset, fault) of derived assets (asset, path, sha256) that may not be used: outside the root, missing among files (path, content), or changed."""
+    told = assets.join(files.select("path", F.sha2(F.col("content"), 256).alias("now")), "path", "left")
+    fault = F.when(~is_contained(F.col("path"), root), "outside").when(F.col("now").isNull(), "missing").when(~F.lower("sha256").eqNullSafe(F.col("now")), "changed")
+    return told.select("asset", fault.alias("fault")).filter("fault is not null")
+
+
+def throughput(log: DataFrame) -> DataFrame:
+    """(kind, parts, seconds, per_part) of a log of parts (kind, seconds), a row for each kind (done, tiny, invisible, or how it failed) and one for all (null)."""
+    return log.rollup("kind").agg(F.count("*").alias("parts"), F.sum("seconds").alias("seconds"), F.avg("seconds").alias("per_part"))

@@ -60,11 +60,13 @@ def caption_generic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captions(spark, sf_dir).select("src", "id", text.is_generic(F.col("cap")).alias("generic"))
 
 
-@query(
-    f"""WITH {_HEADS}, bared AS (SELECT *, rtrim(trim(head, ' '), '.') AS bare FROM heads)
+def admission_sql() -> str:
+    return f"""WITH {_HEADS}, bared AS (SELECT *, rtrim(trim(head, ' '), '.') AS bare FROM heads)
     SELECT src, id FROM bared WHERE trim(coalesce(cap, ''), ' ') <> '' AND NOT regexp_matches(cap, {_quoted(text.BAD)})
       AND NOT regexp_matches(cap, {_quoted(text.SCENE)}) AND NOT regexp_matches(cap, {_quoted(text.TABOO)}) AND NOT {_GENERIC}"""
-)
+
+
+@query(admission_sql())
 def caption_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captions(spark, sf_dir).filter(text.is_admitted(F.col("cap"))).select("src", "id")
 

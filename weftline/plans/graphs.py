@@ -40,6 +40,11 @@ def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _told(spark, sf_dir, graph.told_components, "part long, component long")
 
 
+@query(f"{_REACH} SELECT oid, count(DISTINCT root) = 1 AS connected, count(DISTINCT root) AS pieces FROM roots GROUP BY oid")
+def graph_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _told(spark, sf_dir, graph.told_connected, "connected boolean, pieces long")
+
+
 @query(
     f"""WITH RECURSIVE {_EDGES}, ways AS (SELECT oid, a, b FROM edges UNION ALL SELECT oid, b, a FROM edges),
     cases AS (SELECT p.oid, q.part AS gone, p.part FROM points p JOIN points q ON p.oid = q.oid AND p.part <> q.part),

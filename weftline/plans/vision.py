@@ -45,6 +45,13 @@ def change_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vision.change_percentiles(metrics).select("p", rounded(F.col("value")).alias("value"))
 
 
+@query(f"WITH {_METRIC} SELECT turn, {rounded_sql('metric')} AS metric FROM metrics WHERE metric IS NOT NULL ORDER BY metrics.metric, turn LIMIT 14")
+def change_lowest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fourteen turns that changed least; the limit is the feature."""
+    metrics = vision.change_fraction(pairs(spark, sf_dir), ["turn"]).select("turn", "metric")
+    return vision.lowest(metrics).select("turn", rounded(F.col("metric")).alias("metric"))
+
+
 @query(
     f"""WITH {_PAIRS}, hit AS (SELECT turn, view, i % 8 AS x, i // 8 AS y FROM pairs WHERE abs(r1 - r2) > 64)
     SELECT turn, view, greatest(min(x) - 1, 0) AS x0, greatest(min(y) - 1, 0) AS y0, least(max(x) + 2, 8) AS x1, least(max(y) + 2, 8) AS y1 FROM hit GROUP BY turn, view"""

@@ -119,3 +119,60 @@ def changed_pieces(before: DataFrame, after: DataFrame, keys: list[str], fingerp
     """Keys to work out again (new, or changed in fingerprint), and keys whose results stay."""
     same = after.join(before.select(*keys, fingerprint), [*keys, fingerprint], "left_semi").select(*keys)
     return after.select(*keys).join(same, keys, "left_anti"), same
+
+
+def job_outcomes(jobs: DataFrame, starts: DataFrame, receipts: DataFrame, budget: float, queue: float = 4.0) -> DataFrame:
+    """(job, outcome, seconds) of jobs (job, ts): a job that was started (job, started) has its budget from then, one that waits has queue times as long.
+
+    A receipt (job, done, message) within that is ok, or failed if its message does not begin so; else the job timed out while it
+    was computed, or in the queue. Times are seconds; of repeated stamps and receipts, the first counts.
+    """
+    first = starts.groupBy("job").agg(F.min("started").alias("started"))
+    told = receipts.groupBy("job").agg(F.min(F.struct("done", "message")).alias("r"))
+    both = jobs.join(first, "job", "left").join(told, "job", "left")
+    begun = F.col("started").isNotNull() & (F.col("started") <= F.col("ts") + queue * budget)
+    last = F.when(begun, F.col("started") + budget).otherwise(F.col("ts") + queue * budget)
+    in_time = F.col("r.done") <= last
+    fine = F.when(F.col("r.message").startswith("ok"), "ok").otherwise("failed")
+    outcome = F.when(in_time, fine).when(begun, "compute_timeout").otherwise("queue_timeout")
+    return both.select("job", outcome.alias("outcome"), F.when(in_time, F.col("r.done") - F.col("ts")).alias("seconds"))
+
+
+LEGS = ("render", "restyle", "texture")
+
+
+def retexture_legs(rounds: DataFrame, legs: DataFrame) -> DataFrame:
+    """(job, t_render, t_restyle, t_texture, missing) of rounds (job, ts, rendered): each leg (job, leg, done) is timed from the end of the one before.
+
+    A render that is already there takes no time. missing names the first leg without an end; what follows it has no time.
+    Times are seconds. Three joins that follow each other, by the job.
+    """
+    out = rounds.withColumns({"end": F.col("ts"), "missing": F.lit(None).cast("string")})
+    for leg in LEGS:
+        ends = legs.filter(F.col("leg") == leg).groupBy("job").agg(F.min("done").alias("done"))
+        out = out.join(ends, "job", "left")
+        if leg == LEGS[0]:
+            out = out.withColumn("done", F.when(F.col("rendered"), F.col("ts")).otherwise(F.col("done")))
+        out = out.withColumn("missing", F.coalesce("missing", F.when(F.col("done").isNull(), leg)))
+        reached = F.when(F.col("missing").isNull(), F.col("done"))
+        out = out.withColumn(f"t_{leg}", reached - F.col("end")).withColumn("end", reached).drop("done")
+    return out.select("job", *[f"t_{leg}" for leg in LEGS], "missing")
+
+
+def stale_faces(faces: DataFrame, before: DataFrame, after: DataFrame, chain: str = "chain") -> DataFrame:
+    """(chain, piece): the pieces whose faces must be probed again, among those there are after an edit.
+
+    before and after: (chain, piece, fingerprint, lo, hi). A piece goes stale if it is new or its fingerprint changed; if a
+    blocker of one of its faces (chain, piece, blockers, lo, hi) changed; or if a face's box touches the box around all that
+    changed, before and after. A face without a box is probed again.
+    """
+    old, new = (df.select(chain, "piece", *[F.col(c).alias(f"{c}_{side}") for c in ("fingerprint", "lo", "hi")]) for df, side in ((before, "old"), (after, "new")))
+    both = old.join(new, [chain, "piece"], "full_outer").filter(~F.col("fingerprint_old").eqNullSafe(F.col("fingerprint_new")))
+    edge = lambda c, f, k: f(F.least(F.col(f"{c}_old")[k], F.col(f"{c}_new")[k]) if c == "lo" else F.greatest(F.col(f"{c}_old")[k], F.col(f"{c}_new")[k]))
+    region = both.groupBy(chain).agg(
+        F.collect_set("piece").alias("changed"), F.array(*[edge("lo", F.min, k) for k in range(3)]).alias("r_lo"), F.array(*[edge("hi", F.max, k) for k in range(3)]).alias("r_hi")
+    )  # of one edit, a few pieces
+    touch = [(F.col("lo")[k] <= F.col("r_hi")[k]) & (F.col("r_lo")[k] <= F.col("hi")[k]) for k in range(3)]
+    hit = F.col("lo").isNull() | F.col("hi").isNull() | F.arrays_overlap("blockers", "changed") | (touch[0] & touch[1] & touch[2])
+    stale = faces.join(region, chain).filter(F.coalesce(hit, F.lit(False))).select(chain, "piece").union(both.select(chain, "piece"))
+    return stale.distinct().join(after.select(chain, "piece"), [chain, "piece"], "left_semi")
