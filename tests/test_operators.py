@@ -268,21 +268,33 @@ def test_keyed_overwrite(spark, tmp_path):
     path = f"{tmp_path}/t"
     files.keyed_overwrite(spark, path, spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), ["k"])
     files.keyed_overwrite(spark, path, spark.createDataFrame([(2, "c")], "k int, v string"), ["k"])
-    assert rows(spark.read.parquet(path), "k") == [(1, "a"), (2, "c")]
+    assert rows(files.keyed_table(spark, path), "k") == [(1, "a"), (2, "c")]
+    (tmp_path / "t" / "v3").mkdir()  # a writer that was lost
+    assert rows(files.keyed_table(spark, path), "k") == [(1, "a"), (2, "c")]
+    files.keyed_overwrite(spark, path, spark.createDataFrame([(3, "d")], "k int, v string"), ["k"])
+    assert rows(files.keyed_table(spark, path), "k") == [(1, "a"), (2, "c"), (3, "d")]
+    (tmp_path / "t" / "v4.claim").touch()  # another writer is at work
+    with pytest.raises(Exception, match="claim"):
+        files.keyed_overwrite(spark, path, spark.createDataFrame([(4, "e")], "k int, v string"), ["k"])
+    assert files.keyed_table(spark, f"{tmp_path}/none") is None
 
 
 def test_scene_boxes(spark, tmp_path):
+    """Meshes by their own names, each where its first node places it; one is turned a quarter about z, one is placed by no node."""
+    half = 0.5**0.5
     scene = {
-        "nodes": [{"children": [1], "translation": [10, 0, 0]}, {"mesh": 0, "name": "part", "scale": [2, 1, 1]}],
-        "meshes": [{"primitives": [{"attributes": {"POSITION": 0}, "indices": 1}]}],
-        "accessors": [{"min": [0, 0, 0], "max": [1, 2, 3], "count": 8}, {"count": 36}],
+        "nodes": [{"children": [1, 2], "translation": [10, 0, 0]}, {"mesh": 0, "name": "node", "scale": [2, 1, 1]}, {"mesh": 0}, {"mesh": 1, "rotation": [0, 0, half, half]}],
+        "meshes": [{"name": "part", "primitives": [{"attributes": {"POSITION": 0}, "indices": 1}]}, {"primitives": [{"attributes": {"POSITION": 0}}]}, {"name": "loose", "primitives": [{"attributes": {"POSITION": 0}}, {"attributes": {}}]}],
+        "accessors": [{"min": [0, 0, 0], "max": [1, 2, 3], "count": 9}, {"count": 36}],
     }
     text = json.dumps(scene).encode()
     text += b" " * (-len(text) % 4)
-    (tmp_path / "a.glb").write_bytes(struct.pack("<4sII", b"glTF", 2, 20 + len(text)) + struct.pack("<I4s", len(text), b"JSON") + text)
+    (tmp_path / "a.glb").write_bytes(struct.pack("<4sII", b"glTF", 2, 20 + len(text)) + struct.pack("<I4s", len(text), b"JSON") + text + b"buffers" * 1000)
     (tmp_path / "bad.glb").write_bytes(b"glTF")
-    (r,) = files.scene_boxes(spark, f"{tmp_path}/*.glb").collect()
-    assert (r.mesh, r.lo, r.hi, r.faces) == ("part", [10.0, 0.0, 0.0], [12.0, 2.0, 3.0], 12)
+    boxes, unreadable = files.scene_boxes(spark, f"{tmp_path}/*.glb")
+    found = {r.mesh: (np.round(r.lo, 9).tolist(), np.round(r.hi, 9).tolist(), r.faces) for r in boxes.collect()}
+    assert found == {"part": ([10.0, 0.0, 0.0], [12.0, 2.0, 3.0], 12), "mesh_1": ([-2.0, 0.0, 0.0], [0.0, 1.0, 3.0], 3), "loose": ([0.0, 0.0, 0.0], [1.0, 2.0, 3.0], 3)}
+    assert [r.path[-7:] for r in unreadable.collect()] == ["bad.glb"]
 
 
 def test_review_stream_equals_the_fold(spark, tmp_path):

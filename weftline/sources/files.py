@@ -5,12 +5,15 @@ from __future__ import annotations
 import json
 import struct
 from collections.abc import Iterator, Sequence
+from itertools import product
 
 import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.session import remove
+
 
 def json_documents(spark: SparkSession, paths: Sequence[str], schema: str) -> DataFrame:
     """Whole JSON documents from the first of some places that there is; none gives no rows."""
@@ -25,16 +28,19 @@ def json_documents(spark: SparkSession, paths: Sequence[str], schema: str) -> Da
 def json_lines(spark: SparkSession, glob: str, schema: str, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Rows of JSON lines, the last of each key in the order of files and lines; and the lines that can't be read (path, line).
 
-    Files are read whole, since only then the order of their lines is known.
+    Large files are read in splits; the order of lines is that of splits, and of lines within each.
     """
-    whole = spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("place", "line"))
-    parsed = whole.filter(F.trim("line") != "").withColumn("row", F.from_json("line", schema))
+    lines = spark.read.text(glob).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("line")
+    )
+    parsed = lines.filter(F.trim("line") != "").withColumn("row", F.from_json("line", schema))
     good = F.col("row").isNotNull()
     for key in keys:
         good = good & F.col(f"row.{key}").isNotNull()
-    rows = parsed.filter(good).select("path", "place", "row.*")
-    names = [c for c in rows.columns if c not in ("path", "place", *keys)]
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*names), F.struct("path", "place")).alias("r")) if names else rows.select(*keys).distinct()
+    at = ["path", "block", "place"]
+    rows = parsed.filter(good).select(*at, "row.*")
+    names = [c for c in rows.columns if c not in (*at, *keys)]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*names), F.struct(*at)).alias("r")) if names else rows.select(*keys).distinct()
     return (last.select(*keys, "r.*") if names else last), parsed.filter(~good).select("path", "line")
 
 
@@ -64,20 +70,42 @@ def split_captions(captions: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parts, captions.select("oid", F.get("object", F.lit(0)).alias("brief"), F.get("object", F.lit(1)).alias("detailed"))
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions of a keyed table that were written to their end."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(place):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(place)]
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
+
+
+def keyed_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The last whole version of a keyed table; None if there is none."""
+    versions = _versions(spark, path)
+    return spark.read.parquet(f"{path}/v{versions[-1]}") if versions else None
+
+
 def keyed_overwrite(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str]) -> None:
-    """Rows of new in place of those under their keys, with one writer: written beside the table, then put in its place."""
+    """Rows of new in place of those under their keys, as the next version of the table at path.
+
+    Readers see the last whole version, whatever becomes of a writer. The number is claimed by a file that only one writer can
+    make; the other one gets an error and may try again. Versions before the last two are removed.
+    """
     from weftline.operators.keyed import overwritten
 
+    versions = _versions(spark, path)
+    number = versions[-1] + 1 if versions else 1
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{number}.claim")
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.create(place, False).close()
     try:
-        old = spark.read.parquet(path)
-    except AnalysisException:
-        old = spark.createDataFrame([], new.schema)
-    overwritten(old, new, keys).write.mode("overwrite").parquet(f"{path}.next")
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    target, staged = hadoop.Path(path), hadoop.Path(f"{path}.next")
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(target, True)
-    fs.rename(staged, target)
+        old = keyed_table(spark, path)
+        (new if old is None else overwritten(old, new, keys)).write.mode("overwrite").parquet(f"{path}/v{number}")
+    finally:
+        fs.delete(place, False)
+    for n in versions[:-1]:
+        remove(spark, f"{path}/v{n}")
 
 
 def remaining(todo: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -90,62 +118,68 @@ def chain_id(oid: Column) -> Column:
 
 
 def _matrix(node: dict) -> np.ndarray:
+    """A node's own transform: its matrix, which is written by columns, or turn, scale and shift."""
     if "matrix" in node:
-        return np.array(node["matrix"], float).reshape(4, 4).T
+        return np.array(node["matrix"], float).reshape(4, 4, order="F")
+    *axis, w = node.get("rotation", (0.0, 0.0, 0.0, 1.0))
+    cross = np.cross(np.eye(3), axis)  # cross @ v is the product of axis and v
     out = np.eye(4)
-    x, y, z, w = node.get("rotation", (0.0, 0.0, 0.0, 1.0))
-    turn = np.array(
-        [[1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)], [2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)], [2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)]]
-    )
-    out[:3, :3] = turn * np.array(node.get("scale", (1.0, 1.0, 1.0)))
+    out[:3, :3] = (np.eye(3) + 2 * w * cross + 2 * cross @ cross) * np.array(node.get("scale", (1.0, 1.0, 1.0)))
     out[:3, 3] = node.get("translation", (0.0, 0.0, 0.0))
     return out
 
 
-def binary_scene_boxes(content: bytes) -> list[tuple[str, list[float], list[float], int]]:
-    """(mesh, lo, hi, faces) of each mesh placed in a binary glTF scene, from the accessors' bounds in its header alone."""
-    if len(content) < 20 or content[:4] != b"glTF":
-        return []
-    size, kind = struct.unpack_from("<I4s", content, 12)
-    if kind != b"JSON":
-        return []
-    scene = json.loads(content[20 : 20 + size])
-    nodes, accessors, out = scene.get("nodes", []), scene.get("accessors", []), {}
-    children = {c for n in nodes for c in n.get("children", ())}
-    stack = [(i, np.eye(4)) for i in range(len(nodes)) if i not in children]
-    while stack:
-        at, above = stack.pop()
-        here = above @ _matrix(nodes[at])
-        stack += [(c, here) for c in nodes[at].get("children", ())]
-        if "mesh" not in nodes[at]:
-            continue
-        mesh = scene["meshes"][nodes[at]["mesh"]]
-        name = nodes[at].get("name") or mesh.get("name") or str(nodes[at]["mesh"])
+def binary_scene_boxes(header: bytes) -> list[tuple[str, list[float], list[float], int]]:
+    """(mesh, lo, hi, faces) of each mesh of a binary glTF scene, from the bounds in its header alone, where its first node places it.
+
+    A mesh that no node places stays as it is; one without a name is mesh_ and its number. Not such a file: a ValueError.
+    """
+    if len(header) < 20 or header[:4] != b"glTF" or header[16:20] != b"JSON":
+        raise ValueError("no binary scene")
+    scene = json.loads(header[20 : 20 + struct.unpack_from("<I", header, 12)[0]])
+    nodes, accessors = scene.get("nodes", []), scene.get("accessors", [])
+    inner = {c for n in nodes for c in n.get("children", ())}
+    world: dict[int, np.ndarray] = {}
+    todo = [(i, np.eye(4)) for i in range(len(nodes)) if i not in inner]
+    while todo:
+        at, above = todo.pop()
+        world[at] = above @ _matrix(nodes[at])
+        todo += [(c, world[at]) for c in nodes[at].get("children", ())]
+    placed: dict[int, np.ndarray] = {}
+    for i, node in enumerate(nodes):
+        if "mesh" in node:
+            placed.setdefault(node["mesh"], world.get(i, np.eye(4)))
+    out = []
+    for k, mesh in enumerate(scene.get("meshes", [])):
+        here, corners, faces = placed.get(k, np.eye(4)), [], 0
         for part in mesh.get("primitives", ()):
-            box = accessors[part["attributes"]["POSITION"]]
-            lo, hi = np.array(box["min"], float), np.array(box["max"], float)
-            corners = np.array([[(lo, hi)[i][0], (lo, hi)[j][1], (lo, hi)[k][2], 1.0] for i in (0, 1) for j in (0, 1) for k in (0, 1)]) @ here.T
-            faces = accessors[part["indices"]]["count"] // 3 if "indices" in part else box["count"] // 3
-            was = out.get(name)
-            low, high = corners[:, :3].min(0), corners[:, :3].max(0)
-            out[name] = (np.minimum(was[0], low), np.maximum(was[1], high), was[2] + faces) if was else (low, high, faces)
-    return [(name, lo.tolist(), hi.tolist(), int(n)) for name, (lo, hi, n) in sorted(out.items())]
+            if "POSITION" in (told := part.get("attributes", {})):
+                box = accessors[told["POSITION"]]
+                sides = zip(box["min"], box["max"], strict=True)
+                corners += [here[:3, :3] @ np.array(c, float) + here[:3, 3] for c in product(*sides)]
+                faces += (accessors[part["indices"]] if "indices" in part else box)["count"] // 3
+        if corners:
+            out.append((mesh.get("name", f"mesh_{k}"), np.min(corners, 0).tolist(), np.max(corners, 0).tolist(), int(faces)))
+    return out
 
 
-def scene_boxes(spark: SparkSession, glob: str) -> DataFrame:
-    """(path, mesh, lo, hi, faces) for binary glTF files; files that can't be read give no rows."""
+def scene_boxes(spark: SparkSession, glob: str) -> tuple[DataFrame, DataFrame]:
+    """(path, mesh, lo, hi, faces) for binary glTF files, and the files that can't be read (path, why). Headers alone go to Python."""
 
     def read(frames: Iterator) -> Iterator:
         import pandas as pd
 
         for pdf in frames:
             rows = []
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+            for path, header in zip(pdf["path"], pdf["header"], strict=True):
                 try:
-                    rows += [(path, *box) for box in binary_scene_boxes(bytes(content))]
-                except (ValueError, KeyError, IndexError, struct.error):
-                    continue
-            yield pd.DataFrame(rows, columns=["path", "mesh", "lo", "hi", "faces"])
-
-    files = spark.read.format("binaryFile").load(glob).select("path", "content")
-    return files.mapInPandas(read, "path string, mesh string, lo array<double>, hi array<double>, faces long")
+                    rows += [(path, *box, None) for box in binary_scene_boxes(bytes(header))]
+                except (ValueError, KeyError, IndexError, struct.error) as wrong:
+                    rows.append((path, None, None, None, None, repr(wrong)))
+            yield pd.DataFrame(rows, columns=["path", "mesh", "lo", "hi", "faces", "why"]).astype({"faces": "Int64"})
+
+    size = F.conv(F.hex(F.concat(*[F.substring("content", 16 - k, 1) for k in range(4)])), 16, 10).cast("long")
+    files = spark.read.format("binaryFile").load(glob)
+    header = F.substring(F.col("content"), F.lit(1), F.least(F.coalesce(size, F.lit(0)), F.lit(1 << 30)).cast("int") + 20)
+    told = files.select("path", header.alias("header")).mapInPandas(read, "path string, mesh string, lo array<double>, hi array<double>, faces long, why string")
+    return told.filter("why is null").drop("why"), told.filter("why is not null").select("path", "why")
