@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from weftline.llm.components import connected
 from weftline.llm import ngram_join
-from weftline.llm.ngram_join import near_duplicates, near_links, overlap_needed, suffix_bound, without_near_duplicates
+from weftline.llm.ngram_join import apart, near_duplicates, near_links, overlap_needed, parity, suffix_bound, without_near_duplicates
 
 
 def sets(text, width):
@@ -85,6 +85,25 @@ def test_all_links_are_counted_and_listed(spark, monkeypatch):
         assert len(listed) == len(links) and set(listed) == links
 
 
+def test_salted_shingles_against_all_pairs(spark, monkeypatch):
+    """Shingles of many nodes are dealt by salt; centres of salts find each other."""
+    rows = corpus(11)
+    base = [f"w{i}" for i in range(60)]
+    rows += [(1000 + k, " ".join([*base[:k], f"x{k}", *base[k:]]), "en", "s", 1) for k in range(60)]
+    for hot in (2, 10):
+        monkeypatch.setattr(ngram_join, "HOT", hot)
+        found = near_duplicates(docs(spark, rows), 4, 85).select("doc_id", "n_shingles", "component_id")
+        assert sorted(map(tuple, found.collect()), key=str) == brute(rows, 4, 85)
+
+
+def test_a_shingle_of_thousands_of_unlinked_documents(spark):
+    """It is never among the rare ones of a set, so it brings no candidates."""
+    rows = [(i, f"all rights reserved here {' '.join(f'{c}{i}' for c in 'abcdefgh')}", "en", "s", 1) for i in range(4000)]
+    rows += [(5000 + i, "all rights reserved here", "en", "s", 1) for i in range(30)]
+    found = near_duplicates(docs(spark, rows), 4, 85).collect()
+    assert all(r.component_id == min(r.doc_id, 5000) and r.n_links == 0 for r in found)
+
+
 def test_odd_rows(spark):
     frame = docs(spark)
     rows = [tuple(r) for r in frame.collect()]
@@ -113,6 +132,13 @@ def test_suffix_bound_is_a_bound(a, b):
     assert suffix_bound(x, y) >= len(a & b)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.sets(st.integers(0, 4000), max_size=900), st.sets(st.integers(0, 4000)))
+def test_parities_differ_in_no_more_than_the_sets(a, b):
+    x, y = (parity(np.array(sorted(s), np.uint64)) for s in (a, b))
+    assert apart(x, y) == apart(y, x) <= len(a ^ b) and apart(x, x) == 0
+
+
 def test_overlap_needed_is_exact():
     for a in range(1, 30):
         for b in range(1, 30):

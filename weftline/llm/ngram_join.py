@@ -6,19 +6,25 @@ is a hash of the set, so copies need not be expanded). Two nodes are linked when
 1. One pass over the texts gives each document's node and counts shingles in a sketch of fixed size, over all documents. The
    estimated frequency, then the hash, is the order of shingles: rare first. Any order gives the same links; a good one gives
    few candidates.
-2. A second pass writes the prefix of each node: of n shingles, the first n - ceil(percent * n / 100) + 1, which linked
-   nodes share at least one of. Prefix rows whose shingle only one node has are dropped; nothing else can be a candidate.
-3. *Stars.* For each shared prefix shingle and length band, the most central node (the one that shares most of its prefix with
-   others) is compared with the rest: in a group of near copies that links all at once, without its pairs. Pairs pass the length,
-   positional and parity filters, each is verified once, on the whole sets, after the suffix filter. Linked nodes form components.
-4. *Rest.* Wherever a prefix shingle is still shared by different components, those of its nodes that are not in the component of
-   its centre are compared with all its nodes of other components, by the same filters, and what was not seen before is verified.
-   Then no link between different components is left, so components are final.
-
-The parity filter holds 512 bits a node, each the parity of the shingles that hash to it: two sets differ in at least as many
-shingles as their bits do, so a pair that differs in too many can't be a link. It spares the sets of nearly all other pairs.
-
-5. *All links.* Every link lies inside a component, so all pairs of a component's nodes that are in neighbouring size bands are
+2. A second pass writes the prefix of each node, as one row: of n shingles, the first n - ceil(percent * n / 100) + 1, which linked
+   nodes share at least one of.
+3. *Stars.* Prefix shingles are dealt once, by shingle. The first few nodes of a shingle are compared with each other; of all
+   others, each with the centres of its size band and the one below, the smallest node there: in a group of near copies that
+   links all at once, without its pairs. A shingle that the sketch counts in many documents is salted, and the centres of its
+   salts are compared in turn. Pairs pass the length, positional and parity filters, each is verified once, on the whole sets,
+   after the suffix filter. Linked nodes form components. The positional filter is that of the first shingle that two sets share:
+   what they share is at and behind it, in both. Where they share more, a later one may fail it; the first never does.
+4. *Rounds.* Wherever a prefix shingle of more than a few nodes is still shared by different components, each of them is compared
+   with the one that most nodes of the shingle are in, by one pair of nodes. That joins most components that belong together, with
+   work in proportion to the rows.
+5. *Rest.* Where components still differ, all pairs of nodes of different components that share a shingle and were not tried are
+   compared, by the same filters. Then no link between different components is left, so components are final.
+
+The parity filter holds a bit or two for each shingle of a set (512 at least), each the parity of the shingles that hash to it: two sets differ in
+at least as many shingles as their bits do, so a pair that differs in too many can't be a link, however large its sets are. It
+spares the sets of nearly all other pairs.
+
+6. *All links.* Every link lies inside a component, so all pairs of a component's nodes that are in neighbouring size bands are
 compared, on the whole sets. Large components are dealt out in pairs of blocks of about BLOCK nodes, so that no task holds one whole
 and a set is sent once a block, not once a pair. Components alone (``run``) don't need this step.
 
@@ -38,14 +44,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import batches_of, bounded_batches, checkpoint_dir, cut, remove, text_bytes
+from weftline.llm.common import Memory, batches_of, bounded_batches, checkpoint_dir, cut, held_for, in_files, remove, text_bytes
 from weftline.llm.components import connected
 
 SKETCH_BITS = 20
 CHUNKS = 64
-SALTS = 32
-#: Words and sets that a worker remembers, to spare work; both start anew when full.
-WORDS, SETS = 300_000, 200_000
+#: Nodes of a token in one task, about, before it is salted; nodes of a token that are all compared with each other; partners that a set meets in one task.
+HOT, FEW, PARTNERS = 4096, 4, 64
+#: How often components are compared by their ends before what is left of them is compared whole.
+ROUNDS = 2
+#: Bytes of words, and numbers of nodes and pairs, that a worker remembers to spare work; all start anew when full.
+WORDS, SEEN = 24 << 20, 100_000
 NO_ID = -(1 << 63)
 #: Nodes of a block, and the shingles that are compared at a time.
 BLOCK, COLUMNS = 256, 4096
@@ -53,17 +62,15 @@ BLOCK, COLUMNS = 256, 4096
 _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
-_words: dict[bytes, int] = {}
-
 
 def _codes(words: list[bytes]) -> np.ndarray:
-    codes = list(map(_words.get, words))
+    held = held_for("ngram_join")
+    known = held.get("words") or held.setdefault("words", Memory(WORDS))
+    codes = list(map(known.get, words))
     if None in codes:
         for k, code in enumerate(codes):
             if code is None:
-                if len(_words) >= WORDS:
-                    _words.clear()
-                codes[k] = _words[words[k]] = xxhash.xxh3_64_intdigest(words[k])
+                codes[k] = known.keep(words[k], xxhash.xxh3_64_intdigest(words[k]), len(words[k]) + 80)
     return np.array(codes, np.uint64)
 
 
@@ -116,18 +123,32 @@ def _intersection(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.count_nonzero(x[at] == y)) if len(x) else 0
 
 
+_COUNTED = pa.schema([("id", pa.int64()), ("tie", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("chunk", pa.int32()), ("counts", pa.binary())])
+_COUNTED_DDL = "id long, tie long, node long, n int, chunk int, counts binary"
+
+
 PARITY = [f"p{k}" for k in range(8)]
-_COUNTED = pa.schema(
-    [("id", pa.int64()), ("tie", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), *((p, pa.int64()) for p in PARITY), ("chunk", pa.int32()), ("counts", pa.binary())]
-)
-_COUNTED_DDL = f"id long, tie long, node long, n int, {', '.join(p + ' long' for p in PARITY)}, chunk int, counts binary"
 
 
-def parity(hashes: np.ndarray) -> list[int]:
-    bits = np.bincount((hashes & np.uint64(511)).astype(np.int64), minlength=512) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
+def parity(hashes: np.ndarray) -> bytes:
+    """For each value of the hashes' last bits, whether it is had an odd number of times; at least as many bits as hashes, a power of two, and 512."""
+    bits = max(512, 1 << (len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def folded(x: bytes) -> list[int]:
+    """A parity of 512 bits, in PARITY."""
+    return np.bitwise_xor.reduce(np.frombuffer(x, np.int64).reshape(-1, 8)).tolist()
 
 
+def apart(x: bytes, y: bytes) -> int:
+    """How many bits differ, at least as many of which as sets differ in shingles; of two lengths, the longer is folded to the shorter."""
+    a, b = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
 
 def _buckets(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
@@ -144,7 +165,7 @@ def _count(width: int):
                     found = shingles(text, width)
                     held.append(_buckets(found))
                     size += len(found)
-                    yield doc, tie, node_of(found), len(found), *parity(found), None, None
+                    yield doc, tie, node_of(found), len(found), None, None
                 if size > 1 << 19:
                     counts[:] += np.bincount(np.concatenate(held), minlength=len(counts)).astype(np.uint32)
                     held, size = [], 0
@@ -152,7 +173,7 @@ def _count(width: int):
                 counts[:] += np.bincount(np.concatenate(held), minlength=len(counts)).astype(np.uint32)
             for k, part in enumerate(counts.reshape(CHUNKS, -1)):
                 if part.any():
-                    yield *[None] * (4 + len(PARITY)), k, zlib.compress(part.tobytes(), 1)
+                    yield None, None, None, None, k, zlib.compress(part.tobytes(), 1)
 
         yield from batches_of(rows(), _COUNTED, 16384)
 
@@ -164,7 +185,7 @@ def _add_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             part = np.frombuffer(zlib.decompress(packed), np.uint32)
-            held[k] = held[k] + part if k in held else part
+            held[k] = held[k] + part if k in held else part.astype(np.int64)
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in held.values()], pa.binary())], names=["chunk", "counts"])
 
@@ -172,41 +193,138 @@ def _add_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _gathered(counted: DataFrame) -> np.ndarray:
     """The sketch of all documents: at most CHUNKS rows of fixed size reach the driver."""
     parts = counted.filter("chunk is not null").select("chunk", "counts").repartition(CHUNKS, "chunk").mapInArrow(_add_chunks, "chunk int, counts binary")
-    out = np.zeros((CHUNKS, (1 << SKETCH_BITS) // CHUNKS), np.uint32)
+    out = np.zeros((CHUNKS, (1 << SKETCH_BITS) // CHUNKS), np.int64)
     for r in parts.collect():
-        out[r["chunk"]] += np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
+        out[r["chunk"]] += np.frombuffer(zlib.decompress(r["counts"]), np.int64)
     return out.reshape(-1)
 
 
-_PREFIX = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("place", pa.int32())])
+_PREFIX = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("tokens", pa.binary()), ("parity", pa.binary()), *((p, pa.int64()) for p in PARITY)])
+_PREFIX_DDL = f"node long, n int, tokens binary, parity binary, {', '.join(p + ' long' for p in PARITY)}"
 
 
 def _prefixes(width: int, percent: int, frequency):
+    """A row for each node of a task: the size of its set, its prefix in order, its parity where that has over 512 bits, and the parity in 512."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = frequency.value, set()
+
+        def rows():
+            for batch in batches:
+                for text in batch.column(0).to_pylist():
+                    found = shingles(text, width)
+                    node, n = node_of(found), len(found)
+                    if not n or node in seen:
+                        continue
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(node)
+                    length = n - required(n, percent) + 1
+                    few, rank = found, counts[_buckets(found)]
+                    if n > 4 * length:  # only those that may be among the first need to be sorted
+                        edge = np.partition(rank, length - 1)[length - 1]
+                        chosen = np.flatnonzero(rank <= edge)
+                        few, rank = found[chosen], rank[chosen]
+                    bits = parity(found)
+                    yield node, n, few[np.lexsort((few, rank))[:length]].tobytes(), bits if len(bits) > 64 else None, *folded(bits)
+
+        yield from batches_of(rows(), _PREFIX)
+
+    return run
+
+
+_DEALT = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("n", pa.int32()), ("node", pa.int64()), ("place", pa.int32())])
+_DEALT_DDL = "token long, salt int, n int, node long, place int"
+
+
+def _deal(frequency, hot: int):
+    """A row for each prefix shingle. One that may be in more than hot nodes, by its count, is salted: salt is 0 for all others, and then from 1 on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = frequency.value
+        chance = int(counts.mean())  # what other shingles add to a count
+        for batch in batches:
+            nodes, sizes = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(2))
+            packed = batch.column(2).to_pylist()
+            lengths = np.array([len(p) // 8 for p in packed], np.int64)
+            tokens, starts = np.frombuffer(b"".join(packed), np.uint64), np.cumsum(lengths) - lengths
+            count = counts[_buckets(tokens)] - chance
+            salts = np.where(count > max(hot, chance), -(-count // hot), 0)
+            node = np.repeat(nodes, lengths)
+            salt = np.where(salts > 0, 1 + (node & 0x7FFFFFFF) % np.maximum(salts, 1), 0).astype(np.int32)
+            place = (np.arange(len(tokens)) - np.repeat(starts, lengths)).astype(np.int32)
+            made = pa.RecordBatch.from_arrays([pa.array(c) for c in (tokens.view(np.int64), salt, np.repeat(sizes, lengths), node, place)], schema=_DEALT)
+            for at in range(0, len(tokens), 1 << 16):
+                yield made.slice(at, 1 << 16)
+
+    return run
+
+
+_MET = pa.schema([("kind", pa.int32()), ("token", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("place", pa.int32()), ("other", pa.int64())])
+_MET_DDL = "kind int, token long, node long, n int, place int, other long"
+PAIR, SHARED, CENTRE = 0, 1, 2
+
+
+def _meet(percent: int):
+    """From dealt rows, sorted by token, salt, size and node, what the nodes of each token and salt are to each other.
+
+    Each of the first FEW nodes is compared with those before it, each later one with the centres of its size band and of the one
+    below: the first node there. PAIR rows (node, other) pass the length and positional filters. Where there are more than FEW
+    nodes, or the token is salted, SHARED rows tell all of them, and CENTRE rows the centres of salted ones. No more than the
+    centres is held of a token.
+    """
+    base = np.log(100 / percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            key, last, few, centres, told = None, None, [], {}, set()
+            for batch in batches:
+                token, salt, n, node, place = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(5))
+                busy = salt > 0
+                busy[[0, -1]] = True  # what is alone here may have company in the batch beside
+                beside = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
+                busy[1:] |= beside
+                busy[:-1] |= beside
+                at = np.flatnonzero(busy)
+                bands = np.floor(np.log(n[at].astype(float)) / base + 1e-9).astype(int)
+                for t, s, size, v, k, band in zip(*(c.tolist() for c in (token[at], salt[at], n[at], node[at], place[at], bands)), strict=True):
+                    if (t, s) != key:
+                        key, last, few, centres = (t, s), None, [], {}
+                    if v == last:
+                        continue
+                    last, me = v, (size, v, k)
+                    for other in few if len(few) < FEW else (centres.get(band), centres.get(band - 1)):
+                        if other and 100 * other[0] >= percent * size:
+                            ahead = min(other[0] - other[2], size - k)
+                            if ahead >= overlap_needed(other[0], size, percent) and (other[1], v) not in told:
+                                if len(told) >= SEEN:
+                                    told.clear()
+                                told.add((other[1], v))
+                                yield PAIR, None, other[1], None, None, v
+                    fresh = centres.setdefault(band, me) is me
+                    if s or len(few) >= FEW:
+                        yield CENTRE if s and fresh else SHARED, t, v, size, k, None
+                        if not s and len(few) == FEW:
+                            yield from ((SHARED, t, x[1], x[0], x[2], None) for x in few)
+                    if len(few) <= FEW:
+                        few.append(me)
+
+        yield from batches_of(rows(), _MET, 16384)
+
+    return run
+
+
+_BESIDE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _differ_little(percent: int):
+    """From rows (a, b, x, y, n_a, n_b), those pairs (a, b) whose whole parities the filter lets through; where one is null, the short ones have told."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, nodes, sizes, places = [], [], [], []
-            for text in batch.column(0).to_pylist():
-                found = shingles(text, width)
-                node, n = node_of(found), len(found)
-                if not n or node in seen:
-                    continue
-                if len(seen) >= SETS:
-                    seen.clear()
-                seen.add(node)
-                length = n - required(n, percent) + 1
-                rank = counts[_buckets(found)]
-                if n > 4 * length:  # only those that may be among the first need to be sorted
-                    edge = np.partition(rank, length - 1)[length - 1]
-                    few = np.flatnonzero(rank <= edge)
-                    found, rank = found[few], rank[few]
-                first = np.lexsort((found, rank))[:length]
-                tokens.append(found[first].view(np.int64))
-                nodes.append(np.full(length, node, np.int64))
-                sizes.append(np.full(length, n, np.int32))
-                places.append(np.arange(length, dtype=np.int32))
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (tokens, nodes, sizes, places)], schema=_PREFIX)
+            a, b, x, y, n_a, n_b = (batch.column(c).to_pylist() for c in range(6))
+            keep = [x[k] is None or y[k] is None or apart(x[k], y[k]) <= n_a[k] + n_b[k] - 2 * overlap_needed(n_a[k], n_b[k], percent) for k in range(len(a))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=_BESIDE).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -306,8 +424,8 @@ class NgramJoin:
         self.folder = f"{checkpoint_dir(self.spark)}/ngrams-{uuid.uuid4().hex}"
         self.sets: list[str] = []
 
-    def _stored(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.folder}/{name}")
+    def _stored(self, df: DataFrame, name: str, rows: int | None = None, each: int = 20_000) -> DataFrame:
+        (df if rows is None else in_files(df, rows, each)).write.parquet(f"{self.folder}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 
     def _drop(self, *names: str) -> None:
@@ -319,23 +437,26 @@ class NgramJoin:
         """Documents (id, tie, node, n) and components of linked nodes (node, root). The sets are kept for links() or n_links()."""
         counted = self._stored(self.rows.mapInArrow(_count(self.width), _COUNTED_DDL), "counted")
         documents = counted.filter("chunk is null").select("id", "tie", "node", "n")
+        needed = F.ceil(self.percent * F.col("n") / 100 - 1e-9)
+        self.n_rows, n_tokens = documents.agg(F.count("*"), F.coalesce(F.sum(F.col("n") - needed + 1), F.lit(0))).first()
         frequency = self.spark.sparkContext.broadcast(_gathered(counted))  # of a fixed size
-        prefix = self.rows.select("text").mapInArrow(_prefixes(self.width, self.percent, frequency), "token long, node long, n int, place int")
-        prefix = self._stored(prefix, "prefix")
-        several = prefix.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("token")
-        shared = prefix.join(several, "token")
-        central = shared.groupBy("node").agg((F.count("*") / F.max(F.col("n") - F.ceil(self.percent * F.col("n") / 100) + 1)).alias("central"))
-        shared = self._stored(shared.join(central, "node"), "shared")
-        self._drop("prefix")
-        nodes = self._stored(counted.filter("n > 0").select("node", *PARITY).dropDuplicates(["node"]), "nodes")
-
-        stars = self._stored(self._may_link(self._stars(shared), nodes), "stars")
-        links = self._stored(self._verify(documents, stars), "star_links")
+        prefix = self._stored(self.rows.select("text").mapInArrow(_prefixes(self.width, self.percent, frequency), _PREFIX_DDL), "prefix")
+        nodes = self._stored(prefix.drop("tokens").dropDuplicates(["node"]), "nodes", self.n_rows)
+        met = self._stored(self._met(prefix.select("node", "n", "tokens").mapInArrow(_deal(frequency, HOT), _DEALT_DDL)), "met", n_tokens, 100_000)
+        centres = met.filter(f"kind = {CENTRE}").select("token", F.lit(0).alias("salt"), "n", "node", "place")
+        found = met.union(self._met(centres)).filter(f"kind = {PAIR}").select(F.col("node").alias("a"), F.col("other").alias("b"))
+        tried = self._stored(found.dropDuplicates(["a", "b"]), "tried", self.n_rows)
+        shared = met.filter(f"kind <> {PAIR}").select("token", "node", "n", "place")
+
+        links, steps = self._linked(documents, tried, nodes, "star"), 0
         roots = connected(links)
-        rest = self._stored(self._rest(shared, roots, stars, nodes), "rest")
-        more = self._stored(self._verify(documents, rest), "rest_links")
-        self._drop("shared", "nodes", "stars", "rest", *([] if keep_sets else ["sets"]))
-        return documents, connected(links.union(more))
+        while steps <= ROUNDS and not (shared := self._split(shared, roots)).isEmpty():
+            pairs = self._ends(shared) if steps < ROUNDS else self._rest(shared, nodes)
+            pairs = self._stored(pairs.join(tried, ["a", "b"], "left_anti"), f"pairs{steps}", self.n_rows)
+            tried, links = tried.union(pairs), links.union(self._linked(documents, pairs, nodes, f"links{steps}"))
+            roots, steps = connected(links), steps + 1
+        self._drop("prefix", "nodes", "met", "tried", *[f"pairs{k}" for k in range(steps)], "links", *([] if keep_sets else ["sets"]))
+        return documents, roots
 
     def links(self, documents: DataFrame, roots: DataFrame) -> DataFrame:
         """All links (a, b) between nodes, a < b, each once; after run(keep_sets=True)."""
@@ -351,7 +472,7 @@ class NgramJoin:
         return self._last(counts.groupBy("node").agg(F.sum("links").alias("n_links")), "n_links")
 
     def _last(self, df: DataFrame, name: str) -> DataFrame:
-        stored = self._stored(df, name)
+        stored = self._stored(df, name, self.n_rows)
         self._drop("sets")
         return stored
 
@@ -359,7 +480,7 @@ class NgramJoin:
         """Linked nodes with their band and the number of nodes of their component; cut, as it is read more than once."""
         nodes = documents.join(roots.select("node"), "node", "left_semi").select("node", "n").distinct()
         placed = roots.join(nodes, "node").withColumn("band", self._band(F.col("n"))).select("node", "root", "band")
-        return cut(placed.join(placed.groupBy("root").agg(F.count("*").alias("m")), "root"))
+        return cut(placed.join(placed.groupBy("root").agg(F.count("*").alias("m")), "root"), self.n_rows)
 
     def _dealt(self, sized: DataFrame) -> DataFrame:
         """The sets of components of three nodes and more, to each pair of blocks that they are in. Two nodes have one link."""
@@ -391,47 +512,59 @@ class NgramJoin:
         return F.floor(F.log(n.cast("double")) / F.log(F.lit(100 / self.percent)) + 1e-9).cast("int")
 
     def _passes(self, a: str, b: str):
-        """The length filter, and the positional one: what is left behind the shared shingle can still make the intersection."""
+        """The length filter, and the positional one."""
         n_a, n_b, at_a, at_b = (F.col(f"{s}.{c}") for c in ("n", "place") for s in (a, b))
         needed = F.ceil(self.percent * (n_a + n_b) / (100 + self.percent) - 1e-9)
-        ahead = 1 + F.least(n_a - at_a, n_b - at_b) - 1 + F.least(at_a, at_b)
-        return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * self.percent) & (ahead >= needed)
+        return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * self.percent) & (F.least(n_a - at_a, n_b - at_b) >= needed)
+
+    def _met(self, dealt: DataFrame) -> DataFrame:
+        order = ["token", "salt", "n", "node"]
+        return dealt.repartition("token", "salt").sortWithinPartitions(*order).select(*order, "place").mapInArrow(_meet(self.percent), _MET_DDL)
 
-    def _differ_little(self, a: str, b: str):
-        """The parity filter."""
+    def _few_apart(self, a: str, b: str):
+        """The parity filter, on 512 bits."""
         n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
         most = n_a + n_b - 2 * F.ceil(self.percent * (n_a + n_b) / (100 + self.percent) - 1e-9)
-        apart = sum((F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in PARITY), F.lit(0))
-        return apart <= most
-
-    def _stars(self, shared: DataFrame) -> DataFrame:
-        """(a, b, n of both): each node with the centres of its bands."""
-        banded = shared.withColumn("band", self._band(F.col("n")))
-        centres = banded.groupBy("token", "band").agg(F.max(F.struct("central", "node", "n", "place")).alias("c")).select("token", "band", "c.*")
-        near = centres.select("token", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), "node", "n", "place")
-        pairs = banded.alias("m").join(near.alias("c"), ["token", "band"]).filter(F.col("m.node") != F.col("c.node")).filter(self._passes("m", "c"))
-        low = F.col("c.node") < F.col("m.node")
-        ends = [F.when(low, F.col(f"c.{c}")).otherwise(F.col(f"m.{c}")) for c in ("node", "n")] + [F.when(low, F.col(f"m.{c}")).otherwise(F.col(f"c.{c}")) for c in ("node", "n")]
-        return pairs.select(F.col("c.node").alias("centre"), *[e.alias(c) for e, c in zip(ends, ("a", "n_a", "b", "n_b"), strict=True)]).dropDuplicates(["a", "b"])
+        return sum((F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in PARITY), F.lit(0)) <= most
 
     def _may_link(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-        """Those star pairs that the parity filter lets through, the centre first."""
-        left = nodes.withColumnRenamed("node", "a").withColumn("x", F.struct(*PARITY)).select("a", "x")
-        right = nodes.withColumnRenamed("node", "b").withColumn("y", F.struct(*PARITY)).select("b", "y")
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "centre", F.struct("x.*", F.col("n_a").alias("n")).alias("x"), F.struct("y.*", F.col("n_b").alias("n")).alias("y"))
-        kept = both.filter(self._differ_little("x", "y"))
-        return kept.select(F.col("centre").alias("a"), F.when(F.col("centre") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("b"))
-
-    def _rest(self, shared: DataFrame, roots: DataFrame, stars: DataFrame, nodes: DataFrame) -> DataFrame:
-        rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        told = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.struct("central", "node", "root")).alias("c"))
-        split = told.filter("low < high").select("token", F.col("c.root").alias("main"))
-        left = cut(rooted.join(split, "token").join(nodes, "node").drop("central"))
-        odd, all_ = left.filter("root <> main").alias("x"), left.drop("main").alias("y")
-        pairs = odd.join(all_, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & self._passes("x", "y") & self._differ_little("x", "y"))
-        pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        known = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        return pairs.join(known, ["a", "b"], "left_anti")
+        """Those pairs that the parity filter lets through."""
+        left, right = (nodes.select(F.col("node").alias(c), F.struct("n", "parity", *PARITY).alias(s)) for c, s in ("ax", "by"))
+        both = pairs.join(left, "a").join(right, "b").filter(self._few_apart("x", "y"))
+        ends = [F.col(f"{s}.{c}").alias(f"{s}_{c}") for c in ("parity", "n") for s in "xy"]
+        return both.select("a", "b", *ends).mapInArrow(_differ_little(self.percent), "a long, b long")
+
+    def _linked(self, documents: DataFrame, pairs: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+        """Those pairs that are links, stored."""
+        likely = self._stored(self._may_link(pairs, nodes), f"likely/{name}", self.n_rows)
+        links = self._stored(self._verify(documents, likely), f"links/{name}", self.n_rows)
+        self._drop(f"likely/{name}")
+        return links
+
+    def _split(self, shared: DataFrame, roots: DataFrame) -> DataFrame:
+        """Rows of shingles that different components share, with root and main, the component that most nodes of the shingle are in."""
+        rooted = shared.select("token", "node", "n", "place").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        told = rooted.groupBy("token", "root").agg(F.count("*").alias("m")).groupBy("token").agg(F.max(F.struct("m", "root")).alias("c"), F.count("*").alias("roots"))
+        split = told.filter("roots > 1").select("token", F.col("c.root").alias("main"))
+        return cut(rooted.join(split, "token"), self.n_rows)
+
+    def _ends(self, split: DataFrame) -> DataFrame:
+        """Pairs (a, b) for each shingle, one for each component: where it has the shingle first, with where the main component has it first."""
+        ends = split.groupBy("token", "root", "main").agg(F.min(F.struct("place", "n", "node")).alias("e")).select("token", "root", "main", "e.*")
+        x, y = ends.filter("root <> main").alias("x"), ends.filter("root = main").alias("y")
+        return self._ordered(x.join(y, F.col("x.token") == F.col("y.token")).filter(self._passes("x", "y")))
+
+    def _rest(self, split: DataFrame, nodes: DataFrame) -> DataFrame:
+        """All pairs (a, b) of nodes in different components that share a shingle and pass the filters."""
+        told = cut(split.join(nodes.select("node", *PARITY), "node"), self.n_rows)
+        odd, all_ = told.filter("root <> main").alias("x"), told.alias("y")
+        return self._ordered(odd.join(all_, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & self._passes("x", "y") & self._few_apart("x", "y")))
+
+    def _ordered(self, pairs: DataFrame) -> DataFrame:
+        """Each pair of nodes x and y once, the smaller one as a."""
+        first = F.struct("x.n", "x.node") < F.struct("y.n", "y.node")
+        ends = (F.when(first, F.col(f"{p}.node")).otherwise(F.col(f"{q}.node")) for p, q in ("xy", "yx"))
+        return pairs.select(*[e.alias(c) for e, c in zip(ends, "ab", strict=True)]).dropDuplicates(["a", "b"])
 
     def _sets(self, documents: DataFrame, nodes: DataFrame) -> DataFrame:
         """(node, hashes) for nodes, each from one document that has it."""
@@ -468,11 +601,12 @@ class NgramJoin:
         return self.rows.filter(maybe(slot))
 
     def _verify(self, documents: DataFrame, pairs: DataFrame) -> DataFrame:
-        """Those pairs (a, b) that are links. The set of a goes once to each salt of its partners; sets of partners stream past it."""
-        salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+        """Those pairs (a, b) that are links. The set of a goes once to about PARTNERS of its partners; their sets stream past it."""
+        salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("salts"))
+        salted = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         name = f"sets/{uuid.uuid4().hex[:8]}"
-        sets = self._stored(self._sets(documents, nodes), name)
+        sets = self._stored(self._sets(documents, nodes), name, self.n_rows, 2_000)
         self.sets.append(f"{self.folder}/{name}")
         leads = salted.select("a", "salt").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "hashes")
         members = salted.join(sets.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "hashes")
