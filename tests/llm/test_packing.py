@@ -123,3 +123,15 @@ def test_encoder_on_awkward_text():
 def test_no_rows_and_clashing_columns(spark):
     assert pack(token_pieces(spark.createDataFrame([], DOCS), word_tokenizer())).count() == 0
     assert pack(token_pieces(clashing(spark), word_tokenizer())).count() == 6
+    names = ["_row", "_slice", "_rank", "_row0", "_RANK1", "n", "row", "sequence_id", "offset"]
+    pieces = spark.createDataFrame([(1 + i % 7, *[i] * len(names)) for i in range(50)], "length long, " + ", ".join(f"`{c}` long" for c in names))
+    made = pack(pieces, 16)
+    assert made.columns == ["length", *names[:-2], "sequence_id", "offset"]
+    rows = made.collect()
+    assert len(rows) == 50 and all(r.length == 1 + r.n % 7 and r._slice == r.n for r in rows)
+    for seq in {r.sequence_id for r in rows}:
+        at = 0
+        for r in sorted((r for r in rows if r.sequence_id == seq), key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 16

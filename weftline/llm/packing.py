@@ -258,18 +258,21 @@ def _places(made: Plan) -> np.ndarray:
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, slices: int = SLICES) -> DataFrame:
-    """pieces with sequence_id and offset. Needs a long column length from 1 to capacity; keeps all others.
+    """pieces with sequence_id and offset, in place of any columns of these names. Needs a long column length from 1 to capacity; keeps all others.
 
-    Pieces are cut from their lineage first, since they are read three times.
+    Pieces are cut from their lineage first, since they are read three times. No pieces give no rows; pieces that are equal are
+    packed each for itself.
     """
-    pieces = cut(pieces)
+    pieces = cut(pieces.drop("sequence_id", "offset"))
+    taken = {c.lower() for c in pieces.columns}
+    row_, slice_, rank_ = (next(n for k in range(len(taken) + 1) if (n := f"_{name}{k}") not in taken) for name in ("row", "slice", "rank"))
     counts = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     total = sum(counts.values())
     dealt = {n: -(-c * slices // total) for n, c in counts.items()}
     parts = F.element_at(F.create_map(*[F.lit(x) for n in sorted(dealt) for x in (n, dealt[n])]), F.col("length").cast("int")) if dealt else F.lit(1)
     row = F.monotonically_increasing_id()
-    sliced = pieces.withColumn("_row", row).withColumn("_slice", F.pmod(F.xxhash64("_row"), parts.cast("long")))
-    held = {(int(r["length"]), int(r["_slice"])): int(r["n"]) for r in sliced.groupBy("length", "_slice").agg(F.count("*").alias("n")).collect()}  # at most slices + capacity rows
+    sliced = pieces.withColumn(row_, row).withColumn(slice_, F.pmod(F.xxhash64(row_), parts.cast("long")))
+    held = {(int(r["length"]), int(r[slice_])): int(r["n"]) for r in sliced.groupBy("length", slice_).agg(F.count("*").alias("n")).collect()}  # at most slices + capacity rows
     keys, befores, before, last = [], [], 0, None
     for length, part in sorted(held):
         before = 0 if length != last else before
@@ -278,13 +281,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, slices: int = SLICES) -> D
         before, last = before + held[length, part], length
     keys, befores, places = np.array(keys, np.int64), np.array(befores, np.int64), _places(plan(counts, capacity))
     edges = (places[:, 0] << 44) + places[:, 1]
-    ranked = sliced.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_slice").orderBy("_row")).cast("long")).drop("_row")
-    names = [c for c in ranked.columns if c not in ("_slice", "_rank")]
-    schema = pieces.select(*names).schema.add("sequence_id", "long").add("offset", "long")
+    ranked = sliced.withColumn(rank_, F.row_number().over(Window.partitionBy("length", slice_).orderBy(row_)).cast("long")).drop(row_)
+    names = pieces.columns
+    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, part, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "_slice", "_rank"))
+            length, part, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", slice_, rank_))
             rank = rank - 1 + befores[np.searchsorted(keys, (length << 32) + part)]
             _, first, sequence, copies, offset = places[np.searchsorted(edges, (length << 44) + rank, "right") - 1].T
             at, inside = divmod(rank - first, copies)
