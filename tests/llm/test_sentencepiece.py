@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pytest
-from helpers import DOCS, SF, clashing, docs
+from helpers import DOCS, SF, TINY, clashing, docs
 from weftline.llm.registry import piece_model
 from weftline.llm.sentencepiece_nbest import Vocabulary, decode_documents, encode_documents, segment_digests
 
@@ -45,7 +47,7 @@ def test_round_trips(spark, words):
             assert words.decode(ids).decode() == text
 
 
-def test_documents(spark):
+def test_documents(spark, words):
     frame = docs(spark)
     encoded = encode_documents(frame, piece_model(), 3)
     back = decode_documents(encoded, piece_model()).collect()
@@ -56,6 +58,8 @@ def test_documents(spark):
     digests = segment_digests(frame, piece_model()).collect()
     assert len(digests) == 11 and all(r.round_trip and r.best_score >= r.last_score for r in digests)
     assert {r.n_tokens for r in digests if r.doc_id in (3, 4)} == {0}
+    told = sorted(",".join(str(zlib.crc32(ids)) for _, ids in words.encode(r.text or "", 3)) for r in frame.collect())
+    assert sorted(r.ranks_crc32 for r in digests) == told
     best = {r.doc_id: np.frombuffer(r.ids, "<u4").size for r in back if r.rank == 0 and r.doc_id in (1, 5, 7)}
     assert all(best[r.doc_id] == r.n_tokens for r in digests if r.doc_id in best)
 
@@ -63,3 +67,14 @@ def test_documents(spark):
 def test_no_rows_and_clashing_columns(spark):
     assert segment_digests(spark.createDataFrame([], DOCS), piece_model()).count() == 0
     assert segment_digests(clashing(spark), piece_model()).count() == 6
+
+
+def test_whole_texts_have_distinct_ranks_that_decode(spark, words):
+    """Every text of a table, each of its segmentations: in order, different, and the text again."""
+    for r in spark.read.parquet(f"{TINY}/documents.parquet").collect():
+        found = words.encode(r.text or "", 3)
+        assert [s for s, _ in found] == sorted((s for s, _ in found), reverse=True) and len({ids for _, ids in found}) == len(found)
+        for score, ids in found:
+            assert words.decode(ids).decode() == (r.text or "")
+            known = [words.score.get(i) for i in np.frombuffer(ids, "<u4").tolist()]
+            assert abs(sum(words.spelled if s is None else s for s in known) - score) < 1e-6 * max(1, len(known))

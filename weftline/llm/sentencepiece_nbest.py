@@ -139,7 +139,10 @@ class Vocabulary:
         return entry
 
     def _deeper(self, word: str, n: int) -> list[Segmentation]:
+        own = np.frombuffer((self.known.get(word) or self.word(word))[0], "<u4").tolist()
         made = self.best(" " + word, n)
+        if made[0][1] != own:  # of equal scores, the one that the word is taken to have comes first
+            made = [(made[0][0], own), *[m for m in made if m[1] != own]][:n]
         return self.deep.keep((word, n), made, 2 * len(word) + sum(8 * len(ids) + 200 for _, ids in made) + 200)
 
     def encode(self, text: str, n: int = 1) -> list[tuple[float, bytes]]:
@@ -163,7 +166,7 @@ class Vocabulary:
             left[k] = math.inf
             others[k] = self.deep.get((words[k], n)) or self._deeper(words[k], n)
             top = others[k][0][0]
-            ways = heapq.nsmallest(n, [(w + top - s, (*c, (k, i)) if i else c) for w, c in ways for i, (s, _) in enumerate(others[k])])
+            ways = heapq.nsmallest(n, [(w + max(top - s, 0.0), (*c, (k, i)) if i else c) for w, c in ways for i, (s, _) in enumerate(others[k])])
         for loss, changes in ways[1:]:
             changed = list(ids)
             for k, i in changes:
@@ -188,7 +191,7 @@ def vocabulary(path: str) -> Vocabulary:
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("rank", pa.int32()), ("score", pa.float64()), ("ids", pa.binary())])
 _DIGEST = pa.schema(
     [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("n_best", pa.int32())]
-    + [("best_score", pa.float64()), ("last_score", pa.float64()), ("decoded_sha256", pa.string()), ("round_trip", pa.bool_())]
+    + [("best_score", pa.float64()), ("last_score", pa.float64()), ("decoded_sha256", pa.string()), ("round_trip", pa.bool_()), ("ranks_crc32", pa.string())]
 )
 
 
@@ -235,7 +238,7 @@ def _digests(path: str, n: int):
                     score, ids = found[0]
                     back = words.decode(ids)
                     sha = hashlib.sha256(back).hexdigest()
-                    yield doc, len(ids) // 4, zlib.crc32(ids), len(found), round(score, 6), round(found[-1][0], 6), sha, back == text
+                    yield doc, len(ids) // 4, zlib.crc32(ids), len(found), round(score, 6), round(found[-1][0], 6), sha, back == text, ",".join([str(zlib.crc32(x)) for _, x in found])
 
         yield from batches_of(rows(), _DIGEST)
 
@@ -243,8 +246,11 @@ def _digests(path: str, n: int):
 
 
 def segment_digests(docs: DataFrame, model: str, nbest: int = NBEST) -> DataFrame:
-    """A row for each row of docs: what its n best segmentations are, in short, and whether the best decodes to its text."""
+    """A row for each row of docs: what its n best segmentations are, in short, and whether the best decodes to its text.
+
+    ranks_crc32 has the CRC-32 of the ids of each of them, the best first, comma-joined.
+    """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    ddl = "doc_id long, n_tokens long, ids_crc32 long, n_best int, best_score double, last_score double, decoded_sha256 string, round_trip boolean"
+    ddl = "doc_id long, n_tokens long, ids_crc32 long, n_best int, best_score double, last_score double, decoded_sha256 string, round_trip boolean, ranks_crc32 string"
     return rows.mapInArrow(_digests(model, nbest), ddl)
