@@ -471,6 +471,12 @@ class NgramJoin:
         counts = pairs.union(self._dealt(sized).mapInArrow(_all_links(self.percent, False), "node long, links long"))
         return self._last(counts.groupBy("node").agg(F.sum("links").alias("n_links")), "n_links")
 
+    def closed(self, result: DataFrame) -> DataFrame:
+        """A result, cut from its lineage; all that the join stored goes."""
+        out = cut(result, self.n_rows)
+        remove(self.spark, self.folder)
+        return out
+
     def _last(self, df: DataFrame, name: str) -> DataFrame:
         stored = self._stored(df, name, self.n_rows)
         self._drop("sets")
@@ -591,12 +597,10 @@ class NgramJoin:
             field |= np.frombuffer(zlib.decompress(r["field"]), np.uint8)
         shipped = self.spark.sparkContext.broadcast(field)
 
-        @F.pandas_udf("boolean")
-        def maybe(slots):
-            import pandas as pd
-
-            at = slots.to_numpy()
-            return pd.Series((shipped.value[at >> 3] >> (at & 7)) & 1 == 1)
+        @F.arrow_udf("boolean")
+        def maybe(slots: pa.Array) -> pa.Array:
+            at = slots.to_numpy(zero_copy_only=False)
+            return pa.array((shipped.value[at >> 3] >> (at & 7)) & 1 == 1)
 
         return self.rows.filter(maybe(slot))
 
@@ -629,13 +633,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     named = grown.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     component = named.groupBy("root").agg(F.min("least").alias("component_id"))
     nodes = named.select("node", "root").join(component, "root").select("node", "component_id")
-    return grown.join(nodes, "node", "left").join(n_links, "node", "left").select(
+    told = grown.join(nodes, "node", "left").join(n_links, "node", "left").select(
         "doc_id",
         F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.when(F.col("n") > 0, F.col("node")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
+    return join.closed(told)
 
 
 def near_links(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -649,10 +654,11 @@ def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80)
 
     Of rows that repeat a doc_id with the same text, one stays if it is the component's.
     """
-    documents, roots = NgramJoin(docs, width, percent).run()
+    join = NgramJoin(docs, width, percent)
+    documents, roots = join.run()
     mine = documents.filter("n > 0").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = mine.groupBy("root").agg(F.min(F.struct(F.expr(f"id = {NO_ID}").alias("last"), "id", "tie")).alias("first")).select("first.id", "first.tie")
-    kept = first.union(documents.filter("n = 0").select("id", "tie").distinct())
+    kept = join.closed(first.union(documents.filter("n = 0").select("id", "tie").distinct()))
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_bytes()).alias("tie"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
     )
