@@ -1,15 +1,21 @@
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 from helpers import DOCS, SF
 
 import corpus_pipeline as pipeline
-from weftline.llm.registry import oracle_sql, queries
+from weftline.llm import quality
+from weftline.llm.registry import oracle_sql, queries, word_tokenizer
 
 
 def test_stages_against_brute_force(spark, tmp_path):
     """Each stage on what the one before it kept."""
     from test_ngram_join import brute
+    from test_packing import check_whole
     from test_pii import base
+    from tokenizers import Tokenizer
 
     frame = spark.read.parquet(f"{SF}/documents.parquet")
     kept = {}
@@ -23,6 +29,8 @@ def test_stages_against_brute_force(spark, tmp_path):
         frame = after
 
     rows = lambda f: {r.doc_id: r for r in f.collect()}
+    before, after = map(rows, kept["quality_classifier"])
+    assert sorted(after) == plain_keep(spark, kept["quality_classifier"][0]) and 0 < len(after) < len(before)
     before, after = map(rows, kept["exact_dedup"])
     groups = {}
     for doc, r in before.items():
@@ -36,7 +44,29 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert all(r.n_chars == len(r.text) for r in after.values())
     assert any(base(r.text) for r in before.values()) and all(r == before[d] for d, r in after.items() if "[" not in r.text)
     before, after = kept["best_fit_packing"]
-    assert after.select("doc_id").distinct().count() == before.count()
+    texts, pieces = {d: r.text or "" for d, r in rows(before).items()}, after.collect()
+    by_doc, by_seq = check_whole(pieces, 2048)
+    whole = Tokenizer.from_file(word_tokenizer())
+    assert {d for d, _ in by_doc} == texts.keys()
+    for doc, text in texts.items():
+        ids = np.asarray([*whole.encode(text, add_special_tokens=False).ids, 0], "<u4").tobytes()
+        mine = sorted(by_doc[doc, 0], key=lambda r: r.piece)
+        assert [r.piece for r in mine] == list(range(-(-len(ids) // 8192))) and sum(r.length for r in mine) == len(ids) // 4
+        assert all(zlib.crc32(ids[4 * r.start : 4 * (r.start + r.length)]) == r.ids_crc32 for r in mine)
+    assert len(by_seq) <= 1.01 * -(-sum(r.length for r in pieces) // 2048)
+
+
+def plain_keep(spark, frame):
+    """Ids that stay by the classifier, fitted in memory, with posteriors formed without Spark."""
+    from test_quality import shrunk
+
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{SF}/labels.parquet").filter("quality is not null and toxic is not null").collect()}
+    rows = sorted(frame.collect(), key=lambda r: r.doc_id)
+    known = [r for r in rows if r.doc_id in labels]
+    made = quality.fit([(r.text or "").encode() for r in known], {"good": np.array([float(labels[r.doc_id].quality) for r in known]), "toxic": np.array([float(labels[r.doc_id].toxic) for r in known])})
+    odds = np.array([made.log_odds((r.text or "").encode()) for r in rows])
+    good, toxic = (shrunk([(r.source, r.lang) for r in rows], odds[:, k]) for k in (0, 1))
+    return [r.doc_id for r, g, t in zip(rows, good, toxic, strict=True) if g >= 0.5 and t <= 0.5]
 
 
 def test_no_rows(spark):
