@@ -451,3 +451,51 @@ def test_virtual_frame():
     frame = geometry.virtual_frame(part, {"far": np.array([[0.0, 50.0, 0.0]]), "near": np.array([[12.0, 5.0, 0.0]]), "none": np.empty((0, 3))}, 20.0)
     assert frame["neighbour"] == "near" and abs(frame["gap"] - 0.1) < 1e-9 and frame["hits"] == 6 and np.allclose(frame["out"], [-1, 0, 0]) and np.allclose(frame["centre"], [9.75, 5, 0])
     assert geometry.virtual_frame(part, {}, 20.0) is None and geometry.virtual_frame(part[:0], {"near": part}, 20.0) is None
+
+
+# ---- placement
+
+
+def box_points(lo, hi, n=4000, seed=0):
+    """Points on the surface of a box."""
+    rng = np.random.default_rng(seed)
+    p = rng.uniform(lo, hi, (n, 3))
+    k, top = rng.integers(0, 3, n), rng.integers(0, 2, n)
+    p[np.arange(n), k] = np.where(top, np.array(hi)[k], np.array(lo)[k])
+    return p
+
+
+def test_mount_directions():
+    nail = np.concatenate([box_points((0, 0, 0), (0.2, 4, 0.2)), box_points((-1, 4, -1), (1.2, 4.5, 1.2))])
+    assert geometry.mount_direction("zneg", nail).tolist() == [0, 0, -1] and geometry.mount_direction("top", nail)[1] == 1 and geometry.mount_direction("rim", nail)[1] == -1
+    assert geometry.mount_direction("end", nail) @ [0, -1, 0] > 0.99
+    handle = np.concatenate([box_points((-1, 0, -1), (1, 1, 1)), box_points((1, 0.4, -0.1), (4, 0.6, 0.1))])
+    assert geometry.mount_direction("side", handle) @ [-1, 0, 0] > 0.95
+
+
+def test_a_seat_on_a_plane():
+    """A long box lying across a plate, turned and off centre, goes to its middle, along it and as large as fits."""
+    plate = box_points((-4, -1, -2), (4, 0, 2), 20000)
+    old = box_points((-3.5, 0, -1.5), (3.5, 1, 1.5), seed=1)
+    turn = geometry.rotation_about([0, 1, 0], 0.7)
+    new = box_points((-1, 0, -3), (1, 2, 3), seed=2) @ turn.T + [9.0, 5.0, -7.0]
+    made = geometry.posed_on_plane(new, old, plate, np.zeros(3), np.array([0.0, 1.0, 0.0]), 10.0)
+    moved = new @ made["pose"][:3, :3].T + made["pose"][:3, 3]
+    assert abs(moved[:, 1].min() + 0.02) < 1e-6 and np.abs(moved.mean(0)[[0, 2]]).max() < 0.2
+    long, across = np.ptp(moved[:, 0]), np.ptp(moved[:, 2])
+    assert abs(long / across - 3) < 0.4 and long <= made["outline"][0] + 0.1 and across <= made["outline"][1] + 0.1
+    held = geometry.posed_on_plane(new, old, plate, np.zeros(3), np.array([0.0, 1.0, 0.0]), 10.0, slot=2.0)
+    whole = np.linalg.norm(np.ptp((new - new.mean(0)) @ held["pose"][:3, :3].T, axis=0))
+    assert 1.49 < whole < 2.51
+    assert geometry.posed_on_plane(new, old, plate - [0, 5, 0], np.zeros(3), np.array([0.0, 1.0, 0.0]), 10.0) is None
+
+
+def test_a_part_added_to_a_face():
+    face = {"normal": np.array([1.0, 0, 0]), "basis": np.array([[0, 0, 1.0], [0, -1.0, 0]]), "centre": np.array([2.0, 0, 0]), "free_centre": np.array([2.0, 0, 0]), "lengths": (8.0, 4.0), "free_lengths": (8.0, 4.0)}
+    assert np.allclose(np.cross(*face["basis"]), face["normal"])
+    new = box_points((0, 0, 0), (2, 1, 6), seed=3)
+    made = geometry.posed_on_face(new, face, 10.0, size=0.5, at=(0.5, 0.0))
+    moved = new @ made["pose"][:3, :3].T + made["pose"][:3, 3]
+    assert abs(moved[:, 0].min() - 1.98) < 1e-6 and abs(max(made["footprint"]) - 2.0) < 1e-6
+    assert abs(moved[:, 2].mean() - 2.0) < 0.05 and abs(moved[:, 1].mean()) < 0.05 and np.ptp(moved[:, 2]) > np.ptp(moved[:, 1])
+    assert abs(max(geometry.posed_on_face(new, face, 10.0, size=0.5, clear=0.5)["footprint"]) - 0.5) < 1e-6

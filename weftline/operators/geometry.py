@@ -159,6 +159,124 @@ def posed_on(points: np.ndarray, frame: dict, low: float = 0.25, high: float = 4
     return affine(scale * turn, frame["centre"] - scale * turn @ end[0]), scale
 
 
+#: A candidate's own axes by name, and bounds of scales: of the room of the slot, and outright.
+AXES = {"xpos": (1, 0, 0), "xneg": (-1, 0, 0), "ypos": (0, 1, 0), "yneg": (0, -1, 0), "zpos": (0, 0, 1), "zneg": (0, 0, -1)}
+SLOT_SCALE, PLANE_SCALE, ADD_SCALE = (0.75, 1.25), (0.25, 4.0), (0.02, 50.0)
+SINK = 0.002
+
+
+def mount_direction(side: str, points: np.ndarray) -> np.ndarray:
+    """Where a candidate's mounting end lies, among its own axes.
+
+    An axis by its name; top, bottom or rim; end, the thinner end of the longest axis; side, away from what sticks out most.
+    Anything else counts as bottom.
+    """
+    up, centred = np.array([0.0, 1.0, 0.0]), points - points.mean(0)
+    if side in AXES:
+        return np.array(AXES[side], float)
+    if side == "top":
+        return up
+    if side == "end":
+        axis = principal_axes(points)[1][0]
+        along = centred @ axis
+
+        def girth(end: np.ndarray) -> float:
+            away = end - end.mean(0)
+            return float(np.percentile(np.linalg.norm(away - np.outer(away @ axis, axis), axis=1), 90))
+
+        low, high = centred[along <= np.quantile(along, 0.2)], centred[along >= np.quantile(along, 0.8)]
+        return -axis if girth(low) <= girth(high) else axis
+    if side == "side":
+        level = centred * (1 - up)
+        far = level[np.linalg.norm(level, axis=1).argmax()]
+        if np.linalg.norm(far) > 1e-9:
+            return -far / np.linalg.norm(far)
+    return -up
+
+
+def outline(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rectangle around points of a plane along their principal axes: centre, axes as rows and lengths, the longer one first."""
+    middle = flat.mean(0)
+    _, vectors = np.linalg.eigh((flat - middle).T @ (flat - middle))
+    at = (flat - middle) @ vectors
+    low, high = at.min(0), at.max(0)
+    order = np.argsort(low - high)
+    return middle + vectors @ (low + high) / 2, vectors.T[order], (high - low)[order]
+
+
+def seated(points: np.ndarray, normal: np.ndarray, basis: np.ndarray, origin: np.ndarray, side: str, along: np.ndarray, size: Callable, target: np.ndarray, sink: float, yaw: float = 0.0):
+    """A transform that seats a candidate on a plane, its scale, and the lengths of its foot there.
+
+    Its mounting end turns toward the plane and the long axis of its foot (the quarter of its points lowest over the plane) toward
+    along, by a quarter turn at most, and by yaw beyond; size tells its scale from the lengths of the foot and its extents; then
+    the foot's centre goes to target and its lowest point a little (sink) under the plane. basis: two directions of the plane, right-handed with normal.
+    """
+    middle = points.mean(0)
+
+    def foot(moved: np.ndarray):
+        height = moved @ normal
+        return *outline((moved[height <= np.quantile(height, 0.25)] - origin) @ basis.T), height.min()
+
+    turn = rotation_between(mount_direction(side, points), -normal)
+    axis = foot((points - middle) @ turn.T)[1][0]
+    angle = np.arctan2(axis[0] * along[1] - axis[1] * along[0], axis @ along)
+    turn = rotation_about(normal, (angle + np.pi / 2) % np.pi - np.pi / 2 + yaw) @ turn
+    moved = (points - middle) @ turn.T
+    scale = float(size(foot(moved)[2], np.ptp(moved, axis=0)))
+    centre, _, lengths, lowest = foot(scale * moved)
+    shift = (target - centre) @ basis + normal * (origin @ normal - sink - lowest)
+    return affine(scale * turn, shift - scale * turn @ middle), scale, lengths
+
+
+def _basis(normal: np.ndarray) -> np.ndarray:
+    first = np.cross(normal, (0.0, 1.0, 0.0))
+    first = np.cross(normal, (1.0, 0.0, 0.0)) if np.linalg.norm(first) < 1e-6 else first
+    first = first / np.linalg.norm(first)
+    return np.stack([first, np.cross(normal, first)])
+
+
+def posed_on_plane(points: np.ndarray, part: np.ndarray, rest: np.ndarray, centre: np.ndarray, normal: np.ndarray, diagonal: float, slot: float = 0.0, radius: float = 0.0, side: str = "bottom", yaw: float = 0.0) -> dict | None:
+    """A pose of a candidate where a part stood flat on the rest: aligned with, centred on and as large as the support under it.
+
+    The support is what of the rest lies near the plane within the part's own footprint and a margin or, with too little of it, within
+    reach of the centre; None where there is none. slot: the size of the slot, which bounds the scale; radius: of the old contact.
+    """
+    basis = _basis(normal)
+    height = (part - centre) @ normal
+    middle, axes, lengths = outline((part[height <= np.quantile(height, 0.15)] - centre) @ basis.T)
+    near = np.abs((rest - centre) @ normal) < 0.03 * diagonal
+    inside = (np.abs(((rest - centre) @ basis.T - middle) @ axes.T) <= 0.575 * lengths + 0.1 * (slot or 0.3 * diagonal)).all(axis=1)
+    support = rest[near & inside]
+    if len(support) < 20:
+        support = rest[near & (np.linalg.norm(rest - centre, axis=1) < 1.5 * max(slot, 2 * radius))]
+    if len(support) < 20:
+        return None
+    target, axes, room = outline((support - centre) @ basis.T)
+
+    def size(foot: np.ndarray, extents: np.ndarray) -> float:
+        scale = 0.97 * (room / np.maximum(foot, 1e-6)).min()
+        whole = np.linalg.norm(extents)
+        if slot and whole > 1e-9:
+            scale = np.clip(scale, SLOT_SCALE[0] * slot / whole, SLOT_SCALE[1] * slot / whole)
+        return np.clip(scale, *PLANE_SCALE)
+
+    pose, scale, foot = seated(points, normal, basis, centre, side, axes[0], size, target, SINK * diagonal, yaw)
+    return {"pose": pose, "scale": scale, "outline": room, "footprint": foot}
+
+
+def posed_on_face(points: np.ndarray, face: dict, diagonal: float, size: float = 0.5, at: tuple[float, float] = (0.0, 0.0), side: str = "bottom", clear: float | None = None) -> dict:
+    """A pose of a new part on a free face: its foot's long side along the face's, as large as a share (size) of the room there, centred at a place.
+
+    face: normal, basis (its long and short direction), centre and lengths of the whole, free_centre and free_lengths of what is
+    free. at runs from -1 to 1 along both directions of the whole face. The room is the clear radius of the spot, twice, if one is told.
+    """
+    room = 2 * clear if clear else max(min(face["free_lengths"]), 0.05 * diagonal)
+    target = np.array(at) * np.array(face["lengths"]) / 2 + (face["centre"] - face["free_centre"]) @ face["basis"].T
+    scale_of = lambda foot, extents: np.clip(size * room / max(*foot, 1e-6), *ADD_SCALE)
+    pose, scale, foot = seated(points, face["normal"], face["basis"], face["free_centre"], side, np.array([1.0, 0.0]), scale_of, target, SINK * diagonal)
+    return {"pose": pose, "scale": scale, "room": room, "footprint": foot}
+
+
 def support_normal(points: np.ndarray, normals: np.ndarray, areas: np.ndarray, rest: np.ndarray, diagonal: float, tau: float = 0.02) -> np.ndarray | None:
     """The mean normal, weighted by area, of faces near the rest, turned outward."""
     near = nearest(points, rest)[0] < tau * diagonal if len(rest) else np.zeros(len(points), bool)

@@ -139,6 +139,16 @@ def round_robin(hosts: DataFrame, bucket: str, order: Sequence[Column], key: Col
     return once.orderBy(*place).limit(limit).drop("_turn", "_key", "_size", "_seen")
 
 
+def selected_hosts(screened: DataFrame, textures: DataFrame, captions: DataFrame, limit: int) -> DataFrame:
+    """The hosts to edit, in one flow: screened ones (oid, n) whose textures have colour, taken in turn from the categories of their captions (oid, cap).
+
+    In a category, those of most parts come first; a caption that begins like an earlier one is passed over. The limit is the feature.
+    """
+    told = colourful(screened, texture_stats(textures)).join(captions, "oid").withColumn("category", category(F.col("cap")))
+    key = F.lower(F.substring("cap", 1, 40))
+    return round_robin(told, "category", [F.desc("n"), F.col("oid")], key, limit).select("category", "oid", "n")
+
+
 def installed_on(candidates: DataFrame, placements: DataFrame) -> DataFrame:
     """candidates (chain, oid, pid) with installed: where in the chain each is placed (chain, slot, turn, oid, pid), as slot(tN), sorted; empty for most."""
     placed = placements.select("chain", "oid", "pid", F.concat(F.coalesce("slot", F.lit("?")), F.lit("(t"), F.col("turn").cast("string"), F.lit(")")).alias("at"))

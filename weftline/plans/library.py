@@ -145,3 +145,25 @@ def pool_with_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resume_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = table(spark, sf_dir, "events").filter("event_type <> 'error'").select("user_id", F.col("event_id").alias("turn"))
     return keyed.resume_point(kept, ["user_id"])
+
+
+@query(
+    f"""WITH screened AS ({_SCREEN.replace("WITH stats AS", "SELECT oid, n FROM (WITH stats AS", 1)})),
+    colour AS (SELECT l_orderkey AS oid, count(*) FILTER (WHERE l_discount > 0.05) AS textured, avg(l_discount) FILTER (WHERE l_discount > 0.05) AS saturation FROM lineitem GROUP BY l_orderkey),
+    caps AS (SELECT l_orderkey AS oid, min(p_name || ' ' || p_brand) AS cap FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey),
+    told AS (SELECT s.oid, s.n, cap, CASE {_CASES} ELSE 'other' END AS category FROM screened s JOIN caps USING (oid) LEFT JOIN colour c ON c.oid = s.oid
+      WHERE c.textured IS NULL OR c.textured > 0 AND coalesce(c.saturation, 0.0) >= 0.02),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY n DESC, oid) AS turn, count(*) OVER (PARTITION BY category) AS size, lower(substr(cap, 1, 40)) AS key FROM told),
+    once AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY turn, size DESC, category) AS seen FROM ranked)
+    SELECT category, oid, n FROM once WHERE seen = 1 ORDER BY turn, size DESC, category LIMIT 60"""
+)
+def host_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Screening, colour, categories and turns as one flow; the limit is the feature."""
+    lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "oid")
+    parts = lines.select("oid", F.col("l_extendedprice").alias("area"), F.col("l_quantity").cast("long").alias("faces"), F.col("l_returnflag").alias("component"))
+    orders = table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "oid")
+    screened = library.screened_hosts(parts, orders.filter("o_orderstatus = 'P'"), orders.filter("o_orderpriority <> '5-LOW'"), low=2)
+    textures = lines.select("oid", F.when(F.col("l_discount") > 0.05, F.col("l_discount")).alias("saturation"), F.col("l_tax").alias("brightness"))
+    names = lines.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    caps = names.groupBy("oid").agg(F.min(F.concat_ws(" ", "p_name", "p_brand")).alias("cap"))
+    return library.selected_hosts(screened.select("oid", "n"), textures, caps, 60)
