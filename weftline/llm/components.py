@@ -18,6 +18,8 @@ def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     rows = 2 * links.count()  # and there are no more nodes than that
     both = cut(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct(), rows)
     roots = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), rows)
+    total = F.sum(F.col("root").cast("decimal(38,0)"))  # roots only ever get smaller, so it tells whether one did
+    held = roots.agg(total).first()[0]
     for _ in range(most_rounds):
         near = both.join(roots.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         seen = roots.join(near, "node").select("node", "root", F.least("root", "near").alias("low"))
@@ -28,9 +30,8 @@ def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
             .agg(F.min("low").alias("up"))
         )
         jumped = hooked.join(hooked.select(F.col("node").alias("up"), F.col("up").alias("root")), "up", "left").select("node", F.least("up", "root").alias("root"))
-        after = cut(jumped, rows)
-        moved = after.join(roots.withColumnRenamed("root", "old"), "node").filter("root <> old").limit(1).count()
-        roots = after
-        if not moved:
+        roots = cut(jumped, rows)
+        before, held = held, roots.agg(total).first()[0]
+        if held == before:
             return roots
     raise RuntimeError(f"components have not settled in {most_rounds} rounds")

@@ -52,7 +52,7 @@ CHUNKS = 64
 #: Nodes of a token in one task, about, before it is salted; nodes of a token that are all compared with each other; partners that a set meets in one task.
 HOT, FEW, PARTNERS = 4096, 4, 64
 #: How often components are compared by their ends before what is left of them is compared whole.
-ROUNDS = 2
+ROUNDS = 1
 #: Bytes of words, and numbers of nodes and pairs, that a worker remembers to spare work; all start anew when full.
 WORDS, SEEN = 24 << 20, 100_000
 NO_ID = -(1 << 63)
