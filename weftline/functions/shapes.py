@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,34 +58,50 @@ def determinant(t: Column) -> Column:
     return a * (e * i - f * h) - b * (d * i - f * g) + c * (d * h - e * g)
 
 
-def singular_values(t: Column) -> tuple[Column, Column]:
-    """The largest and the smallest singular value of the linear part.
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def singular_values(t: Column) -> Column:
+    """(most, least): the largest and the smallest singular value of the linear part.
 
     Their squares are roots of the Gram matrix's characteristic polynomial. Its largest root comes by cosines; the two others
     from what is left, whose coefficients are sums of squares of minors, so that the smallest root keeps its digits.
     """
-    m = linear_part(t)
-    g = [[sum((m[k][i] * m[k][j] for k in range(3)), F.lit(0.0)) for j in range(3)] for i in range(3)]
-    third = (g[0][0] + g[1][1] + g[2][2]) / 3
-    beside = g[0][1] * g[0][1] + g[0][2] * g[0][2] + g[1][2] * g[1][2]
-    spread = F.sqrt((sum(((g[i][i] - third) * (g[i][i] - third) for i in range(3)), F.lit(0.0)) + 2 * beside) / 6)
-    d = [[(g[i][j] - (third if i == j else F.lit(0.0))) / spread for j in range(3)] for i in range(3)]
-    half = (d[0][0] * (d[1][1] * d[2][2] - d[1][2] * d[1][2]) - d[0][1] * (d[0][1] * d[2][2] - d[1][2] * d[0][2]) + d[0][2] * (d[0][1] * d[1][2] - d[1][1] * d[0][2])) / 2
-    first = F.when(spread > third * 1e-14, third + 2 * spread * F.cos(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), half))) / 3)).otherwise(third)
-    pairs = [(0, 1), (0, 2), (1, 2)]
+    m, pairs = linear_part(t), [(0, 1), (0, 2), (1, 2)]
+    gram = {f"g{i}{j}": sum((m[k][i] * m[k][j] for k in range(3)), F.lit(0.0)) for i in range(3) for j in range(i, 3)}
     minors = sum(((m[i][k] * m[j][n] - m[i][n] * m[j][k]) * (m[i][k] * m[j][n] - m[i][n] * m[j][k]) for i, j in pairs for k, n in pairs), F.lit(0.0))
-    product = determinant(t) * determinant(t) / first
-    both = (minors - product) / first
-    last = 2 * product / (both + F.sqrt(F.greatest(both * both - 4 * product, F.lit(0.0))))
-    return F.sqrt(first), F.sqrt(last)
+    told = F.struct(*[v.alias(k) for k, v in gram.items()], minors.alias("minors"), (determinant(t) * determinant(t)).alias("volume"))
+
+    def by_cosine(g: Column) -> Column:
+        third = (g["g00"] + g["g11"] + g["g22"]) / 3
+        squares = sum(((g[f"g{i}{i}"] - third) * (g[f"g{i}{i}"] - third) for i in range(3)), F.lit(0.0))
+        beside = g["g01"] * g["g01"] + g["g02"] * g["g02"] + g["g12"] * g["g12"]
+        middle = F.struct(third.alias("third"), F.sqrt((squares + 2 * beside) / 6).alias("spread"))
+
+        def first(c: Column) -> Column:
+            x, y, z = (g[f"g{i}{i}"] - c["third"] for i in range(3))
+            whole = x * (y * z - g["g12"] * g["g12"]) - g["g01"] * (g["g01"] * z - g["g12"] * g["g02"]) + g["g02"] * (g["g01"] * g["g12"] - y * g["g02"])
+            half = whole / (2 * c["spread"] * c["spread"] * c["spread"])
+            turned = c["third"] + 2 * c["spread"] * F.cos(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), half))) / 3)
+            return F.when(c["spread"] > c["third"] * 1e-14, turned).otherwise(c["third"])
+
+        def rest(most: Column) -> Column:
+            product = g["volume"] / most
+            ends = F.struct(product.alias("product"), ((g["minors"] - product) / most).alias("both"))
+            return _let(ends, lambda e: 2 * e["product"] / (e["both"] + F.sqrt(F.greatest(e["both"] * e["both"] - 4 * e["product"], F.lit(0.0)))))
+
+        return _let(_let(middle, first), lambda most: F.struct(F.sqrt(most).alias("most"), F.sqrt(rest(most)).alias("least")))
+
+    return _let(told, by_cosine)
 
 
 def is_transform(t: Column) -> Column:
     """16 finite numbers, an affine last row, a positive determinant, and singular values between 1e-5 and 1e4."""
-    most, least = singular_values(t)
     finite = F.forall(t, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e300))
     last = F.slice(t, 13, 4) == F.array(*[F.lit(float(x)) for x in (0, 0, 0, 1)])
-    sized = (least >= 1e-5 * (1 - 1e-12)) & (most <= 1e4 * (1 + 1e-12))
+    sized = _let(singular_values(t), lambda s: (s["least"] >= 1e-5 * (1 - 1e-12)) & (s["most"] <= 1e4 * (1 + 1e-12)))
     return F.coalesce((F.size(t) == 16) & finite & last & F.when(determinant(t) > 0, sized), F.lit(False))
 
 

@@ -18,19 +18,18 @@ QUERIES, REJECTS = (1, 2, 3), (4, 5)
 def parts_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pid, oid, label, vec, name, sig, sym): vectors, each with the shape of a part row."""
     vectors, parts = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "part")
-    many = parts.count()
+    many = F.broadcast(parts.agg(F.count("*").alias("many")))  # one row
     sizes = F.array(F.col("p_size").cast("double"), F.col("p_retailprice") / 50, 2.0 * F.length("p_name"))
     shaped = parts.select("p_partkey", F.col("p_name").alias("name"), shapes.shape_signature(sizes).alias("sig"), shapes.axisymmetry(sizes).alias("sym"))
-    keyed = vectors.select(F.col("vec_id").alias("pid"), F.expr("vec_id div 10").alias("oid"), "label", F.col("embedding").alias("vec"), (F.col("vec_id") % many).alias("p_partkey"))
+    keyed = vectors.crossJoin(many).select(F.col("vec_id").alias("pid"), F.expr("vec_id div 10").alias("oid"), "label", F.col("embedding").alias("vec"), (F.col("vec_id") % F.col("many")).alias("p_partkey"))
     return keyed.join(shaped, "p_partkey").drop("p_partkey")
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of other sources that pass the gates of the slot, with their similarity to its queries."""
     library = parts_library(spark, sf_dir)
-    slot = library.filter("pid = 0").select("sig", "sym").first()
-    sig = F.array(*[F.lit(float(x)) for x in slot["sig"]])
-    open_ = retrieve.gated(library.filter("oid <> 0"), sig, F.lit(float(slot["sym"])), FIXTURE)
+    slot = F.broadcast(library.filter("pid = 0").select(F.col("sig").alias("slot_sig"), F.col("sym").alias("slot_sym")))  # one row
+    open_ = retrieve.gated(library.filter("oid <> 0").crossJoin(slot), F.col("slot_sig"), F.col("slot_sym"), FIXTURE).drop("slot_sig", "slot_sym")
     asked = library.filter(F.col("pid").isin(*QUERIES)).select("vec")
     return retrieve.similarity(open_, asked, "s_acc")
 
