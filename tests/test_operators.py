@@ -499,3 +499,28 @@ def test_a_part_added_to_a_face():
     assert abs(moved[:, 0].min() - 1.98) < 1e-6 and abs(max(made["footprint"]) - 2.0) < 1e-6
     assert abs(moved[:, 2].mean() - 2.0) < 0.05 and abs(moved[:, 1].mean()) < 0.05 and np.ptp(moved[:, 2]) > np.ptp(moved[:, 1])
     assert abs(max(geometry.posed_on_face(new, face, 10.0, size=0.5, clear=0.5)["footprint"]) - 0.5) < 1e-6
+
+
+def test_planks_are_one_patch():
+    """Three planks side by side with small gaps, one far off, one lower and one that looks the other way."""
+    def plank(x, y=0.0, flip=False):
+        v = np.array([[x, y, 0], [x + 1, y, 0], [x + 1, y, 4], [x, y, 4]], float)
+        f = np.array([[0, 2, 1], [0, 3, 2]])
+        return v, f[:, ::-1] if flip else f
+
+    made = [plank(0), plank(1.1), plank(2.2), plank(9), plank(3.3, -1.0), plank(3.3, 0.0, True)]
+    vertices = np.concatenate([v for v, _ in made])
+    faces = np.concatenate([f + 4 * k for k, (_, f) in enumerate(made)])
+    labels = geometry.face_patches(vertices, faces)
+    assert len(set(labels)) == 6
+    merged = geometry.merged_patches(vertices, faces, labels, gap=0.15)
+    assert len(set(merged)) == 4 and len(set(merged[:6])) == 1 and len(set(merged[6:])) == 3
+    assert len(set(geometry.merged_patches(vertices, faces, labels, gap=0.05))) == 6 and not len(geometry.merged_patches(vertices, faces[:0], labels[:0]))
+
+
+def test_face_markers():
+    face = {"normal": [0, 1, 0], "basis": [[1, 0, 0], [0, 0, -1]], "free_centre": [1, 2, 3], "free_lengths": (4.0, 0.1), "spots": [{"point": [1, 2, 3], "clear": c} for c in (2.0, 0.1, 1.0, 1.0, 1.0, 1.0)]}
+    made = geometry.face_marker(face, 10.0)
+    assert [m["kind"] for m in made] == ["plate"] + ["ball"] * 7 and made[0]["size"] == (4.0, 0.2, 0.04)
+    assert np.allclose(made[1]["centre"], [3, 2.1, 3]) and np.allclose(made[2]["centre"], [1, 2.1, 2.9])
+    assert [m["size"] for m in made[3:6]] == [0.6, 0.12, 0.5] and made[4]["colour"] == (214, 134, 0)

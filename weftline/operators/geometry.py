@@ -332,6 +332,52 @@ def face_patches(vertices: np.ndarray, faces: np.ndarray, degrees: float = 10.0,
     return labels_of(len(faces), pairs[flat & level])
 
 
+def merged_patches(vertices: np.ndarray, faces: np.ndarray, labels: np.ndarray, degrees: float = 10.0, offset: float = 0.015, gap: float = 0.05, least: float = 0.0) -> np.ndarray:
+    """labels of patches, with those made one that look the same way, lie in one plane and come near each other, as the planks of a lid do.
+
+    offset, gap and least (the area under which a patch stays by itself, of the diagonal squared) are shares of the diagonal.
+    Nearness is that of the centres of faces.
+    """
+    if not len(faces):
+        return labels
+    corners = vertices[faces]
+    across = np.cross(corners[:, 1] - corners[:, 0], corners[:, 2] - corners[:, 0])
+    area, middle = np.linalg.norm(across, axis=1) / 2, corners.mean(1)
+    diagonal = np.linalg.norm(np.ptp(vertices, axis=0))
+    names, patch = np.unique(labels, return_inverse=True)
+    total = np.bincount(patch, area)
+    normal = np.column_stack([np.bincount(patch, across[:, k]) for k in range(3)])
+    centre = np.column_stack([np.bincount(patch, middle[:, k] * area) for k in range(3)]) / np.maximum(total, 1e-300)[:, None]
+    size = np.linalg.norm(normal, axis=1)
+    normal = normal / np.maximum(size, 1e-12)[:, None]
+    fit = np.flatnonzero((total > least * diagonal**2) & (size > 1e-9))
+    found = [(i, i) for i in range(len(names))]
+    for k, i in enumerate(fit):  # one patch against all that follow
+        others = fit[k + 1 :]
+        alike = normal[others] @ normal[i] >= np.cos(np.radians(degrees))
+        level = np.abs((centre[others] - centre[i]) @ normal[i]) <= offset * diagonal
+        found += [(i, j) for j in others[alike & level] if nearest(middle[patch == j], middle[patch == i])[0].min() <= gap * diagonal]
+    return labels_of(len(names), np.array(found))[patch]
+
+
+def face_marker(face: dict, diagonal: float, most: int = 5) -> list[dict]:
+    """What shows a free face and its spots to a reviewer: shapes (kind, centre, size, colour) for a renderer.
+
+    A thin plate over what is free, a green ball at the end of its long direction, a blue one at the end of its short direction, and
+    a ball for each spot (point, clear), the darker the later, as large as half of what is clear there, within bounds.
+    face: normal, basis, free_centre, free_lengths and, if any, spots.
+    """
+    up, (along, across) = np.asarray(face["normal"], float), np.asarray(face["basis"], float)
+    centre, lengths = np.asarray(face["free_centre"], float), np.maximum(face["free_lengths"], 0.02 * diagonal)
+    out = [{"kind": "plate", "centre": centre + 0.004 * diagonal * up, "size": (*lengths, 0.004 * diagonal), "colour": (255, 0, 255)}]
+    for way, length, colour in ((along, lengths[0], (0, 220, 0)), (across, lengths[1], (0, 80, 255))):
+        out.append({"kind": "ball", "centre": centre + way * length / 2 + 0.01 * diagonal * up, "size": 0.015 * diagonal, "colour": colour})
+    for k, spot in enumerate(face.get("spots", ())[:most]):
+        radius, shade = float(np.clip(spot["clear"] / 2, 0.012 * diagonal, 0.06 * diagonal)), 1 - 0.16 * k
+        out.append({"kind": "ball", "centre": np.asarray(spot["point"], float) + (radius + 0.004 * diagonal) * up, "size": radius, "colour": (int(255 * shade), int(160 * shade), 0)})
+    return out
+
+
 def ranked_faces(faces: list[dict], free: float = 0.25, most: int = 8) -> list[dict]:
     """Places to add to, numbered: free enough, tops first, then by area, of which half counts by how free it is."""
     fit = [f for f in faces if f["free"] >= free]
