@@ -524,3 +524,17 @@ def test_face_markers():
     assert [m["kind"] for m in made] == ["plate"] + ["ball"] * 7 and made[0]["size"] == (4.0, 0.2, 0.04)
     assert np.allclose(made[1]["centre"], [3, 2.1, 3]) and np.allclose(made[2]["centre"], [1, 2.1, 2.9])
     assert [m["size"] for m in made[3:6]] == [0.6, 0.12, 0.5] and made[4]["colour"] == (214, 134, 0)
+
+
+def test_clusters_name_their_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from weftline.session import shared_folder
+
+    named = {}
+    context = SimpleNamespace(getCheckpointDir=lambda: named.get("at"), setCheckpointDir=lambda path: named.update(at=path), master="local-cluster[3,2,1024]")
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: named.get(key, default)))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(session)
+    named["spark.checkpoint.dir"] = "hdfs://shared"
+    assert shared_folder(session) == "hdfs://shared"

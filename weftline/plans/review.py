@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.plans.registry import query
-from weftline.session import shared_folder, table
+from weftline.session import remove, shared_folder, table
 from weftline.streaming import review
 
 
@@ -56,7 +56,9 @@ def stream_review_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     made = review.review_decisions(commands(stream)).writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
     made.start(f"{folder}/out").awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    decided = spark.read.parquet(f"{folder}/out").checkpoint()
+    remove(spark, folder)
+    return decided
 
 
 @query("SELECT user_id, count(DISTINCT event_type) AS asked, count(DISTINCT event_type) FILTER (WHERE value > 50) AS answered, count(DISTINCT event_type) = count(DISTINCT event_type) FILTER (WHERE value > 50) AS complete FROM events GROUP BY user_id")
