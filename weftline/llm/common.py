@@ -28,15 +28,20 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 class Memory(dict):
-    """What is remembered to spare work, of at most so many bytes; it starts anew when full."""
+    """What is remembered to spare work, of at most so many bytes, in two generations.
+
+    When the younger one is half of that, it becomes the older one, which goes. Who finds something in the older one keeps it again,
+    so what comes up often stays.
+    """
 
     def __init__(self, most_bytes: int):
         super().__init__()
-        self.most, self.size = most_bytes, 0
+        self.most, self.size, self.old = most_bytes // 2, 0, {}
 
     def keep(self, key, value, size: int):
         """size: of key and value, without what the table itself takes for an entry."""
         if self.size + size + 200 > self.most:
+            self.old = dict(self)
             self.clear()
             self.size = 0
         self[key] = value

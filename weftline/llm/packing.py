@@ -28,7 +28,7 @@ from weftline.llm.common import Memory, batches_of, bounded_batches, cut, held_f
 CAPACITY = 2048
 SLICES = 4000
 #: Bytes of words and their ids that a worker remembers.
-REMEMBERED = 32 << 20
+REMEMBERED = 96 << 20
 
 Plan = list[tuple[int, tuple[tuple[int, int], ...]]]
 
@@ -67,7 +67,7 @@ class WordEncoder:
     def word(self, word: bytes) -> bytes:
         ids = self.known.get(word)
         if ids is None:
-            made = self._word(word)
+            made = self.known.old.get(word) or self._word(word)
             return self.known.keep(word, made, len(word) + len(made) + 66)
         return ids
 
