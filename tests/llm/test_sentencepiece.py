@@ -15,11 +15,17 @@ def words():
 
 
 def every(words, text):
-    """Scores of all segmentations of a short text, best first."""
-    into, ways = words.lattice(text), [[] for _ in range(len(text) + 1)]
+    """Scores of all segmentations of a short text, best first, from the pieces alone."""
+    ways = [[] for _ in range(len(text) + 1)]
     ways[0] = [(0.0, [])]
     for end in range(1, len(text) + 1):
-        ways[end] = [(s + score, [*ids, *more]) for start, score, more in into[end] for s, ids in ways[start]]
+        for start in range(end):
+            part = text[start:end]
+            if part in words.ids:
+                ways[end] += [(s + words.score[words.ids[part]], [*ids, words.ids[part]]) for s, ids in ways[start]]
+            elif end == start + 1:
+                spelled = [words.bytes[b] for b in part.encode()]
+                ways[end] += [(s + words.spelled * len(spelled), [*ids, *spelled]) for s, ids in ways[start]]
     return sorted(ways[-1], key=lambda w: -w[0])
 
 
@@ -32,6 +38,14 @@ def test_search_against_all_segmentations(words):
             assert len({tuple(i) for _, i in found}) == len(found)
 
 
+def test_the_search_for_two_is_the_search(words):
+    for text in [" the", " nation", "!!", " 日本x", " aaaaaaa", "\n", " thontiontion", " ble", " x", "zqj", " antidisestablishmentarianism", " 🙂a"]:
+        first, *second = words.best(text, 2)
+        ids, score, loss = words._searched(text)
+        assert abs(score - first[0]) < 1e-9 and (np.frombuffer(ids, "<u4").tolist() == first[1] or second and abs(second[0][0] - first[0]) < 1e-9)
+        assert abs(loss - (first[0] - second[0][0])) < 1e-9 if second else loss == np.inf
+
+
 def test_texts_of_many_chunks_against_all_segmentations(words):
     for text in ("a bc, de", "it  is", "x\ny z", "of in to"):
         want = every(words, " " + text)

@@ -35,7 +35,7 @@ from weftline.llm.common import Memory, batches_of, bounded_batches, held_for, t
 
 NBEST = 3
 #: Bytes that a worker remembers of words, of chunks, and of the segmentations that were searched for again.
-WORDS, CHUNKS, DEEP = 128 << 20, 64 << 20, 16 << 20
+WORDS, CHUNKS, DEEP = 384 << 20, 48 << 20, 32 << 20
 _CHUNK = regex.compile(r" ?\p{L}+| ?[^\p{L} \n]+| |\n")
 
 Segmentation = tuple[float, list[int]]
@@ -76,33 +76,43 @@ class Vocabulary:
         self.inner = Memory(CHUNKS)
         self.deep = Memory(DEEP)  # segmentations by word and number
 
-    def lattice(self, text: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each place in text, the edges that end there: (start, score, ids)."""
-        edges, size = self.edges, len(text)
+    def ways(self, text: str, n: int) -> list[list[tuple[float, int, float, tuple[int, ...]]]]:
+        """For each place in text, the n best edges that end there, best first: (best score up to the place by the edge, start, score, ids).
+
+        The first of each is the forward Viterbi score. Of the edges into a place, no more than the n best can be in the n best.
+        """
+        get, size = self.edges.get, len(text)
         into: list[list] = [[] for _ in range(size + 1)]
+        here = 0.0
         for start in range(size):
-            for end in range(start + 1, size + 1):
-                edge = edges.get(text[start:end])
-                if edge:
-                    into[end].append((start, *edge))
-                elif edge is None:
-                    break
-            if not edges.get(text[start]):
+            if start:
+                met = into[start]
+                if len(met) > 1:
+                    met.sort(key=_reach, reverse=True)
+                    del met[n:]
+                here = met[0][0]
+            end = start + 1
+            edge = get(text[start])
+            if edge:
+                into[end].append((here + edge[0], start, *edge))
+            else:
                 spelled = tuple(self.bytes[b] for b in text[start].encode("utf-8", "surrogatepass"))
-                into[start + 1].append((start, self.spelled * len(spelled), spelled))
+                score = self.spelled * len(spelled)
+                into[end].append((here + score, start, score, spelled))
+            while edge is not None and end < size:
+                end += 1
+                edge = get(text[start:end])
+                if edge:
+                    into[end].append((here + edge[0], start, *edge))
+        into[size].sort(key=_reach, reverse=True)
+        del into[size][n:]
         return into
 
     def best(self, text: str, n: int) -> list[Segmentation]:
         """The n best segmentations of one lattice, best first."""
-        into, forward, ways = self.lattice(text), [0.0], [[]]
-        for edges in into[1:]:  # of the edges into a place, no more than the n best can be in the n best
-            reached = [(forward[start] + score, start, score, ids) for start, score, ids in edges]
-            if len(reached) > 1:
-                reached.sort(key=_reach, reverse=True)
-            forward.append(reached[0][0])
-            ways.append(reached[:n])
+        ways = self.ways(text, n)
         found: list[Segmentation] = []
-        queue = [(-forward[-1], 0, len(text), 0.0, None)]  # less the whole score, order of entry, place, score behind, path behind
+        queue = [(-ways[-1][0][0], 0, len(text), 0.0, None)]  # less the whole score, order of entry, place, score behind, path behind
         entered, push, pop = 0, heapq.heappush, heapq.heappop
         while queue:
             _, _, at, behind, path = pop(queue)
@@ -120,23 +130,42 @@ class Vocabulary:
                 break
         return found
 
+    def _searched(self, text: str) -> Entry:
+        """The search for two, whose queue can be left out: with exact heuristics, it goes back along the best way, and the second best turns off
+        it once, by the second edge into one of its places. Which one, their scores tell."""
+        ways = self.ways(text, 2)
+        at, behind, total, second, parts = len(text), 0.0, ways[-1][0][0], -math.inf, []
+        while at:
+            met = ways[at]
+            if len(met) > 1 and met[1][0] + behind > second:
+                second = met[1][0] + behind
+            _, at, score, ids = met[0]
+            behind += score
+            parts.append(ids)
+        best = [i for ids in reversed(parts) for i in ids]
+        return np.array(best, "<u4").tobytes(), total, max(total - second, 0.0)
+
     def chunk(self, text: str) -> Entry:
         """Ids of the best segmentation of a chunk, its score, and what the second best loses (infinite where there is none)."""
-        entry = self.inner.get(text)
+        held, key = (self.known, text[1:]) if text[0] == " " else (self.inner, text)
+        entry = held.get(key)
         if entry is None:
-            first, *second = self.best(text, 2)
-            entry = (np.asarray(first[1], "<u4").tobytes(), first[0], first[0] - second[0][0] if second else math.inf)
-            self.inner.keep(text, entry, 2 * len(text) + len(entry[0]) + 200)
+            entry = held.old.get(key) or self._searched(text)
+            held.keep(key, entry, 2 * len(text) + len(entry[0]) + 200)
         return entry
 
     def word(self, word: str) -> Entry:
         """The same for a space and all that follows up to the next: the least that one of its chunks loses is what it loses."""
-        chunks = _CHUNK.findall(" " + word)
-        ids, scores, losses = zip(*map(self.chunk, chunks), strict=True)
-        entry = (b"".join(ids), math.fsum(scores), min(losses))
-        if len(chunks) <= 2 and "\n" not in word:
-            self.known.keep(word, entry, 2 * len(word) + len(entry[0]) + 200)
-        return entry
+        entry = self.known.old.get(word)
+        if entry is None:
+            chunks = _CHUNK.findall(" " + word)
+            if len(chunks) == 1:
+                return self.chunk(chunks[0])
+            ids, scores, losses = zip(*map(self.chunk, chunks), strict=True)
+            entry = (b"".join(ids), math.fsum(scores), min(losses))
+            if len(chunks) > 2 or "\n" in word:
+                return entry
+        return self.known.keep(word, entry, 2 * len(word) + len(entry[0]) + 200)
 
     def _deeper(self, word: str, n: int) -> list[Segmentation]:
         own = np.frombuffer((self.known.get(word) or self.word(word))[0], "<u4").tolist()
@@ -164,7 +193,7 @@ class Vocabulary:
             if left[k] == math.inf:
                 break
             left[k] = math.inf
-            others[k] = self.deep.get((words[k], n)) or self._deeper(words[k], n)
+            others[k] = self.deep.get((words[k], n)) or self.deep.old.get((words[k], n)) or self._deeper(words[k], n)
             top = others[k][0][0]
             ways = heapq.nsmallest(n, [(w + max(top - s, 0.0), (*c, (k, i)) if i else c) for w, c in ways for i, (s, _) in enumerate(others[k])])
         for loss, changes in ways[1:]:
