@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import exact_dedup, fingerprints, licenses, line_dedup, ngram_join, packing, pii, preference, quality, sentencepiece_nbest
+from weftline.llm import divergence, exact_dedup, fingerprints, licenses, line_dedup, ngram_join, packing, periodic, pii, preference, quality, sentencepiece_nbest
 from weftline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 _ALL = (
     op1_license_scan,
     op2_ngram_jaccard_join,
@@ -75,6 +83,8 @@ _ALL = (
     op8_fingerprints,
     op9_pii,
     op10_exact_dedup,
+    op12_periodic_runs,
+    op13_source_divergence,
 )
 
 
@@ -89,4 +99,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_chat_preferences": preference.ORACLE_SQL,
         "op9_pii": pii.ORACLE_SQL,
         "op10_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op13_source_divergence": divergence.ORACLE_SQL,
     }
