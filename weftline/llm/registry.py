@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import divergence, exact_dedup, fingerprints, licenses, line_dedup, ngram_join, packing, periodic, pii, preference, quality, sentencepiece_nbest
+from weftline.llm import divergence, exact_dedup, fingerprints, licenses, line_dedup, ngram_join, packing, periodic, pii, preference, quality, quantised, sentencepiece_nbest
 from weftline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantised.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_digests(table(spark, sf_dir, "documents"))
 
@@ -83,6 +87,7 @@ _ALL = (
     op8_fingerprints,
     op9_pii,
     op10_exact_dedup,
+    op11_embedding_near_dedup,
     op12_periodic_runs,
     op13_source_divergence,
 )
@@ -99,5 +104,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_chat_preferences": preference.ORACLE_SQL,
         "op9_pii": pii.ORACLE_SQL,
         "op10_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op11_embedding_near_dedup": quantised.ORACLE_SQL,
         "op13_source_divergence": divergence.ORACLE_SQL,
     }
