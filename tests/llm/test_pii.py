@@ -48,7 +48,7 @@ def check(r, text):
 AWKWARD = [
     None, "", "a@b.c.d@e.f x@y.z_w@q.r", "é1.2.3.4.5.6.7.8 🙂 0001.002.255.256 999.1.1.1 10.0.0.255", "4111 1111 1111 1111 and 4111-1111-1111-1112",
     "+1 (974) 555-3436, +49 30 1234567 +1 2 +123456789012345678", "1" * 5000, "a" * 5000 + "@x.y", "1.1.1.1" * 50, "@.@ a@b a@b.-", "4111111111111111@x.yz",
-    "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7 8 9", "+" * 100 + "1" * 9,
+    "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7 8 9", "+" * 100 + "1" * 9, "a@b.c_x@y.z%+q@r.s.t-@u.v", "x@y.z.w@a.b@c.d", "12.3.4.5.67.8.9.0.1.2", ".@a.b@c.d @@e@f.g",
 ]
 
 
@@ -95,6 +95,31 @@ def test_secrets_of_any_length(spark):
     assert sum(r.text == "token=[SECRET] end" for r in mask_documents(rows).collect()) == len(sizes) - 1
 
 
+def test_context_words_in_any_case(spark):
+    key = "Ab3_" * 10
+    said = [f"{w}{sep}{key} end" for w in ("API_KEY", "Password", "TOKEN", "Secret", "token") for sep in ("=", ": ", " ")]
+    rows = texts(spark, *said, f"nothing {key} here", f"x{'y' * 60} TOKEN {key}")
+    found = sorted(find_personal_data(rows).collect(), key=lambda r: r.doc_id)
+    assert [r.spans for r in found[: len(said)]] == [f"secret:{t.index(key)}:{t.index(key) + 40}" for t in said]
+    assert found[-2].spans == "" and "secret:68:108" in found[-1].spans
+    assert all("[SECRET]" in r.text for r in mask_documents(rows).collect() if r.doc_id < len(said))
+
+
+def test_long_runs_take_linear_time(spark):
+    n = 1 << 20
+    said = ["x" * n + "@", "Q" * n + "@b.c", "a@" + "b" * n, "1" * n + ".1", "1." * (n // 2), "+1" + " " * n, "A1b2" * (n // 4) + " api_key", "a." * (n // 2) + "@c", "é@" * (n // 2), "TOKEN " + "z" * n]
+    rows = texts(spark, *said).repartition(4).cache()
+    rows.count()
+    began = time.time()
+    found = {r.doc_id: r for r in find_personal_data(rows).collect()}
+    assert time.time() - began < 60
+    assert [found[k].n_email for k in range(10)] == [0, 1, 0, 0, 0, 0, 0, 0, 0, 0]
+    assert found[9].spans == f"secret:6:{n + 6}" and found[6].spans == f"secret:0:{n}" and found[4].n_ip == n // 8
+    began = time.time()
+    assert sum("[SECRET]" in r.text for r in mask_documents(rows).collect()) == 2
+    assert time.time() - began < 60
+
+
 def test_work_is_about_linear_in_the_matches(spark):
     def seconds(n):
         frame = texts(spark, "".join(f"{10 + i}, a{i}@x.yz é " for i in range(n))).cache()

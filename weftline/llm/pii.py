@@ -2,13 +2,14 @@
 
 Everything is a DataFrame expression; there is no Python on the way. A kind's pattern is run twice over a text that may hold
 it: once for the matches and once to split the text between them, and the lengths of both, added up in order, give the places.
-Sums run in chunks, and what stands beside a match is cut from the text in an encoding of fixed width, so that the work is about
-linear in the text and its matches.
+Patterns that begin with a run of characters are tried where such a run begins, or where the match before has ended, and nowhere inside it:
+if a match can't begin there, it can't begin further on. Sums run in chunks, and what stands beside a match is cut from the text in an
+encoding of fixed width. So the work is about linear in the text and its matches, however long runs are.
 
 Kinds, in the order of their spans: email, ip, card, phone (the base kinds), then iban, ssn and secret. A match that its
 validator refuses is dropped, and the text inside it is not tried again. The score of a span is the kind's own, plus what a
 context word within 40 code points of it adds; a span counts from 0.5 on. Base kinds always do, ssn and secret only beside a
-context word. A null or empty text has no spans. Columns besides text are kept or left unread, whatever their names.
+context word. A null or empty text has no spans; no rows give no rows. Columns besides text are kept or left unread, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ _SPAN = "array<struct<kind:string,start:long,end:long,score:double>>"
 
 @dataclass(frozen=True)
 class Kind:
-    """gate: a plain pattern without which the text can't hold a match. own: score without context; near: what context adds."""
+    """gate: a plain pattern without which the text can't hold a match. own: score without context; near: what context adds. run: the characters that it begins with, if a match takes all of them that follow each other."""
 
     name: str
     pattern: str
@@ -36,18 +37,24 @@ class Kind:
     own: float
     near: float
     context: str
+    run: str = ""
+
+    @property
+    def tried(self) -> str:
+        """The pattern with what keeps it from being tried inside a run."""
+        return rf"(?:\G|(?<![{self.run}]))(?:{self.pattern})" if self.run else self.pattern
 
 
 # Possessive quantifiers match what the greedy ones of the contract do, since no shorter run could match either; they keep
 # the matcher from going back, and from recursing on long runs.
 KINDS = (
-    Kind("email", r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.8, 0.2, "mail|contact|write"),
-    Kind("ip", r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", 0.6, 0.3, "ip|host|server|address"),
+    Kind("email", r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.8, 0.2, "mail|contact|write", "A-Za-z0-9._%+-"),
+    Kind("ip", r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", 0.6, 0.3, "ip|host|server|address", "0-9"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "[0-9]", 0.7, 0.3, "card|visa|credit|payment"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.6, 0.3, "phone|tel|call|mobile|fax"),
     Kind("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?", "[A-Z]{2}[0-9]{2}", 0.7, 0.3, "iban|bank|account"),
     Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "[0-9]-[0-9]", 0.3, 0.5, "ssn|social|security"),
-    Kind("secret", r"[A-Za-z0-9_]{32,}+", "token|secret|password|api_key", 0.2, 0.6, "token|secret|password|api_key"),
+    Kind("secret", r"[A-Za-z0-9_]{32,}+", "[A-Za-z0-9_]{32}", 0.2, 0.6, "token|secret|password|api_key"),
 )
 BASE = ("email", "ip", "card", "phone")
 
@@ -103,8 +110,8 @@ def _part(wide: Column, start: Column, n: Column) -> Column:
 
 def _of_kind(kind: Kind, text: Column, wide: Column) -> Column:
     """The spans of a kind; an expression on a text that isn't null."""
-    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    between = F.split(text, kind.pattern, -1)
+    found = F.regexp_extract_all(text, F.lit(kind.tried), F.lit(0))
+    between = F.split(text, kind.tried, -1)
     pairs = F.zip_with(found, between, lambda m, b: F.struct(m.alias("m"), F.length(b).alias("b")))  # the last has no match
 
     def step(at: Column, x: Column) -> tuple[Column, Column]:
@@ -185,7 +192,7 @@ def mask_documents(docs: DataFrame) -> DataFrame:
 
 def _oracle_kind(kind: Kind) -> str:
     """The spans of one kind, for an engine without possessive quantifiers."""
-    pattern = kind.pattern.replace("++", "+").replace("{32,}+", "{32,64}")  # the SQL stays as it was: it misses longer secrets
+    pattern = kind.pattern.replace("++", "+").replace("}+", "}")
     digits = "regexp_replace(m, '[^0-9]', '', 'g')"
     alone = "NOT regexp_matches(before || after, '[A-Za-z0-9]')"
     code = "replace(m, ' ', '')"
