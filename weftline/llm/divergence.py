@@ -75,21 +75,27 @@ def apart(p: Column, q: Column) -> Column:
 
 
 def term_counts(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """(lang, source, term, n, lang_n) of the kept terms, for each group that has them. A row that has a term counts as a document."""
+    """(lang, source, term, n, lang_n, first) of the kept terms, for each group that has them. A row that has a term counts as a document.
+
+    first: whether the source is the smallest of those that have the term.
+    """
     bounded_batches(docs.sparkSession)
     filled = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     counted = filled.mapInArrow(_counted, "lang string, source string, term string, n long, docs long")
-    groups = cut(counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
-    kept = groups.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).filter(F.col("docs") >= least_docs)
-    return cut(groups.select("lang", "source", "term", "n").join(kept.select("lang", "term", "lang_n"), ["lang", "term"]))
+    groups = counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    term = Window.partitionBy("lang", "term")  # a row for each source by now
+    told = groups.select(
+        "lang", "source", "term", "n", F.sum("n").over(term).alias("lang_n"), (F.min("source").over(term) == F.col("source")).alias("first"), F.sum("docs").over(term).alias("lang_docs")
+    )
+    return cut(told.filter(F.col("lang_docs") >= least_docs).drop("lang_docs"))
 
 
 def _groups(docs: DataFrame, counts: DataFrame) -> DataFrame:
     """(lang, source, total, terms, lang_total) of every group that occurs, of which total is over the kept terms."""
     all_ = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source"))).distinct()
-    own = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    langs = counts.groupBy("lang", "term").agg(F.first("lang_n").alias("n")).groupBy("lang").agg(F.count("*").alias("terms"), F.sum("n").alias("lang_total"))
-    filled = all_.join(own, ["lang", "source"], "left").join(langs, "lang", "left")
+    own = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count_if("first").alias("terms"))
+    langs = own.groupBy("lang").agg(F.sum("terms").alias("terms"), F.sum("total").alias("lang_total"))
+    filled = all_.join(own.drop("terms"), ["lang", "source"], "left").join(langs, "lang", "left")
     return filled.select("lang", "source", *(F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("total", "terms", "lang_total")))
 
 
