@@ -65,8 +65,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def share(n: Column, total: Column, terms: Column) -> Column:
     """One and the billionths of (n + 1) in (total + terms), rounded down; null without terms."""
-    counts = (n + 1).cast("decimal(19,0)") * F.lit(SCALE).cast("decimal(10,0)")
-    return F.when(terms > 0, F.call_function("div", counts, (total + terms).cast("decimal(19,0)")) + 1)
+    large = (n + 1).cast("decimal(19,0)") * F.lit(SCALE).cast("decimal(10,0)")
+    exact = F.call_function("div", large, (total + terms).cast("decimal(19,0)"))
+    fits = n < (1 << 63) // SCALE - 1  # then the product fits a long, which is much faster
+    return F.when(terms > 0, F.when(fits, F.call_function("div", (n + 1) * SCALE, total + terms)).otherwise(exact) + 1)
 
 
 def apart(p: Column, q: Column) -> Column:
