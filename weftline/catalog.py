@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.plans import annotation, captions, chains, geometry, graphs, ledger, library, retrieval, review, vision  # noqa: F401  they register
+from weftline.plans import annotation, captions, chains, geometry, graphs, ledger, library, retrieval, review, streams, vision  # noqa: F401  they register
 from weftline.plans.registry import ORACLES, QUERIES, Query
 
 
