@@ -29,7 +29,7 @@ from weftline.llm.common import LOWER, UPPER, bounded_batches, cut
 LEAST_DOCS, SCALE, MOST_TERMS = 3, 1_000_000_000, 200
 SALTS = 16
 _TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")  # of bytes: all those of letters beyond ASCII are among them
-_HELD, _HELD_BYTES, _ROWS = 400_000, 64 << 20, 20_000
+_HELD, _HELD_BYTES, _ROWS = 600_000, 64 << 20, 20_000
 _COUNTED = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
 
 
@@ -84,7 +84,8 @@ def term_counts(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     bounded_batches(docs.sparkSession)
     filled = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     counted = filled.mapInArrow(_counted, "lang string, source string, term string, n long, docs long")
-    groups = counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # Dealt once, by term: a task has counted already, so that the most frequent word is a row for each task and source.
+    groups = counted.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     term = Window.partitionBy("lang", "term")  # a row for each source by now
     told = groups.select(
         "lang", "source", "term", "n", F.sum("n").over(term).alias("lang_n"), (F.min("source").over(term) == F.col("source")).alias("first"), F.sum("docs").over(term).alias("lang_docs")
