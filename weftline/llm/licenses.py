@@ -4,7 +4,8 @@ A text is lower-cased (A-Z) and cut into words; the words, joined by single spac
 so a phrase is found wherever its words stand consecutively, overlaps included. Notices joined by and, or, with in the
 text, and what stands after an SPDX tag, are expressions: they are parsed to postfix order (with binds tightest, then and,
 then or) and evaluated to the least that a user must comply with: ``or`` takes the lighter side, ``and`` the heavier one, and
-``with`` an exception lightens by one grade. A null or empty text has no words, no labels and score 0.
+``with`` an exception lightens by one grade. A null or empty text has no words, no labels and score 0; no rows give
+no rows.
 """
 
 from __future__ import annotations

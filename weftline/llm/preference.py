@@ -7,7 +7,7 @@ assistants say, with the mark that ends their turn. A turn is rendered as ``<|im
 Turns count in the order of their number; those that repeat a number, in the order of role and text. Turns are equal when role
 and text are. A null role renders as user, a null text as empty; both stay different from the real ones in comparing turns. Turns without a conversation id
 belong to no conversation and are left out. A conversation without a partner keeps its row: all of it is completion, and
-paired is false. All turns of a conversation meet in its row, as they must in the text that the row holds.
+paired is false. All turns of a conversation meet in its row, as they must in the text that the row holds. No rows give no rows.
 """
 
 from __future__ import annotations

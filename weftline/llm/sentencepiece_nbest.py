@@ -12,7 +12,7 @@ The score of a piece is its log probability under a Zipf law over the order of t
 probabilities). Pieces that the model bars with a score of -1e9 are not used. A character without a piece is spelled in bytes,
 each at the score of the rarest piece less 10. Decoding gives the very text back, for every text.
 
-Null and empty texts have no pieces, one segmentation (the empty one), and decode to the empty text. Ties between
+Null and empty texts have no pieces, one segmentation (the empty one), and decode to the empty text; no rows give no rows. Ties between
 segmentations fall to the one found first, which is the same every time.
 """
 
