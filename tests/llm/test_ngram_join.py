@@ -96,6 +96,19 @@ def test_salted_shingles_against_all_pairs(spark, monkeypatch):
         assert sorted(map(tuple, found.collect()), key=str) == brute(rows, 4, 85)
 
 
+def test_the_rest_in_blocks_against_all_pairs(spark, monkeypatch):
+    """The last comparisons alone, and shingles of many nodes in blocks of few."""
+    rows = corpus(5)
+    base = [f"w{i}" for i in range(40)]
+    rows += [(1000 + k, " ".join([*base[:k], f"x{k}", f"y{k}", *base[k:]]), "en", "s", 1) for k in range(40)]
+    monkeypatch.setattr(ngram_join, "ROUNDS", 1)
+    for block in (1, 7):
+        monkeypatch.setattr(ngram_join, "REST", block)
+        monkeypatch.setattr(ngram_join, "FEW", 1)
+        found = near_duplicates(docs(spark, rows), 2, 70).select("doc_id", "n_shingles", "component_id")
+        assert sorted(map(tuple, found.collect()), key=str) == brute(rows, 2, 70)
+
+
 def test_a_shingle_of_thousands_of_unlinked_documents(spark):
     """It is never among the rare ones of a set, so it brings no candidates."""
     rows = [(i, f"all rights reserved here {' '.join(f'{c}{i}' for c in 'abcdefgh')}", "en", "s", 1) for i in range(4000)]

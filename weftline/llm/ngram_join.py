@@ -53,6 +53,8 @@ CHUNKS = 64
 HOT, FEW, PARTNERS = 4096, 4, 64
 #: How often components are compared by their ends before what is left of them is compared whole.
 ROUNDS = 1
+#: Nodes of a shingle from which its last comparisons are dealt in blocks.
+REST = 4096
 #: Bytes of words, and numbers of nodes and pairs, that a worker remembers to spare work; all start anew when full.
 WORDS, SEEN = 24 << 20, 100_000
 NO_ID = -(1 << 63)
@@ -561,10 +563,17 @@ class NgramJoin:
         return self._ordered(x.join(y, F.col("x.token") == F.col("y.token")).filter(self._passes("x", "y")))
 
     def _rest(self, split: DataFrame, nodes: DataFrame) -> DataFrame:
-        """All pairs (a, b) of nodes in different components that share a shingle and pass the filters."""
+        """All pairs (a, b) of nodes in different components that share a shingle and pass the filters.
+
+        A shingle of more than REST nodes is dealt in blocks, and each pair of blocks meets by itself: no task gets more than two blocks of a shingle.
+        """
         told = cut(split.join(nodes.select("node", *PARITY), "node"), self.n_rows)
-        odd, all_ = told.filter("root <> main").alias("x"), told.alias("y")
-        return self._ordered(odd.join(all_, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & self._passes("x", "y") & self._few_apart("x", "y")))
+        large = told.groupBy("token").agg(F.count("*").alias("m")).filter(F.col("m") > REST).select("token", F.ceil(F.col("m") / REST).cast("int").alias("k"))
+        dealt = told.join(large, "token", "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+        met = [dealt.withColumnRenamed("own", mine).withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col("k") - 1))) for mine, theirs in (("i", "j"), ("j", "i"))]
+        odd, all_ = met[0].filter("root <> main").alias("x"), met[1].alias("y")
+        same = (F.col("x.token") == F.col("y.token")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+        return self._ordered(odd.join(all_, same & (F.col("x.root") != F.col("y.root")) & self._passes("x", "y") & self._few_apart("x", "y")))
 
     def _ordered(self, pairs: DataFrame) -> DataFrame:
         """Each pair of nodes x and y once, the smaller one as a."""
