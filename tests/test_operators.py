@@ -538,3 +538,18 @@ def test_clusters_name_their_shared_folder(spark):
         shared_folder(session)
     named["spark.checkpoint.dir"] = "hdfs://shared"
     assert shared_folder(session) == "hdfs://shared"
+
+
+def test_sides_that_are_sent_and_sides_in_blocks_give_the_same(spark, monkeypatch):
+    from weftline.plans import retrieval
+
+    sf = "/root/testdata/sf0.01"
+    library = retrieval.parts_library(spark, sf).cache()
+    slots = retrieval.slots(spark, sf).cache()
+    told = []
+    for most in (1 << 20, 0):
+        monkeypatch.setattr(retrieve, "MOST_VALUES", most)
+        top = retrieve.for_slots(library, slots, retrieval.FIXTURE)
+        best = retrieve.similarity_blocks(library.select("pid", "vec"), library.filter("pid % 50 = 0").select("pid", "vec"), "s")
+        told.append((sorted((r.slot, r.pid, round(r.score, 9)) for r in top.collect()), sorted((r.pid, round(r.s, 9)) for r in best.collect())))
+    assert told[0] == told[1] and all(told[0])

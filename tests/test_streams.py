@@ -116,3 +116,11 @@ def test_a_verdict_is_forgotten_after_its_time(spark):
     assert sorted((r.verb, r.arg) for r in got.filter("sig = 1").collect()) == [("fit", "top"), ("skip", "no")]
 
 
+
+
+def test_a_bad_command_is_asked_again_and_only_pins_are_vetoed_unseen():
+    session = review.Session()
+    said = [("hello", 5, True), ("ok now", 5, True), ("yaw x", 5, True), ("ok", 5, False), ("veto", 5, False), ("unveto", 5, False), ("yaw", 5, False), ("yaw 30", 6, True), ("veto", 7, False), ("veto", 7, False), ("veto", 8, True), ("unveto", 8, True), ("ok", 9, True), ("stop", 9, True), ("ok", 9, True)]
+    got = [d for _, _, _, d, *_ in review.fold([(1, k, *x) for k, x in enumerate(said)], session)]
+    assert got == ["unknown_cmd", "unknown_cmd", "unknown_cmd", "cannot_ok", "cannot_veto", "cannot_unveto", "cannot_yaw", "yaw", "veto", "cannot_veto", "veto", "unveto", "ok", "stopped_by_reviewer", "after_stop"]
+    assert session.vetoes == [6] and session.turn == 2 and session.pinned is None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.plans import annotation, captions, chains, faces, geometry, graphs, ledger, library, neighbours, planner, retrieval, review, streams, vision  # noqa: F401  they register
+from weftline.plans import annotation, captions, chains, faces, geometry, graphs, ledger, library, neighbours, planner, retrieval, review, solids, streams, vision  # noqa: F401  they register
 from weftline.plans.registry import ORACLES, QUERIES, Query
 
 

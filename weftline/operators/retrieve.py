@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -71,7 +72,9 @@ def similarity_matrix(candidates: DataFrame, queries: np.ndarray, name: str) ->
 
 
 #: Rows of a block of candidates, and queries or slots of a block; a task holds one of each.
-ROWS, ASKED = 2048, 256
+ROWS, ASKED, SALTS = 2048, 256, 64
+#: Numbers (of 8 bytes) up to which a side is sent to all tasks.
+MOST_VALUES = 1 << 20
 
 
 def _blocks(df: DataFrame, key: str, each: int) -> tuple[DataFrame, int]:
@@ -80,8 +83,20 @@ def _blocks(df: DataFrame, key: str, each: int) -> tuple[DataFrame, int]:
     return df.withColumn("block", F.pmod(F.xxhash64(key), F.lit(many))), many
 
 
-def _met(left: DataFrame, right: DataFrame, key: tuple[str, str], work: Callable, schema: T.StructType | str) -> DataFrame:
-    """work(block of left, block of right), for each pair of blocks."""
+def _met(left: DataFrame, right: DataFrame, key: tuple[str, str], work: Callable, schema: T.StructType | str, values: Column) -> DataFrame:
+    """work(part of left, part of right), for parts that cover all pairs.
+
+    values: how many numbers a row of right holds. Up to MOST_VALUES of them in all, right goes to every task as it is, and left stays
+    where it is; beyond, both are dealt in blocks, and each pair of blocks meets.
+    """
+    if (right.agg(F.coalesce(F.sum(values), F.lit(0)).alias("n")).first()["n"]) <= MOST_VALUES:
+        held = left.sparkSession.sparkContext.broadcast(right.toPandas())
+
+        def each(frames: Iterator) -> Iterator:
+            for pdf in frames:
+                yield work(pdf, held.value)
+
+        return left.mapInPandas(each, schema)
     renamed = right.select(*[F.col(c).alias(c) for c in right.columns])  # both may come from one table
     (a, m), (b, n) = _blocks(left, key[0], ROWS), _blocks(renamed, key[1], ASKED)
     a = a.withColumnRenamed("block", "a").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
@@ -105,7 +120,7 @@ def similarity_blocks(candidates: DataFrame, queries: DataFrame, name: str, key:
 
     kind = dict(candidates.dtypes)[key]
     of = lambda df: df.select(key, F.col("vec").cast("array<double>").alias("vec"))
-    return _met(of(candidates), of(queries), (key, key), work, f"{key} {kind}, {name} double").groupBy(key).agg(F.max(name).alias(name))
+    return _met(of(candidates), of(queries), (key, key), work, f"{key} {kind}, {name} double", F.size("vec") + 8).groupBy(key).agg(F.max(name).alias(name))
 
 
 def for_slots(library: DataFrame, slots: DataFrame, limits: Limits = Limits(), rejects: bool = False, top: bool = True) -> DataFrame:
@@ -144,7 +159,8 @@ def for_slots(library: DataFrame, slots: DataFrame, limits: Limits = Limits(), r
 
     mine = library.select("pid", "oid", F.col("vec").cast("array<double>").alias("vec"), "sig", "sym")
     kinds = dict(slots.dtypes) | dict(library.dtypes)
-    met = _met(mine, slots, ("pid", "slot"), work, f"slot {kinds['slot']}, pid {kinds['pid']}, oid {kinds['oid']}, s_acc double, s_rej double, score double")
+    weight = reduce(lambda a, b: a + b, [F.aggregate(c, F.lit(0), lambda n, v: n + F.size(v)) for c in ("asked", "rejected")]) + F.size("without") + 16
+    met = _met(mine, slots, ("pid", "slot"), work, f"slot {kinds['slot']}, pid {kinds['pid']}, oid {kinds['oid']}, s_acc double, s_rej double, score double", weight)
     if not top:
         return met
     best = first_by(met, ["slot", "oid"], [F.desc("score"), F.col("pid")])
@@ -172,10 +188,12 @@ def diversified(candidates: DataFrame, group: list[str], limits: Limits = Limits
     """Of each group, the top by maximal marginal relevance, with their pick number.
 
     A pick lowers what is like it, and takes out its duplicates and what else comes from its source. The first cut bounds the
-    rows of a group before they meet.
+    rows of a group before they meet; it is made by salt first, so that a large group is many tasks.
     """
-    window = Window.partitionBy(*group).orderBy(F.desc("score"), F.col(key))
-    cut = candidates.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= limits.first_cut)
+    best = [F.desc("score"), F.col(key)]
+    salted = candidates.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
+    few = salted.withColumn("_rank", F.row_number().over(Window.partitionBy(*group, "_salt").orderBy(*best))).filter(F.col("_rank") <= limits.first_cut).drop("_salt", "_rank")
+    cut = few.withColumn("_rank", F.row_number().over(Window.partitionBy(*group).orderBy(*best))).filter(F.col("_rank") <= limits.first_cut)
     schema = T.StructType([*candidates.schema.fields, T.StructField("pick", T.IntegerType())])
 
     def pick(pdf):

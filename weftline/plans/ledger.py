@@ -219,32 +219,33 @@ def used_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH fit AS ({admission_sql()}), ranks AS (SELECT p_partkey AS id, p_size % 10 AS rank, 7 AS n_boxes, [1.0 + p_size, 5.0, 2.0 + p_size % 4] AS size FROM part)
-    SELECT f.id, r.rank, {rounded_sql("list_sort(size, 'DESC')[2] / list_sort(size, 'DESC')[1]")} AS sig1 FROM (SELECT id FROM fit WHERE src = 'part') f
-    JOIN ranks r ON r.id = f.id AND r.rank < r.n_boxes WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = f.id)"""
+    f"""WITH fit AS ({admission_sql()}), ranks AS (SELECT doc_id AS id, n_chars % 10 AS rank, 7 AS n_boxes, [1.0 + n_chars % 9, 5.0, 2.0 + doc_id % 4] AS size FROM documents)
+    SELECT f.id, r.rank, {rounded_sql("list_sort(size, 'DESC')[2] / list_sort(size, 'DESC')[1]")} AS sig1 FROM (SELECT id FROM fit WHERE src = 'd') f
+    JOIN ranks r ON r.id = f.id AND r.rank < r.n_boxes WHERE EXISTS (SELECT 1 FROM labels WHERE doc_id = f.id) OR f.id % 3 = 0"""
 )
 def library_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Captions, ranks and boxes, and files as one query: part names as captions, ordered parts as files that are there."""
-    caps = captions(spark, sf_dir).filter("src = 'part'").select(F.lit(0).alias("oid"), F.col("id").alias("pid"), "cap")
+    """Captions, ranks and boxes, and files as one query: documents as captions, of which those that are labelled, and every third, have a file."""
+    docs = table(spark, sf_dir, "documents")
+    caps = captions(spark, sf_dir).filter("src = 'd'").select(F.lit(0).alias("oid"), F.col("id").alias("pid"), "cap")
     zero = F.array(*[F.lit(0.0)] * 3)
-    ranks = table(spark, sf_dir, "part").select(
-        F.lit(0).alias("oid"), F.col("p_partkey").alias("pid"), (F.col("p_size") % 10).alias("rank"), F.lit(7).alias("n_boxes"), zero.alias("lo"), F.array(1.0 + F.col("p_size"), F.lit(5.0), 2.0 + F.col("p_size") % 4).alias("hi")
+    ranks = docs.select(
+        F.lit(0).alias("oid"), F.col("doc_id").alias("pid"), (F.col("n_chars") % 10).alias("rank"), F.lit(7).alias("n_boxes"), zero.alias("lo"), F.array(1.0 + F.col("n_chars") % 9, F.lit(5.0), 2.0 + F.col("doc_id") % 4).alias("hi")
     )
-    there = table(spark, sf_dir, "lineitem").select(F.lit(0).alias("oid"), F.col("l_partkey").alias("pid"))
+    there = table(spark, sf_dir, "labels").select("doc_id").union(docs.filter("doc_id % 3 = 0").select("doc_id")).select(F.lit(0).alias("oid"), F.col("doc_id").alias("pid"))
     return library.admitted_parts(caps, ranks, there).select(F.col("pid").alias("id"), "rank", rounded(F.col("sig")[1]).alias("sig1"))
 
 
 @query(
-    """WITH log AS (SELECT user_id % 6 AS sig, event_id, cast(json_extract(props, '$.k') AS BIGINT) AS pid, CASE WHEN event_type IN ('click', 'view', 'signup') THEN 1 ELSE -1 END AS s FROM events),
+    """WITH log AS (SELECT user_id // 6 AS sig, event_id, cast(json_extract(props, '$.k') AS BIGINT) AS pid, CASE WHEN event_type IN ('click', 'view', 'signup') THEN 1 ELSE -1 END AS s FROM events),
     raw AS (SELECT *, sum(s) OVER (PARTITION BY sig ORDER BY event_id) AS raw FROM log),
     deep AS (SELECT *, raw - least(min(raw) OVER (PARTITION BY sig ORDER BY event_id), 0) AS depth FROM raw),
     low AS (SELECT *, min(depth) OVER (PARTITION BY sig ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS low FROM deep)
-    SELECT u.user_id AS slot, l.event_id, l.pid FROM (SELECT DISTINCT user_id, user_id % 6 AS sig FROM events) u JOIN low l ON l.sig = u.sig WHERE l.s = 1 AND (l.low IS NULL OR l.low >= l.depth)"""
+    SELECT u.user_id AS slot, l.event_id, l.pid FROM (SELECT DISTINCT user_id, user_id // 6 AS sig FROM events) u JOIN low l ON l.sig = u.sig WHERE l.s = 1 AND (l.low IS NULL OR l.low >= l.depth)"""
 )
 def veto_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vetoes of a signature's log stand for all slots that share the signature."""
+    """Vetoes of a signature's log stand for the six slots that share the signature."""
     events = table(spark, sf_dir, "events")
     kind = F.when(F.col("event_type").isin("click", "view", "signup"), "veto").otherwise("unveto")
-    log = events.select((F.col("user_id") % 6).alias("sig"), "event_id", F.get_json_object("props", "$.k").cast("long").alias("pid"), kind.alias("event"))
-    slots = events.select(F.col("user_id").alias("slot"), (F.col("user_id") % 6).alias("sig")).distinct()
+    log = events.select(F.floor(F.col("user_id") / 6).alias("sig"), "event_id", F.get_json_object("props", "$.k").cast("long").alias("pid"), kind.alias("event"))
+    slots = events.select(F.col("user_id").alias("slot"), F.floor(F.col("user_id") / 6).alias("sig")).distinct()
     return annotate.paired(annotate.standing_vetoes(log, ["sig"], "event_id"), slots).select("slot", "event_id", "pid")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import struct
+import time
+import uuid
 from collections.abc import Iterator, Sequence
 from itertools import product
 
@@ -45,14 +47,18 @@ def json_lines(spark: SparkSession, glob: str, schema: str, keys: Sequence[str])
 
 
 def tolerant_json(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Documents that can be read, and the corrupt ones, to be put in quarantine; a missing path gives neither."""
-    full = f"{schema}, _corrupt_record string"
+    """Documents that can be read, one a file, and the corrupt ones (path, document), to be put in quarantine; a missing path gives neither.
+
+    A document may be written with an indent, over many lines; one verdict is given for each file.
+    """
+    fields = [f.name for f in spark.createDataFrame([], schema).schema]
     try:
-        rows = spark.read.schema(full).option("mode", "PERMISSIVE").json(path).select("*")
+        files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("document"))
     except AnalysisException:
-        rows = spark.createDataFrame([], full)
-    kept = rows.withColumn("_bad", F.col("_corrupt_record")).select(*[c for c in rows.columns if c != "_corrupt_record"], "_bad")
-    return kept.filter("_bad is null").drop("_bad"), kept.filter("_bad is not null").select(F.col("_bad").alias("document"))
+        files = spark.createDataFrame([], "path string, document string")
+    read = files.withColumn("d", F.from_json("document", f"{schema}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}))
+    good = F.coalesce(F.col("d").isNotNull() & F.col("d._corrupt_record").isNull() & (F.trim("document") != ""), F.lit(False))
+    return read.filter(good).select(*[F.col(f"d.{c}") for c in fields]), read.filter(~good).select("path", "document")
 
 
 def caption_folder(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -86,23 +92,30 @@ def keyed_table(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(f"{path}/v{versions[-1]}") if versions else None
 
 
-def keyed_overwrite(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str]) -> None:
+def keyed_overwrite(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], lapse_seconds: int = 6 * 3600) -> None:
     """Rows of new in place of those under their keys, as the next version of the table at path.
 
     Readers see the last whole version, whatever becomes of a writer. The number is claimed by a file that only one writer can
-    make; the other one gets an error and may try again. Versions before the last two are removed.
+    make; the other one gets an error and may try again. The claim of a writer that died lapses after so long; if it was only slow,
+    it finds its number taken and fails, since a version appears whole, by a rename. Versions before the last two are removed.
     """
     from weftline.operators.keyed import overwritten
 
     versions = _versions(spark, path)
     number = versions[-1] + 1 if versions else 1
-    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{number}.claim")
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    place, made, written = of(f"{path}/v{number}.claim"), of(f"{path}/v{number}"), f"{path}/_making-{uuid.uuid4().hex}"
     fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(place) and fs.getFileStatus(place).getModificationTime() < (time.time() - lapse_seconds) * 1000:
+        fs.delete(place, False)
     fs.create(place, False).close()
     try:
         old = keyed_table(spark, path)
-        (new if old is None else overwritten(old, new, keys)).write.mode("overwrite").parquet(f"{path}/v{number}")
+        (new if old is None else overwritten(old, new, keys)).write.parquet(written)
+        if fs.exists(made) or not fs.rename(of(written), made):
+            raise FileExistsError(f"version {number} of {path} was written by another writer")
     finally:
+        fs.delete(of(written), True)
         fs.delete(place, False)
     for n in versions[:-1]:
         remove(spark, f"{path}/v{n}")

@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 AUTO_VETOES = 5
 LOG = "event string, turn int, ts double, chain string, payload string"
 DECISIONS = "chain {chain}, at long, command string, decision string, turn int, vetoes int"
-_STATE = "turn int, attempts int, stopped boolean, pinned boolean, vetoes array<long>"
+_STATE = "turn int, attempts int, stopped boolean, pinned long, vetoes array<long>"
 
 
 def event_log(spark: SparkSession, folder: str, schema: str = LOG) -> DataFrame:
@@ -22,56 +22,75 @@ def event_log(spark: SparkSession, folder: str, schema: str = LOG) -> DataFrame:
 
 @dataclass
 class Session:
-    """What is known of a chain between two commands."""
+    """What is known of a chain between two commands. pinned: the candidate that a yaw holds on to."""
 
     turn: int = 1
     attempts: int = 0
     stopped: bool = False
-    pinned: bool = False
+    pinned: int | None = None
     vetoes: list[int] = field(default_factory=list)
 
-    def step(self, command: str, candidate: int) -> str:
-        """The decision on a command about the candidate of this turn.
+    def step(self, command: str, candidate: int, ran: bool = True) -> str:
+        """The decision on a command about the candidate of this turn. ran: whether the turn could be put together; if not, it shows no candidate.
 
         ok goes on to the next turn; veto adds to the list of vetoes, unveto takes the latest back; yaw pins the candidate;
-        invisible is the visibility gate's own veto, of which a turn has a limited number before the reviewer is asked.
+        invisible is the visibility gate's own veto, of which a turn has a limited number before the reviewer is asked. What can't be
+        read (unknown_cmd), and what needs a candidate where there is none (cannot_), changes nothing: the reviewer is asked again. Only a
+        pinned candidate can be vetoed unseen, since it is known which one is meant.
         """
         if self.stopped:
             return "after_stop"
-        if command == "ok":
-            self.turn, self.attempts, self.pinned = self.turn + 1, 0, False
-            return "ok"
+        command = command or ""
+        verb, *rest = command.split(None, 1) or [""]
         if command == "stop":
             self.stopped = True
             return "stopped_by_reviewer"
-        if command == "yaw":
-            self.pinned = True
+        if verb == "yaw" and rest and not _number(rest[0]) or verb != "yaw" and rest:
+            return "unknown_cmd"
+        if not ran and verb in ("ok", "yaw", "unveto"):
+            return f"cannot_{verb}"
+        if verb == "ok":
+            self.turn, self.attempts, self.pinned = self.turn + 1, 0, None
+            return "ok"
+        if verb == "yaw":
+            self.pinned = candidate
             return "yaw"
-        if command == "unveto":
+        if verb == "unveto":
             return "unveto" if self.vetoes and self.vetoes.pop() is not None else "unveto_nothing"
-        if command == "invisible" and self.attempts >= AUTO_VETOES:
+        if verb == "invisible" and self.attempts >= AUTO_VETOES:
             return "ready"
-        if command in ("veto", "invisible"):
-            self.attempts += command == "invisible"
-            self.vetoes.append(candidate)
-            self.pinned = False
-            return "veto" if command == "veto" else "auto_veto_invisible"
+        if verb in ("veto", "invisible"):
+            meant = candidate if ran else self.pinned
+            if meant is None:
+                return "cannot_veto"
+            self.attempts += verb == "invisible"
+            self.vetoes.append(meant)
+            self.pinned = None
+            return "veto" if verb == "veto" else "auto_veto_invisible"
         return "unknown_cmd"
 
 
+def _number(text: str) -> bool:
+    try:
+        return float(text) == float(text)
+    except ValueError:
+        return False
+
+
 def fold(rows: Iterable[tuple], session: Session) -> Iterator[tuple]:
-    """Decisions on rows (chain, at, command, candidate), in order."""
-    for chain, at, command, candidate in rows:
-        decision = session.step(command, int(candidate))
+    """Decisions on rows (chain, at, command, candidate and, if told, ran), in order."""
+    for chain, at, command, candidate, *ran in rows:
+        decision = session.step(command, int(candidate), all(ran))
         yield chain, at, command, decision, session.turn, len(session.vetoes)
 
 
 def review_decisions(commands: DataFrame, idle: str | None = None) -> DataFrame:
-    """Decisions on a stream of commands (chain, at, command, candidate); the state of a chain is kept between batches.
+    """Decisions on a stream of commands (chain, at, command, candidate and, if there is one, ran); the state of a chain is kept between batches.
 
     Commands of a batch are taken in order of at. With idle (a number of milliseconds), a chain that is silent so long is stopped.
     """
     kind = dict(commands.dtypes)["chain"]
+    told = ["chain", "at", "command", "candidate", *(["ran"] if "ran" in commands.columns else [])]
 
     def step(key, frames, state: GroupState):
         import pandas as pd
@@ -84,8 +103,8 @@ def review_decisions(commands: DataFrame, idle: str | None = None) -> DataFrame:
             return
         session = Session(*[list(x) if isinstance(x, list | tuple) else x for x in state.get]) if state.exists else Session()
         rows = pd.concat(list(frames)).sort_values("at")
-        out = list(fold(rows[["chain", "at", "command", "candidate"]].itertuples(index=False, name=None), session))
-        state.update((session.turn, session.attempts, session.stopped, session.pinned, [int(v) for v in session.vetoes]))
+        out = list(fold(rows[told].itertuples(index=False, name=None), session))
+        state.update((session.turn, session.attempts, session.stopped, None if session.pinned is None else int(session.pinned), [int(v) for v in session.vetoes]))
         if idle:
             state.setTimeoutDuration(int(idle))
         yield pd.DataFrame(out, columns=names)
