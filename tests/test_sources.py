@@ -12,11 +12,11 @@ from weftline.streaming import sinks
 
 def test_tolerant_json_reads_indented_documents_and_sets_corrupt_ones_aside(spark, tmp_path):
     good = {"a": 1, "b": {"c": ["x", "y"]}}
-    for name, text in {"one": json.dumps(good), "two": json.dumps(good, indent=1), "cut": json.dumps(good, indent=1)[:-4], "empty": "", "word": "no json", "more": json.dumps(good | {"z": 5}, indent=4)}.items():
+    for name, text in {"one": json.dumps(good), "two": json.dumps(good, indent=1), "cut": json.dumps(good, indent=1)[:-4], "blank": " \n", "empty": "", "word": "no json", "more": json.dumps(good | {"z": 5}, indent=4)}.items():
         (tmp_path / f"{name}.json").write_text(text)
     rows, bad = files.tolerant_json(spark, f"{tmp_path}/*.json", "a int, b struct<c:array<string>>")
     assert [(r.a, r.b.c) for r in rows.collect()] == [(1, ["x", "y"])] * 3
-    assert sorted(os.path.basename(r.path) for r in bad.collect()) == ["cut.json", "empty.json", "word.json"]
+    assert sorted(os.path.basename(r.path) for r in bad.collect()) == ["blank.json", "cut.json", "word.json"]
     assert next(r.document for r in bad.collect() if r.path.endswith("word.json")) == "no json"
     none = files.tolerant_json(spark, f"{tmp_path}/missing.json", "a int")
     assert [x.count() for x in none] == [0, 0]

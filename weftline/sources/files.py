@@ -49,7 +49,8 @@ def json_lines(spark: SparkSession, glob: str, schema: str, keys: Sequence[str])
 def tolerant_json(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Documents that can be read, one a file, and the corrupt ones (path, document), to be put in quarantine; a missing path gives neither.
 
-    A document may be written with an indent, over many lines; one verdict is given for each file.
+    A document may be written with an indent, over many lines; one verdict is given for each file. A file without a byte is to Spark
+    like a missing one; one of blanks is corrupt.
     """
     fields = [f.name for f in spark.createDataFrame([], schema).schema]
     try:
