@@ -113,6 +113,8 @@ def keyed_overwrite(spark: SparkSession, path: str, new: DataFrame, keys: Sequen
     try:
         old = keyed_table(spark, path)
         (new if old is None else overwritten(old, new, keys)).write.parquet(written)
+        if fs.exists(made) and not fs.exists(of(f"{path}/v{number}/_SUCCESS")):
+            fs.delete(made, True)  # left by a writer that wrote in place
         if fs.exists(made) or not fs.rename(of(written), made):
             raise FileExistsError(f"version {number} of {path} was written by another writer")
     finally:
