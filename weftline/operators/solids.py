@@ -13,34 +13,53 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+LINES = 1 << 20  # triangles are looked at together until they cross so many lines
 _OFF = (1.37e-7, 2.71e-7)  # of a cell: lines keep off edges and corners that lie on the middles of cells
 
 
+def runs_of(corners: np.ndarray, owner: np.ndarray, pitch: float) -> np.ndarray:
+    """Rows (owner, j, k, first, last) of closed meshes, all at once: corners (n, 3, 3) of their triangles, owner (n) the mesh of each."""
+    tri = corners / pitch
+    flat = tri[:, :, 1:]
+    one, two = flat[:, 1] - flat[:, 0], flat[:, 2] - flat[:, 0]
+    turn = one[:, 0] * two[:, 1] - one[:, 1] * two[:, 0]
+    across = turn != 0  # the others lie along the lines
+    tri, flat, one, two, turn, owner = (x[across] for x in (tri, flat, one, two, turn, owner))
+    low, high = np.floor(flat.min(1) - 0.5).astype(np.int64), np.ceil(flat.max(1) + 0.5).astype(np.int64)
+    span = high - low
+    many = span.prod(1)
+    until = np.cumsum(many)
+    found: list[np.ndarray] = []
+    begin = 0
+    while begin < len(tri):
+        end = max(begin + 1, int(np.searchsorted(until, (until[begin - 1] if begin else 0) + LINES, "right")))
+        at = np.repeat(np.arange(begin, end), many[begin:end])
+        step = np.arange(len(at)) - np.repeat(until[begin:end] - many[begin:end] - (until[begin - 1] if begin else 0), many[begin:end])
+        j, k = low[at, 0] + step // span[at, 1], low[at, 1] + step % span[at, 1]
+        y, z = j + 0.5 + _OFF[0] - flat[at, 0, 0], k + 0.5 + _OFF[1] - flat[at, 0, 1]
+        v, w = (y * two[at, 1] - z * two[at, 0]) / turn[at], (one[at, 0] * z - one[at, 1] * y) / turn[at]
+        hit = (v >= 0) & (w >= 0) & (v + w <= 1)
+        at = at[hit]
+        x = tri[at, 0, 0] + v[hit] * (tri[at, 1, 0] - tri[at, 0, 0]) + w[hit] * (tri[at, 2, 0] - tri[at, 0, 0])
+        found.append(np.stack([owner[at].astype(float), j[hit].astype(float), k[hit].astype(float), x], 1))
+        begin = end
+    if not found:
+        return np.zeros((0, 5), np.int64)
+    met = np.concatenate(found)
+    met = met[np.lexsort(met.T[::-1])]
+    new = np.append(True, (met[1:, :3] != met[:-1, :3]).any(1)) if len(met) else np.zeros(0, bool)
+    place = np.arange(len(met)) - np.maximum.accumulate(np.where(new, np.arange(len(met)), 0))
+    enters = np.flatnonzero((place[:-1] % 2 == 0) & ~new[1:]) if len(met) else np.zeros(0, int)
+    first, last = np.ceil(met[enters, 3] - 0.5), np.ceil(met[enters + 1, 3] - 0.5) - 1
+    out = np.column_stack([met[enters, :3], first, last]).astype(np.int64)
+    return out[out[:, 3] <= out[:, 4]]
+
+
 def solid_runs(vertices: np.ndarray, faces: np.ndarray, pitch: float) -> list[tuple[int, int, int, int]]:
     """(j, k, first, last) of a closed mesh: on the line of cells (j, k) along x, the cells from first to last have their middles inside."""
-    crossings: dict[tuple[int, int], list[float]] = {}
-    for a, b, c in vertices[faces] / pitch if len(faces) else ():
-        flat = np.stack([a, b, c])[:, 1:]
-        turn = (flat[1] - flat[0])[0] * (flat[2] - flat[0])[1] - (flat[1] - flat[0])[1] * (flat[2] - flat[0])[0]
-        if turn == 0:
-            continue  # along the lines
-        low, high = np.floor(flat.min(0) - 0.5).astype(int), np.ceil(flat.max(0) + 0.5).astype(int)
-        js, ks = np.meshgrid(np.arange(low[0], high[0]), np.arange(low[1], high[1]), indexing="ij")
-        y, z = js + 0.5 + _OFF[0], ks + 0.5 + _OFF[1]
-        v = ((y - flat[0, 0]) * (flat[2, 1] - flat[0, 1]) - (z - flat[0, 1]) * (flat[2, 0] - flat[0, 0])) / turn
-        w = ((flat[1, 0] - flat[0, 0]) * (z - flat[0, 1]) - (flat[1, 1] - flat[0, 1]) * (y - flat[0, 0])) / turn
-        hit = (v >= 0) & (w >= 0) & (v + w <= 1)
-        x = a[0] + v * (b[0] - a[0]) + w * (c[0] - a[0])
-        for j, k, at in zip(js[hit].tolist(), ks[hit].tolist(), x[hit].tolist(), strict=True):
-            crossings.setdefault((j, k), []).append(at)
-    out = []
-    for (j, k), xs in sorted(crossings.items()):
-        xs.sort()
-        for enter, leave in zip(xs[::2], xs[1::2]):
-            first, last = int(np.ceil(enter - 0.5)), int(np.ceil(leave - 0.5)) - 1
-            if first <= last:
-                out.append((j, k, first, last))
-    return out
+    if not len(faces):
+        return []
+    return [tuple(r) for r in runs_of(np.asarray(vertices, float)[faces], np.zeros(len(faces), np.int64), pitch)[:, 1:].tolist()]
 
 
 def _per_row(table: DataFrame, keys: list[str], columns: list[str], schema: str, kernel: Callable[..., list[tuple]]) -> DataFrame:
@@ -63,8 +82,20 @@ def _rows(nested, width: int, kind: type) -> np.ndarray:
 
 
 def solids(meshes: DataFrame, pitch: float) -> DataFrame:
-    """(oid, part, j, k, first, last) of a table of closed meshes (oid, part, vertices, faces)."""
-    return _per_row(meshes, ["oid", "part"], ["vertices", "faces"], "j int, k int, first int, last int", lambda v, f: solid_runs(_rows(v, 3, float), _rows(f, 3, int), pitch))
+    """(oid, part, j, k, first, last) of a table of closed meshes (oid, part, vertices, faces), a batch of rows at a time."""
+    kinds = dict(meshes.dtypes)
+
+    def read(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        for pdf in frames:
+            corners = [_rows(v, 3, float)[_rows(f, 3, int)] for v, f in zip(pdf["vertices"], pdf["faces"], strict=True)]
+            owner = np.repeat(np.arange(len(pdf)), [len(c) for c in corners])
+            runs = runs_of(np.concatenate(corners) if corners else np.zeros((0, 3, 3)), owner, pitch)
+            of = pdf[["oid", "part"]].iloc[runs[:, 0]].reset_index(drop=True)
+            yield of.join(pd.DataFrame(runs[:, 1:], columns=["j", "k", "first", "last"]))
+
+    return meshes.select("oid", "part", "vertices", "faces").mapInPandas(read, f"oid {kinds['oid']}, part {kinds['part']}, j int, k int, first int, last int")
 
 
 def solid_overlap(runs: DataFrame) -> DataFrame:
