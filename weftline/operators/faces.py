@@ -142,20 +142,6 @@ def _dot(a: Column, b: Column) -> Column:
     return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
 
 
-def row_bits(u: Column, v: Column, reach2: Column, l1: Column, l2: Column, row: Column, grid: int) -> Column:
-    """The bits of a row whose cells' middles are nearer than the root of reach2 to (u, v)."""
-    up = v - ((row + 0.5) / grid - 0.5) * l2
-
-    def bits(half: Column) -> Column:
-        first = F.least(F.greatest(F.floor(((u - half) / l1 + 0.5) * grid - 0.5) + 1, F.lit(0)), F.lit(grid)).cast("int")
-        last = F.greatest(F.least(F.ceil(((u + half) / l1 + 0.5) * grid - 0.5) - 1, F.lit(grid - 1)), F.lit(-1)).cast("int")
-        one = F.lit(1).cast("long")
-        return F.greatest(F.call_function("shiftleft", one, last + 1) - F.call_function("shiftleft", one, first), F.lit(0).cast("long"))
-
-    halves = F.transform(F.filter(F.array(reach2 - up * up), lambda x: x > 0), lambda x: bits(F.sqrt(x)))
-    return F.coalesce(F.get(halves, F.lit(0)), F.lit(0).cast("long"))
-
-
 def blocked_rasters(faces: DataFrame, samples: DataFrame, grid: int = GRID, radius: float = RADIUS) -> DataFrame:
     """(oid, piece, face, rows, blockers): what samples (oid, piece, p) of other parts block of each face that they block anything of."""
     lo, hi = (F.array(*[f(F.col("p")[d]) for d in range(3)]) for f in (F.min, F.max))
@@ -166,10 +152,20 @@ def blocked_rasters(faces: DataFrame, samples: DataFrame, grid: int = GRID, radi
     pairs = met.join(samples.select("oid", F.col("piece").alias("other"), "p"), ["oid", "other"])
     off = F.array(*[F.col("p")[d] - F.col("c")[d] for d in range(3)])
     placed = pairs.select("oid", "piece", "face", "other", "l1", "l2", _dot(off, F.col("n")).alias("h"), _dot(off, F.col("e1")).alias("u"), _dot(off, F.col("e2")).alias("v"))
-    reach2 = F.lit(radius * radius) - F.col("h") * F.col("h")
-    over = placed.filter((F.col("h") > LOW) & (F.col("h") < min(HIGH, radius)))
-    rows = F.transform(F.sequence(F.lit(0), F.lit(grid - 1)), lambda r: F.struct(r.alias("row"), row_bits(F.col("u"), F.col("v"), reach2, F.col("l1"), F.col("l2"), r, grid).alias("bits")))
-    hits = over.select("oid", "piece", "face", "other", F.inline(F.filter(rows, lambda x: x["bits"] > 0)))
+    over = placed.filter((F.col("l1") > 0) & (F.col("l2") > 0)).filter((F.col("h") > LOW) & (F.col("h") < min(HIGH, radius)) & (F.abs("u") < F.col("l1") / 2 + radius) & (F.abs("v") < F.col("l2") / 2 + radius))
+    keys = ["oid", "piece", "face", "other"]
+    place = F.col("v") * grid / F.col("l2") + (grid / 2 - 0.5)  # in rows; those within the radius are the ones to look at
+    some = radius * grid / F.col("l2")
+    first, last = F.greatest(F.floor(place - some), F.lit(0)).cast("int"), F.least(F.ceil(place + some), F.lit(grid - 1)).cast("int")
+    near = over.withColumns({"first": first, "last": last}).filter("first <= last").select(*keys, "h", "u", "v", "l1", "l2", F.explode(F.sequence("first", "last")).alias("row"))
+    up = F.col("v") - ((F.col("row") + 0.5) / grid - 0.5) * F.col("l2")
+    cut = near.withColumn("up", up).withColumn("s", F.lit(radius * radius) - F.col("h") * F.col("h") - F.col("up") * F.col("up")).filter("s > 0").withColumn("half", F.sqrt("s"))
+    at = lambda half: ((F.col("u") + half) / F.col("l1") + 0.5) * grid - 0.5
+    begin, end = F.greatest(F.floor(at(-F.col("half"))) + 1, F.lit(0)).cast("int"), F.least(F.ceil(at(F.col("half"))) - 1, F.lit(grid - 1)).cast("int")
+    runs = cut.select(*keys, "row", begin.alias("begin"), end.alias("end")).filter("begin <= end")
+    one = F.lit(1).cast("long")
+    bits = F.call_function("shiftleft", one, F.col("end") + 1) - F.call_function("shiftleft", one, F.col("begin"))  # the cells of the row whose middles are within reach
+    hits = runs.select(*keys, "row", bits.alias("bits"))
     told = hits.groupBy("oid", "piece", "face", "row").agg(F.bit_or("bits").alias("bits"), F.collect_set("other").alias("others"))
     whole = told.groupBy("oid", "piece", "face").agg(F.map_from_entries(F.collect_list(F.struct("row", "bits"))).alias("held"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("others")))).alias("blockers"))
     all_ = F.transform(F.sequence(F.lit(0), F.lit(grid - 1)), lambda r: F.coalesce(F.try_element_at("held", r), F.lit(0).cast("long")))
