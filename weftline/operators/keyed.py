@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -57,3 +57,24 @@ def sharded(df: DataFrame, key: str, world: int, rank: int) -> DataFrame:
 def resume_point(states: DataFrame, keys: Sequence[str], turn: str = "turn") -> DataFrame:
     """The turn to go on from, after the last that was kept."""
     return states.groupBy(*keys).agg((F.max(turn) + 1).alias("next_turn"))
+
+
+def whole_objects(told: Callable) -> Callable[[Iterator], Iterator]:
+    """For mapInArrow over rows in order of oid: told(table) is given whole objects, many at once. What is held is a batch and the object at its end."""
+
+    def read(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, table]) if held is not None and len(held) else table
+            oid = held["oid"].to_numpy()
+            last = len(oid) - int((oid == oid[-1:]).sum())  # equal ones stand together
+            if last:
+                yield from told(held.slice(0, last)).to_batches()
+                held = held.slice(last)
+        if held is not None and len(held):
+            yield from told(held).to_batches()
+
+    return read
