@@ -553,3 +553,13 @@ def test_sides_that_are_sent_and_sides_in_blocks_give_the_same(spark, monkeypatc
         best = retrieve.similarity_blocks(library.select("pid", "vec"), library.filter("pid % 50 = 0").select("pid", "vec"), "s")
         told.append((sorted((r.slot, r.pid, round(r.score, 9)) for r in top.collect()), sorted((r.pid, round(r.s, 9)) for r in best.collect())))
     assert told[0] == told[1] and all(told[0])
+
+
+def test_vetoes_stand_for_all_slots_of_a_signature(spark):
+    """All users of one remainder share a signature, so each is told the same vetoes."""
+    from weftline.plans.ledger import veto_slots
+
+    by_slot = {}
+    for r in veto_slots(spark, "/root/testdata/sf0.001").collect():
+        by_slot.setdefault(r.slot, set()).add((r.event_id, r.pid))
+    assert len(by_slot) > 6 and all(told == by_slot[min(s for s in by_slot if s % 6 == slot % 6)] for slot, told in by_slot.items())
