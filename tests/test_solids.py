@@ -78,3 +78,17 @@ def test_spheres_of_a_whole_table(spark):
     got = {r.oid: r.radius for r in enclosing_spheres(spark, sf).collect()}
     for r in meshes(spark, sf).limit(200).collect():
         assert got[r.oid] == pytest.approx(plain_radius(np.array([list(v) for v in r.vertices])), abs=2e-6)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 9])
+def test_many_spheres_at_once(n):
+    rng = np.random.default_rng(n)
+    clouds = rng.normal(size=(300, n, 3)) * [1, 0.2, 5]
+    clouds[:40, :, 2] = 1.0  # in a plane
+    clouds[40:60, :, 1:] = 0.0  # on a line
+    clouds[60:70] = clouds[60:70, :1]  # at one place
+    clouds[70:80, n // 2 :] = clouds[70:80, :1]  # some of them equal
+    centres, radii = solids.enclosing_spheres_of(clouds)
+    for points, centre, radius in zip(clouds, centres, radii, strict=True):
+        assert (np.linalg.norm(points - centre, axis=1) <= radius * (1 + 1e-8) + 1e-7).all()
+        assert radius == pytest.approx(solids.enclosing_sphere(points)[1], rel=1e-6, abs=1e-7)

@@ -7,7 +7,8 @@ solids share what their runs on the same line share. A table of runs is joined o
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -62,21 +63,6 @@ def solid_runs(vertices: np.ndarray, faces: np.ndarray, pitch: float) -> list[tu
     return [tuple(r) for r in runs_of(np.asarray(vertices, float)[faces], np.zeros(len(faces), np.int64), pitch)[:, 1:].tolist()]
 
 
-def _per_row(table: DataFrame, keys: list[str], columns: list[str], schema: str, kernel: Callable[..., list[tuple]]) -> DataFrame:
-    kinds = dict(table.dtypes)
-    full = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", {schema}"
-    names = [*keys, *(c.split()[0] for c in schema.split(", "))]
-
-    def read(frames: Iterator) -> Iterator:
-        import pandas as pd
-
-        for pdf in frames:
-            rows = [(*(r[k] for k in keys), *out) for r in pdf.to_dict("records") for out in kernel(*(r[c] for c in columns))]
-            yield pd.DataFrame(rows, columns=names)
-
-    return table.select(*keys, *columns).mapInPandas(read, full)
-
-
 def _rows(nested, width: int, kind: type) -> np.ndarray:
     return np.array([list(x) for x in nested], kind).reshape(-1, width)
 
@@ -154,11 +140,83 @@ def enclosing_sphere(points: np.ndarray, seed: int = 0) -> tuple[np.ndarray, flo
     return ball[0] * scale + middle, float(np.sqrt(ball[1])) * scale
 
 
-def enclosing_spheres(clouds: DataFrame, keys: list[str], column: str = "vertices") -> DataFrame:
-    """keys, centre and radius of the smallest sphere around each row's points."""
+def _all_through(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_through of many sets (n, m, 3) of at most four points: centres, squared radii, and where there is such a sphere."""
+    first, rest = points[:, 0], points[:, 1:] - points[:, :1]
+    n, m = rest.shape[:2]
+    if not m:
+        return first, np.zeros(n), np.ones(n, bool)
+    gram = np.einsum("nid,njd->nij", rest, rest)
+    own = np.einsum("nii->ni", gram)
+    there = np.linalg.det(gram) > 1e-12 * np.maximum(own.sum(1), 1e-300) ** m
+    weights = np.linalg.solve(2 * np.where(there[:, None, None], gram, np.eye(m)), own[:, :, None])[:, :, 0]
+    off = np.einsum("ni,nid->nd", weights, rest)
+    return first + off, (off * off).sum(1), there
 
-    def kernel(points) -> list[tuple]:
-        centre, radius = enclosing_sphere(_rows(points, 3, float))
-        return [(centre.tolist(), radius)]
 
-    return _per_row(clouds, keys, [column], "centre array<double>, radius double", kernel)
+def enclosing_spheres_of(points: np.ndarray, most_rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """Centres and radii of the smallest spheres around each of many clouds (n, m, 3) of as many points, all at once.
+
+    The point furthest out of a sphere joins those it rests on; the smallest sphere around these few rests on it, and on at most three of
+    them. Spheres only grow, so this ends. Clouds that are too flat to tell go to ``enclosing_sphere``.
+    """
+    n = len(points)
+    middle = (points.min(1) + points.max(1)) / 2
+    scale = np.maximum(np.abs(points - middle[:, None]).max((1, 2)), 1e-300)
+    unit = (points - middle[:, None]) / scale[:, None, None]
+    centre, square, held = unit[:, 0].copy(), np.zeros(n), np.repeat(unit[:, :1], 4, axis=1)
+    left = np.arange(n)
+    for _ in range(most_rounds):
+        far = ((unit[left] - centre[left, None]) ** 2).sum(2)
+        at = far.argmax(1)
+        out = far[np.arange(len(left)), at] > square[left] * (1 + 1e-10) + 1e-14
+        left, at = left[out], at[out]
+        if not len(left):
+            break
+        new = unit[left, at][:, None]
+        few = np.concatenate([new, held[left]], 1)
+        best = np.full(len(left), np.inf)
+        for size in range(4):
+            for some in combinations(range(1, 5), size):
+                own = few[:, (0, *some)]
+                c, r, there = _all_through(own)
+                fits = there & (r < best) & (((few - c[:, None]) ** 2).sum(2) <= (r * (1 + 1e-10) + 1e-13)[:, None]).all(1)
+                best[fits] = r[fits]
+                centre[left[fits]], square[left[fits]] = c[fits], r[fits]
+                held[left[fits]] = np.concatenate([own, np.repeat(new, 3 - size, axis=1)], 1)[fits]
+        lost = left[best == np.inf]
+        square[lost] = np.nan
+        left = left[best < np.inf]
+    square[left] = np.nan
+    centre, radius = centre * scale[:, None] + middle, np.sqrt(square) * scale
+    for i in np.flatnonzero(np.isnan(square)):
+        centre[i], radius[i] = enclosing_sphere(points[i])
+    return centre, radius
+
+
+TOGETHER = 64  # points of a cloud up to which clouds of as many points are looked at together
+
+
+def enclosing_spheres(clouds: DataFrame, keys: list[str], column: str = "vertices") -> DataFrame:
+    """keys, centre and radius of the smallest sphere around each row's points, a batch of rows at a time."""
+    kinds = dict(clouds.dtypes)
+
+    def read(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            cloud = batch.column(batch.schema.get_field_index(column))
+            many, points = cloud.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), cloud.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, 3)
+            begin = np.cumsum(many) - many
+            centre, radius = np.zeros((len(many), 3)), np.zeros(len(many))
+            for n in np.unique(many):
+                at = np.flatnonzero(many == n)
+                if 0 < n <= TOGETHER:
+                    centre[at], radius[at] = enclosing_spheres_of(points[begin[at, None] + np.arange(n)])
+                else:
+                    for i in at:
+                        centre[i], radius[i] = enclosing_sphere(points[begin[i] : begin[i] + n])
+            ends = pa.array(np.arange(0, 3 * len(many) + 1, 3, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(k)) for k in keys], pa.ListArray.from_arrays(ends, pa.array(centre.ravel())), pa.array(radius)], names=[*keys, "centre", "radius"])
+
+    return clouds.select(*keys, column).mapInArrow(read, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", centre array<double>, radius double")
