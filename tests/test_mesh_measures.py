@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from weftline.operators import geometry
 from weftline.plans.geometry import mesh_measures, meshes
 
 SF = "/root/testdata/sf0.001"
@@ -60,3 +61,13 @@ def test_measures_of_all_meshes(spark):
         parts, lonely, patches, slender = plain(v, [list(t) for t in r.faces])
         assert got[r.oid][0] == parts and got[r.oid][2] == patches, r.oid
         assert got[r.oid][1] == pytest.approx(lonely, abs=2e-4) and got[r.oid][3] == pytest.approx(slender, abs=2e-4), r.oid
+
+
+def test_many_meshes_are_measured_as_one_by_one():
+    rng = np.random.default_rng(3)
+    clouds = [rng.random((n, 3)) for n in (0, 1, 2, 3, 5, 9, 4, 6)]
+    sides = [np.array([[0, i, i + 1] for i in range(1, len(v) - 1)], int).reshape(-1, 3) for v in clouds]
+    sides[6], sides[7] = np.zeros((0, 3), int), np.array([[0, 1, 2], [3, 4, 5]])
+    told = geometry.mesh_measures_of(np.concatenate(clouds), np.array([len(v) for v in clouds]), np.concatenate(sides), np.array([len(f) for f in sides]))
+    for got, v, f in zip(zip(*told, strict=True), clouds, sides, strict=True):
+        assert np.allclose(got, geometry.mesh_measures(v, f))

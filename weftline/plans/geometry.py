@@ -21,7 +21,7 @@ def meshes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def mesh_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = geometry.over_meshes(meshes(spark, sf_dir), geometry.mesh_measures, ["oid"], "components long, isolation double, patches long, slender double")
+    told = geometry.measured_meshes(meshes(spark, sf_dir), ["oid"])
     return told.select("oid", "components", rounded(F.col("isolation")).alias("isolation"), "patches", rounded(F.col("slender")).alias("slender"))
 
 
