@@ -4,6 +4,7 @@ import itertools
 import json
 import struct
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -563,3 +564,17 @@ def test_vetoes_stand_for_all_slots_of_a_signature(spark):
     for r in veto_slots(spark, "/root/testdata/sf0.001").collect():
         by_slot.setdefault(r.slot, set()).add((r.event_id, r.pid))
     assert len(by_slot) > 6 and all(told == by_slot[min(s for s in by_slot if s % 6 == slot % 6)] for slot, told in by_slot.items())
+
+
+def test_transforms_near_a_bound_are_told_as_in_the_sql(spark, tmp_path):
+    """Where least singular values are within a hundredth of 1e-5, rounding decides, and it must do so alike."""
+    from weftline import catalog
+
+    rows = [(1, 1, 34.0, 2696.58, 0.01, 0.08), (1, 3, 46.0, 3660.69, 0.08, 0.08), (2, 5, 28.0, 1656.59, 0.01, 0.06), (2, 1, 43.0, 1666.76, 0.01, 0.04), (3, 3, 33.0, 1615.36, 0.07, 0.05), (3, 2, 5.0, 1000.0, 0.0, 0.05), (4, 1, 5.0, 1000.0, None, 0.05)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_tax double, l_discount double")
+    lines.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.execute(f"SELECT l_orderkey, l_linenumber, valid, \"similar\", det FROM ({catalog.oracle_sql()['transform_checks']})").fetchall()
+    got = catalog.queries()["transform_checks"](spark, str(tmp_path)).select("l_orderkey", "l_linenumber", "valid", "similar", "det").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)

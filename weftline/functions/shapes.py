@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -105,6 +106,37 @@ def is_transform(t: Column) -> Column:
     return F.coalesce((F.size(t) == 16) & finite & last & F.when(determinant(t) > 0, sized), F.lit(False))
 
 
+def gram(t: Column) -> list[list[Column]]:
+    """Products of the columns of the linear part."""
+    m = linear_part(t)
+    return [[sum((m[k][i] * m[k][j] for k in range(3)), F.lit(0.0)) for j in range(3)] for i in range(3)]
+
+
+def _definite(g: list[list[Column]]) -> Column:
+    """That a symmetric matrix is positive definite, by its leading minors."""
+    (a, b, c), (_, d, e), (_, _, f) = g
+    return (a > 0) & (a * d - b * b > 0) & (a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c) > 0)
+
+
+def is_bounded(t: Column, least: float = 1e-10, most: float = 1e8) -> Column:
+    """A positive determinant, and squared singular values between least and most, told by definite matrices; null where a number is.
+
+    There are no roots in it, so every engine tells the same, step by step. ``is_transform`` keeps its digits where singular values lie far
+    apart; here rounding decides those that are within about a hundredth of a bound.
+    """
+    g = gram(t)
+    shifted = lambda sign, at: [[sign * g[i][j] if i != j else at(g[i][i]) for j in range(3)] for i in range(3)]
+    return (determinant(t) > 0) & _definite(shifted(1.0, lambda x: x - least)) & _definite(shifted(-1.0, lambda x: most - x))
+
+
+def is_even(t: Column, absolute: float = 1e-9, relative: float = 1e-7) -> Column:
+    """That the columns of the linear part are orthogonal and of one length; null where a number is."""
+    g = gram(t)
+    whole = g[0][0] + g[1][1] + g[2][2]
+    near = [F.abs(g[i][j] - whole / 3 if i == j else g[i][j]) <= absolute + relative * whole / 3 for i in range(3) for j in range(i, 3)]
+    return reduce(lambda a, b: a & b, near)
+
+
 def is_similarity(t: Column, absolute: float = 1e-9, relative: float = 1e-7) -> Column:
     """A transform whose linear part is a rotation times one scale."""
     m = linear_part(t)
