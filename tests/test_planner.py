@@ -38,3 +38,13 @@ def test_chains_against_the_plain_loop(spark):
         want = plain(slots, candidates, turns, kept)
         assert sorted(map(tuple, planned_chains(a, b, turns, kept).collect())) == want and want
     assert planned_chains(a.limit(0), b, 5).count() == 0
+
+
+def test_candidates_that_slots_share_by_kind(spark):
+    slots = [(o, s, s, 100 + s, "ab"[s % 2]) for o in range(5) for s in range(1, 4 + o % 2)]
+    lists = [("a", k % 3, 200 + k) for k in range(9)] + [("b", k, 104 - k) for k in range(8)]
+    shared = spark.createDataFrame(slots, "oid long, slot long, ord long, occupant long, kind string")
+    kinds = spark.createDataFrame(lists, "kind string, rank int, candidate long")
+    each = shared.join(kinds, "kind").select("oid", "slot", "rank", "candidate")
+    got = planned_chains(shared, kinds, 6, by=("kind",)).collect()
+    assert got and sorted(got) == sorted(planned_chains(shared.drop("kind"), each, 6).collect())

@@ -7,7 +7,7 @@ holds by its slots and turns.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,17 +33,18 @@ def _fold(order: list, ranked: dict, start: dict, turns: int) -> list[tuple]:
     return out
 
 
-def planned_chains(slots: DataFrame, candidates: DataFrame, turns: int, kept: float = KEPT) -> DataFrame:
+def planned_chains(slots: DataFrame, candidates: DataFrame, turns: int, kept: float = KEPT, by: Sequence[str] = ("oid", "slot")) -> DataFrame:
     """(oid, turn, slot, removed, added, refused) of the chains that have at least so much of their turns.
 
     slots: (oid, slot, ord, occupant), of which an object has at least two and few. candidates: (oid, slot, rank, candidate), best first by
     rank, then candidate. removed and added: what leaves the slot and what comes; refused: better ones that the host has used already. A turn
-    without a candidate is left out; it still is the slot's turn.
+    without a candidate is left out; it still is the slot's turn. by: what candidates have instead of oid and slot, where slots share them by
+    a column of their own; each list is then ranked and cut once, not once a slot.
     """
-    best = Window.partitionBy("oid", "slot").orderBy("rank", "candidate")
+    best = Window.partitionBy(*by).orderBy("rank", "candidate")
     few = candidates.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= turns + 1)
-    ranked = few.groupBy("oid", "slot").agg(F.array_sort(F.collect_list(F.struct("r", "candidate"))).alias("list"))
-    whole = slots.join(ranked, ["oid", "slot"], "left").select("oid", F.struct("ord", "slot", "occupant", F.transform("list", lambda x: x["candidate"]).alias("list")).alias("s"))
+    ranked = few.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("r", "candidate"))).alias("list")).withColumn("list", F.col("list.candidate"))
+    whole = slots.join(ranked, list(by), "left").select("oid", F.struct("ord", "slot", "occupant", "list").alias("s"))
     hosts = whole.groupBy("oid").agg(F.array_sort(F.collect_list("s")).alias("slots")).filter(F.size("slots") >= LEAST_SLOTS)
     kinds, slot, held = dict(slots.dtypes), dict(slots.dtypes)["slot"], dict(candidates.dtypes)["candidate"]
     schema = f"oid {kinds['oid']}, turn int, slot {slot}, removed {held}, added {held}, refused int"

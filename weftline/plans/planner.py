@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators import planner
@@ -31,8 +31,6 @@ def planned_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     slots = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("oid"), F.col("l_linenumber").cast("long").alias("slot")).agg(F.max("l_partkey").alias("occupant"))
     kind = F.concat_ws("/", "p_brand", F.col("p_size") % 10).alias("kind")
     parts = table(spark, sf_dir, "part").select(kind, F.col("p_partkey").alias("candidate"), "p_retailprice")
-    cheap = Window.partitionBy("kind").orderBy("p_retailprice", "candidate")
-    library = parts.withColumn("rank", F.row_number().over(cheap)).filter(F.col("rank") <= TURNS + 1).select("kind", "candidate", "rank")
     typed = slots.join(parts.select("kind", F.col("candidate").alias("occupant")), "occupant")
-    candidates = typed.join(library, "kind").select("oid", "slot", "rank", "candidate")
-    return planner.planned_chains(typed.select("oid", "slot", F.col("slot").alias("ord"), "occupant"), candidates, TURNS)
+    candidates = parts.select("kind", F.col("p_retailprice").alias("rank"), "candidate")
+    return planner.planned_chains(typed.select("oid", "slot", F.col("slot").alias("ord"), "occupant", "kind"), candidates, TURNS, by=("kind",))
