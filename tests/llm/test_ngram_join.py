@@ -164,3 +164,12 @@ def test_components_of_a_chain_and_a_star(spark):
     found = {r.node: r.root for r in connected(spark.createDataFrame(links, "a long, b long")).collect()}
     assert {found[i] for i in range(100, 141)} == {100} and {found[i] for i in range(1000, 1100)} == {500} and found[9] == 8
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_comparisons_by_chance_grow_with_the_rows(spark):
+    """A shingle of many nodes in as many components brings a few pairs a node, not all of them."""
+    join = ngram_join.NgramJoin(docs(spark), 4, 85)
+    for n in (300, 600):
+        split = spark.range(n).selectExpr("1L as token", "id as node", "100 as n", "0 as place", "id as root", f"{n}L as size")
+        pairs = [tuple(r) for r in join._by_chance(split, 1).collect()]
+        assert n < len(pairs) == len(set(pairs)) < 2 * ngram_join.CHANCES * n and all(a < b for a, b in pairs)

@@ -51,8 +51,10 @@ SKETCH_BITS = 20
 CHUNKS = 64
 #: Nodes of a token in one task, about, before it is salted; nodes of a token that are all compared with each other; partners that a set meets in one task.
 HOT, FEW, PARTNERS = 4096, 4, 64
-#: How often components are compared by their ends before what is left of them is compared whole.
-ROUNDS = 1
+#: How often components are compared, by their ends and then by chance, before what is left of them is compared whole.
+ROUNDS = 2
+#: Others that a node of a shingle is compared with by chance, about.
+CHANCES = 8
 #: Nodes of a shingle from which its last comparisons are dealt in blocks.
 REST = 4096
 #: Bytes of words, and numbers of nodes and pairs, that a worker remembers to spare work; all start anew when full.
@@ -453,7 +455,7 @@ class NgramJoin:
         links, steps = self._linked(documents, tried, nodes, "star"), 0
         roots = connected(links)
         while steps <= ROUNDS and not (shared := self._split(shared, roots)).isEmpty():
-            pairs = self._ends(shared) if steps < ROUNDS else self._rest(shared, nodes)
+            pairs = self._rest(shared, nodes) if steps == ROUNDS else self._by_chance(shared, steps) if steps else self._ends(shared)
             pairs = self._stored(pairs.join(tried, ["a", "b"], "left_anti"), f"pairs{steps}", self.n_rows)
             tried, links = tried.union(pairs), links.union(self._linked(documents, pairs, nodes, f"links{steps}"))
             roots, steps = connected(links), steps + 1
@@ -550,10 +552,10 @@ class NgramJoin:
         return links
 
     def _split(self, shared: DataFrame, roots: DataFrame) -> DataFrame:
-        """Rows of shingles that different components share, with root and main, the component that most nodes of the shingle are in."""
+        """Rows of shingles that different components share, with root, main (the component that most nodes of the shingle are in) and size (how many nodes these are)."""
         rooted = shared.select("token", "node", "n", "place").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        told = rooted.groupBy("token", "root").agg(F.count("*").alias("m")).groupBy("token").agg(F.max(F.struct("m", "root")).alias("c"), F.count("*").alias("roots"))
-        split = told.filter("roots > 1").select("token", F.col("c.root").alias("main"))
+        told = rooted.groupBy("token", "root").agg(F.count("*").alias("m")).groupBy("token").agg(F.max(F.struct("m", "root")).alias("c"), F.count("*").alias("roots"), F.sum("m").alias("size"))
+        split = told.filter("roots > 1").select("token", F.col("c.root").alias("main"), "size")
         return cut(rooted.join(split, "token"), self.n_rows)
 
     def _ends(self, split: DataFrame) -> DataFrame:
@@ -562,6 +564,16 @@ class NgramJoin:
         x, y = ends.filter("root <> main").alias("x"), ends.filter("root = main").alias("y")
         return self._ordered(x.join(y, F.col("x.token") == F.col("y.token")).filter(self._passes("x", "y")))
 
+    def _by_chance(self, split: DataFrame, seed: int) -> DataFrame:
+        """Pairs (a, b) of nodes in different components that fall together: each node of a shingle asks at one of its places, and waits at another; a place has about CHANCES of each.
+
+        That is so many pairs a row, whatever the size of a shingle; components with many links between them are all but sure to meet in one.
+        """
+        place = lambda k: F.pmod(F.xxhash64(F.lit(2 * seed + k), "token", "node"), F.ceil(F.col("size") / CHANCES)).alias("at")
+        x, y = (split.select("token", "node", "n", "place", "root", place(k)).alias(s) for k, s in enumerate("xy"))
+        same = (F.col("x.token") == F.col("y.token")) & (F.col("x.at") == F.col("y.at")) & (F.col("x.root") != F.col("y.root"))
+        return self._ordered(x.join(y, same & self._passes("x", "y")))
+
     def _rest(self, split: DataFrame, nodes: DataFrame) -> DataFrame:
         """All pairs (a, b) of nodes in different components that share a shingle and pass the filters.
 
