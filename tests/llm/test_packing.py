@@ -135,3 +135,17 @@ def test_no_rows_and_clashing_columns(spark):
             assert r.offset == at
             at += r.length
         assert at <= 16
+
+
+def test_marks_behind_a_word_do_not_cost_a_whole_encoding(monkeypatch):
+    from weftline.llm.packing import WordEncoder
+    from weftline.llm.registry import word_tokenizer
+
+    words = "erbleon.&&& reshsh,%%% thon##* \u00c9quetionpa, plain 12%".encode().split()
+    made = WordEncoder(word_tokenizer())
+    want = [made._whole(w.decode()) for w in words]
+    seen = []
+    whole = made._whole
+    monkeypatch.setattr(made, "_whole", lambda text: seen.append(text) or whole(text))
+    assert [made.encode(w) for w in words] == want
+    assert not any(x[:1].isalpha() for x in seen)

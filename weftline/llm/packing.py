@@ -14,6 +14,7 @@ offset by rank. Ranks are counted in salted slices of a length; the number of sl
 
 from __future__ import annotations
 
+import struct
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
@@ -29,6 +30,8 @@ CAPACITY = 2048
 SLICES = 4000
 #: Bytes of words and their ids that a worker remembers.
 REMEMBERED = 96 << 20
+#: Marks behind a word, which are words of their own to the tokenizer.
+TRAILING = b",.%&#*"
 
 Plan = list[tuple[int, tuple[tuple[int, int], ...]]]
 
@@ -50,18 +53,25 @@ class WordEncoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.shown = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.tokenize = self.model.tokenize
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    @staticmethod
+    def _packed(tokens: list) -> bytes:
+        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+
     def _word(self, word: bytes) -> bytes:
-        base = word.rstrip(b",.")
+        if word.isalpha():  # plain ASCII letters are shown as they are
+            return self._packed(self.tokenize(word.decode()))
+        base = word.rstrip(TRAILING)
         if base != word and base and base[-1:].isalnum():
             return self.word(base) + self.word(word[len(base) :])
         text = word.decode("utf-8", "replace")
         if text.isalpha() and max(text) < "ɐ" and "İ" not in text:
-            shown = "".join([self.shown[b] for b in text.lower().encode()])
-            return np.asarray([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+            shown = text.lower().encode().decode("latin-1").translate(self.shown)
+            return self._packed(self.tokenize(shown))
         return self._whole(text)
 
     def word(self, word: bytes) -> bytes:
