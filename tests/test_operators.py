@@ -578,3 +578,14 @@ def test_transforms_near_a_bound_are_told_as_in_the_sql(spark, tmp_path):
     want = con.execute(f"SELECT l_orderkey, l_linenumber, valid, \"similar\", det FROM ({catalog.oracle_sql()['transform_checks']})").fetchall()
     got = catalog.queries()["transform_checks"](spark, str(tmp_path)).select("l_orderkey", "l_linenumber", "valid", "similar", "det").collect()
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_a_side_that_is_sent_meets_in_parts(spark, monkeypatch):
+    """What a task holds of the pairs is bounded, as it is in blocks."""
+    import pandas as pd
+
+    monkeypatch.setattr(retrieve, "ROWS", 4)
+    monkeypatch.setattr(retrieve, "ASKED", 3)
+    met = retrieve._met(spark.range(20).coalesce(1), spark.range(10), ("id", "id"), lambda a, b: pd.DataFrame({"n": [len(a) * len(b)]}), "n long", F.lit(1))
+    n = [r.n for r in met.collect()]
+    assert max(n) == 12 and sum(n) == 200

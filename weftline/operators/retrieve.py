@@ -94,7 +94,9 @@ def _met(left: DataFrame, right: DataFrame, key: tuple[str, str], work: Callable
 
         def each(frames: Iterator) -> Iterator:
             for pdf in frames:
-                yield work(pdf, held.value)
+                for i in range(0, len(pdf), ROWS):
+                    for j in range(0, len(held.value), ASKED):  # a part of each, as in blocks: what they make must fit, too
+                        yield work(pdf.iloc[i : i + ROWS], held.value.iloc[j : j + ASKED])
 
         return left.mapInPandas(each, schema)
     renamed = right.select(*[F.col(c).alias(c) for c in right.columns])  # both may come from one table
