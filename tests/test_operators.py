@@ -580,6 +580,20 @@ def test_transforms_near_a_bound_are_told_as_in_the_sql(spark, tmp_path):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_categories_by_words(spark):
+    """As the patterns tell them, without a pattern for each category."""
+    captions = ["A red CAR.", "carpet", "ice cream", "ice  cream", "nice cream", "an ice cream van", "keyboard", "my_car", "car-table", "", None, "the pot\n", "\u00e9cat", "Ice Cream", "1 dog2 fox"]
+    frame = spark.createDataFrame([(c,) for c in captions], "cap string")
+    low, want = F.lower("cap"), None
+    for name, words in part_library.CATEGORIES.items():
+        test = low.rlike(part_library.category_pattern(words))
+        want = F.when(test, name) if want is None else want.when(test, name)
+    told = frame.select(part_library.category(F.col("cap")).alias("got"))
+    both = frame.select(part_library.category(F.col("cap")).alias("got"), want.otherwise("other").alias("want")).collect()
+    assert [r.got for r in both] == [r.want for r in both]
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") == 1
+
+
 def test_a_side_that_is_sent_meets_in_parts(spark, monkeypatch):
     """What a task holds of the pairs is bounded, as it is in blocks."""
     import pandas as pd

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -52,11 +53,19 @@ def category_pattern(words: Sequence[str]) -> str:
 
 
 def category(caption: Column, categories: dict[str, tuple[str, ...]] = CATEGORIES) -> Column:
-    low, out = F.lower(caption), None
-    for name, words in categories.items():
-        test = low.rlike(category_pattern(words))
-        out = F.when(test, name) if out is None else out.when(test, name)
-    return out.otherwise("other")
+    """The first category that a caption has a word of, in any case, else other. A caption is split into words once, for all categories."""
+    low, rank = F.lower(caption), {}
+    for at, words in enumerate(categories.values(), 1):
+        for w in words:
+            rank.setdefault(w, at)
+    plain = {w: at for w, at in rank.items() if re.fullmatch("[A-Za-z0-9_]+", w)}
+    ranks = F.create_map(*[F.lit(x) for pair in plain.items() for x in pair])
+    found = F.array_intersect(F.split(low, "[^A-Za-z0-9_]+"), F.array(*[F.lit(w) for w in plain]))
+    first = [F.array_min(F.transform(found, lambda w: ranks[w])) if plain else F.lit(None).cast("int"), F.lit(None).cast("int")]
+    for w, at in rank.items():
+        if w not in plain:  # of several words: looked for where its letters stand
+            first.append(F.when(low.contains(w) & low.rlike(category_pattern([w])), at))
+    return F.coalesce(F.get(F.array(*[F.lit(name) for name in categories]), F.least(*first) - 1), F.lit("other"))
 
 
 def admitted_parts(captions: DataFrame, ranks: DataFrame, files: DataFrame) -> DataFrame:
