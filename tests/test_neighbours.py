@@ -113,3 +113,19 @@ def test_places_of_one_point_are_one_query(spark):
     frame = spark.createDataFrame(rows, POINTS)
     assert found(frame) == found(frame, few=0) == [(0, 1, 1, 1, 2, 2, 0.5), (0, 2, 2, 1, 1, 1, 0.5), (0, 3, 3, 1, 1, 1, 1.0), (0, 3, 4, 1, 2, 2, 7.5)]
     assert [r for r in found(frame, k=2, other=False) if r[2] == 1] == [(0, 1, 1, 1, 2, 2, 0.5), (0, 1, 1, 2, 3, 3, 1.0)]
+
+
+def test_islands_of_few_points_are_hung_up_in_place(spark):
+    rows = cloud(21, 200, 14, 12)
+    anchors = [(o, 3) for o in range(0, 14, 2)]
+    edges = [(o, 1, 11) for o in range(0, 14, 3)] + [(5, 2, 99), (400, 1, 2)]  # of parts and objects that are not there, too
+    frame = spark.createDataFrame(rows, POINTS)
+    there = {r[:2] for r in rows}
+    held, links = spark.createDataFrame([*anchors, (300, 1)], "oid long, part long"), spark.createDataFrame(edges, "oid long, a long, b long")
+    tell = lambda contacts, **few: sorted((r.oid, r.a, r.b, round(r.gap, 9)) for r in neighbours.virtual_edges(frame, contacts, held, **few).collect())
+    assert tell(links) == tell(links, few=15, leaf=7) == grown(rows, [e for e in edges if {(e[0], e[1]), (e[0], e[2])} <= there], anchors)
+    near = [(o, a, b) for o, a, _, p in rows for v, b, _, q in rows if o == v and a < b and math.dist(p, q) < 0.1]
+    assert tell(0.1) == grown(rows, near, anchors)
+    plan = neighbours.virtual_edges(frame, 0.1, held)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # points and anchors are dealt once, and nothing else is
+    assert neighbours.virtual_edges(frame.limit(0), 0.1, held).collect() == []

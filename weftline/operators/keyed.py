@@ -59,6 +59,11 @@ def resume_point(states: DataFrame, keys: Sequence[str], turn: str = "turn") ->
     return states.groupBy(*keys).agg((F.max(turn) + 1).alias("next_turn"))
 
 
+def dealt(df: DataFrame, *order: str) -> DataFrame:
+    """df dealt by object and in order of it. By a hash of oid: a deal by oid itself is left out where a join has made one, which may then turn into a broadcast that deals nothing."""
+    return df.repartition(F.xxhash64("oid")).sortWithinPartitions("oid", *order)
+
+
 def whole_objects(told: Callable) -> Callable[[Iterator], Iterator]:
     """For mapInArrow over rows in order of oid: told(table) is given whole objects, many at once. What is held is a batch and the object at its end."""
 

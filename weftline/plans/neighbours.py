@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators import graph, neighbours
+from weftline.operators import neighbours
 from weftline.plans.graphs import TAU, points
 from weftline.plans.registry import query, rounded, rounded_sql
 from weftline.session import table
@@ -56,5 +56,5 @@ def part_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def anchoring_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as objects, their first lines as anchors: the edges that hang on them what touches nothing."""
     nodes = points(spark, sf_dir)
-    found = neighbours.virtual_edges(nodes, graph.contact_edges(nodes, TAU), nodes.filter("part = 1").select("oid", "part"))
+    found = neighbours.virtual_edges(nodes, TAU, nodes.filter("part = 1").select("oid", "part"))
     return found.withColumn("gap", rounded(F.col("gap"), 9))
