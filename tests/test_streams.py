@@ -58,6 +58,13 @@ def test_job_outcomes_are_those_of_the_batch(spark):
     assert {r.outcome for r in got} == {"ok", "failed", "compute_timeout", "queue_timeout"} and len(got) == 119
 
 
+def test_job_outcomes_are_told_without_python(spark):
+    folder = jobs.own_folder(spark, "test")
+    stream, _ = streamed(spark, [(1, "submitted", at(0), None)], jobs.JOB_EVENTS, folder, files=1)
+    plan = jobs.stream_job_outcomes(stream, 60)._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithState" not in plan and "session_window" in plan
+
+
 def test_rounds_of_three_legs_are_those_of_the_batch(spark):
     rng = random.Random(5)
     rounds, legs = [], []
