@@ -38,6 +38,18 @@ def test_overlap(spark):
     assert got == {(1, 2): (1000, 125), (2, 1): (1000, 125), (1, 3): (1000, 27), (3, 1): (27, 27), (2, 3): (1000, 27), (3, 2): (27, 27)}
 
 
+def test_overlap_in_memory_is_that_of_the_join(spark):
+    rng = np.random.default_rng(3)
+    shell = np.concatenate([CUBE, CUBE * 0.5 + 0.25]), np.concatenate([SIDES, SIDES + 8])  # hollow: two runs on a line
+    rows = [(int(o), p, (shell[0] * rng.uniform(0.2, 1.5) + rng.uniform(-1, 1, 3)).tolist(), shell[1].tolist()) for o in range(12) for p in range(o)] + [(20, 1, [], []), (20, 2, CUBE.tolist(), SIDES.tolist())]
+    meshes = spark.createDataFrame(rows, MESHES)
+    tell = lambda df: sorted(map(tuple, df.collect()))
+    want = tell(solids.solid_overlap(solids.solids(meshes, 0.1)))
+    assert len(want) > 100 and tell(solids.overlaps(meshes, 0.1)) == want == tell(solids.overlaps(meshes, 0.1, few=150))
+    plan = solids.overlaps(meshes, 0.1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan  # meshes are dealt once, not their runs
+
+
 def plain_radius(points):
     """The smallest of the spheres through two, three or four points that hold all."""
     best = np.inf

@@ -2,7 +2,8 @@
 
 A solid is filled along scan lines: a line through the middles of a row of cells is inside between its first and second crossing of
 the surface, between its third and fourth, and so on. What is inside is kept as runs (j, k, first, last), not as cells, and two
-solids share what their runs on the same line share. A table of runs is joined on the line, so no pair of cells is made.
+solids share what their runs on the same line share. Runs meet on their line, so no pair of cells is made: in memory, whole objects at a time, or
+where an object is large by a join.
 """
 
 from __future__ import annotations
@@ -14,7 +15,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.keyed import dealt, whole_objects
+from weftline.session import shared_folder
+
 LINES = 1 << 20  # triangles are looked at together until they cross so many lines
+FEW = 1 << 16  # triangles of an object up to which its runs meet in memory
+PAIRS = 1 << 20  # of runs that are looked at together
 _OFF = (1.37e-7, 2.71e-7)  # of a cell: lines keep off edges and corners that lie on the middles of cells
 
 
@@ -26,7 +32,8 @@ def runs_of(corners: np.ndarray, owner: np.ndarray, pitch: float) -> np.ndarray:
     turn = one[:, 0] * two[:, 1] - one[:, 1] * two[:, 0]
     across = turn != 0  # the others lie along the lines
     tri, flat, one, two, turn, owner = (x[across] for x in (tri, flat, one, two, turn, owner))
-    low, high = np.floor(flat.min(1) - 0.5).astype(np.int64), np.ceil(flat.max(1) + 0.5).astype(np.int64)
+    least, most = flat.min(1) - 0.5 - _OFF, flat.max(1) - 0.5 - _OFF
+    low, high = (np.ceil(least - 1e-6 - 1e-12 * np.abs(least)).astype(np.int64), np.floor(most + 1e-6 + 1e-12 * np.abs(most)).astype(np.int64) + 1)  # lines that may cross
     span = high - low
     many = span.prod(1)
     until = np.cumsum(many)
@@ -47,8 +54,16 @@ def runs_of(corners: np.ndarray, owner: np.ndarray, pitch: float) -> np.ndarray:
     if not found:
         return np.zeros((0, 5), np.int64)
     met = np.concatenate(found)
-    met = met[np.lexsort(met.T[::-1])]
-    new = np.append(True, (met[1:, :3] != met[:-1, :3]).any(1)) if len(met) else np.zeros(0, bool)
+    least, most = (f(met[:, :3], axis=0, initial=0).astype(np.int64) for f in (np.min, np.max))
+    of, j, k = (most - least + 1).tolist()
+    if of * j * k < 1 << 62:  # a line is a number
+        line = met[:, :3].astype(np.int64) @ np.array([j * k, k, 1])
+        order = np.lexsort((met[:, 3], line))
+        met, line = met[order], line[order]
+        new = np.append(True, line[1:] != line[:-1]) if len(met) else np.zeros(0, bool)
+    else:
+        met = met[np.lexsort(met.T[::-1])]
+        new = np.append(True, (met[1:, :3] != met[:-1, :3]).any(1))
     place = np.arange(len(met)) - np.maximum.accumulate(np.where(new, np.arange(len(met)), 0))
     enters = np.flatnonzero((place[:-1] % 2 == 0) & ~new[1:]) if len(met) else np.zeros(0, int)
     first, last = np.ceil(met[enters, 3] - 0.5), np.ceil(met[enters + 1, 3] - 0.5) - 1
@@ -94,6 +109,76 @@ def solid_overlap(runs: DataFrame) -> DataFrame:
     return shared.join(size, ["oid", "a"]).select("oid", "a", "b", "cells", "shared", (F.col("shared") / F.col("cells")).alias("share"))
 
 
+def shared_cells(obj: np.ndarray, part: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(a, b, shared) of parts a < b that share cells. obj and part: of each run (j, k, first, last), parts numbered so that each is of one object."""
+    none = (np.zeros(0, np.int64),) * 3
+    if not len(runs):
+        return none
+    order = np.lexsort((runs[:, 2], runs[:, 1], runs[:, 0], obj))
+    obj, part, runs = obj[order], part[order], runs[order]
+    line = np.cumsum(np.append(True, (obj[1:] != obj[:-1]) | (runs[1:, :2] != runs[:-1, :2]).any(1)))
+    first, last = runs[:, 2] - runs[:, 2].min(), runs[:, 3] - runs[:, 2].min()
+    width = int(last.max()) + 1
+    many = np.searchsorted(line * width + first, line * width + last, "right") - np.arange(len(runs)) - 1  # those that follow on the line and begin before it ends
+    until = np.cumsum(many)
+    found: list[np.ndarray] = []
+    begin = 0
+    while begin < len(runs):
+        end = max(begin + 1, int(np.searchsorted(until, (until[begin - 1] if begin else 0) + PAIRS, "right")))
+        x = np.repeat(np.arange(begin, end), many[begin:end])
+        y = x + 1 + np.arange(len(x)) - np.repeat(until[begin:end] - many[begin:end] - (until[begin - 1] if begin else 0), many[begin:end])
+        begin = end
+        other = part[x] != part[y]
+        x, y = x[other], y[other]
+        if len(x):
+            found.append(_summed(np.stack([np.minimum(part[x], part[y]), np.maximum(part[x], part[y]), np.minimum(last[x], last[y]) - np.maximum(first[x], first[y]) + 1], 1)))
+    return tuple(_summed(np.concatenate(found)).T) if found else none
+
+
+def _summed(rows: np.ndarray) -> np.ndarray:
+    """Rows (a, b, n), those of the same a and b as one."""
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    new = np.flatnonzero(np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(1)))
+    return np.column_stack([rows[new, :2], np.add.reduceat(rows[:, 2], new)])
+
+
+def overlaps(meshes: DataFrame, pitch: float, few: int = FEW, grouped: bool = False) -> DataFrame:
+    """``solid_overlap`` of a table of closed meshes (oid, part, vertices, faces), each part once: they are dealt by object, and runs of whole objects meet in memory.
+
+    few: objects of more triangles have their runs joined on the line. grouped: meshes come from a grouping that has dealt them by oid.
+    """
+    kinds = dict(meshes.dtypes)
+    shared_folder(meshes.sparkSession)
+    large = meshes.groupBy("oid").agg(F.sum(F.size("faces")).alias("n")).filter(F.col("n") > few).select("oid").checkpoint(eager=True)
+
+    def told(table):
+        import pyarrow as pa
+
+        oid = table["oid"].to_numpy()
+        obj = np.cumsum(np.append(True, oid[1:] != oid[:-1])) - 1
+        points, sides = (table[c].combine_chunks() for c in ("vertices", "faces"))
+        count, triangles = (c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) for c in (points, sides))
+        place = points.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, 3)
+        corner = sides.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, 3)
+        corners = place[corner + np.repeat(np.cumsum(count) - count, triangles)[:, None]]
+        runs = runs_of(corners, np.repeat(np.arange(len(oid)), triangles), pitch)
+        a, b, shared = shared_cells(obj[runs[:, 0]], runs[:, 0], runs[:, 1:])
+        cells = np.zeros(len(oid), np.int64)
+        np.add.at(cells, runs[:, 0], runs[:, 4] - runs[:, 3] + 1)
+        one, two = np.append(a, b), np.append(b, a)
+        both, part = np.append(shared, shared), table["part"]
+        return pa.table({"oid": table["oid"].take(pa.array(one)), "a": part.take(pa.array(one)), "b": part.take(pa.array(two)), "cells": pa.array(cells[one]), "shared": pa.array(both), "share": pa.array(both / cells[one])})
+
+    def in_memory(of: DataFrame, grouped: bool = False) -> DataFrame:
+        schema = f"oid {kinds['oid']}, a {kinds['part']}, b {kinds['part']}, cells long, shared long, share double"
+        rows = of.select("oid", "part", "vertices", "faces")
+        return (rows.repartition("oid").sortWithinPartitions("oid") if grouped else dealt(rows)).mapInArrow(whole_objects(told), schema)
+
+    if large.isEmpty():
+        return in_memory(meshes, grouped)
+    return in_memory(meshes.join(large, "oid", "left_anti")).union(solid_overlap(solids(meshes.join(large, "oid", "left_semi"), pitch)))
+
+
 def _through(points: np.ndarray) -> tuple[np.ndarray, float] | None:
     """The smallest sphere with all of at most four points on it; None where there is none, as with three on a line."""
     first, rest = points[0], points[1:] - points[0]

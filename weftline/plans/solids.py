@@ -37,7 +37,7 @@ _SPANS = ", ".join(f"{_cells(s)[1]} AS {s}a, {_cells(s)[0]} AS {s}b" for s in "x
 )
 def solid_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the boxes of an order that go through each other, how many cells they share; the SQL has it in closed form."""
-    found = solids.solid_overlap(solids.solids(box_meshes(spark, sf_dir), PITCH))
+    found = solids.overlaps(box_meshes(spark, sf_dir), PITCH, grouped=True)
     return found.withColumn("share", rounded(F.col("share"), 6))
 
 
