@@ -430,6 +430,13 @@ def test_retexture_legs_by_hand(spark):
     assert rows(review.retexture_legs(rounds, legs), "job") == [(1, 2.0, 3.0, 6.0, None), (2, 0.0, 1.0, 1.0, None), (3, None, None, None, "render"), (4, 1.0, None, None, "restyle")]
 
 
+def test_jobs_of_a_table_are_dealt_once_a_side(spark):
+    from weftline.plans.ledger import retexture_legs
+
+    plan = retexture_legs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2 and plan.count("Join") == 1
+
+
 def test_stale_faces_by_hand(spark):
     """One piece moved, one is new, one gone; far away, one is blocked by the moved one, one lies alone, one has no box."""
     box = lambda x: ([float(x), 0.0, 0.0], [x + 1.0, 1.0, 1.0])

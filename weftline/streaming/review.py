@@ -164,17 +164,15 @@ def retexture_legs(rounds: DataFrame, legs: DataFrame) -> DataFrame:
     """(job, t_render, t_restyle, t_texture, missing) of rounds (job, ts, rendered): each leg (job, leg, done) is timed from the end of the one before.
 
     A render that is already there takes no time. missing names the first leg without an end; what follows it has no time.
-    Times are seconds. Three joins that follow each other, by the job.
+    Times are seconds. The three ends of a job are one grouping, and one join by the job.
     """
-    out = rounds.withColumns({"end": F.col("ts"), "missing": F.lit(None).cast("string")})
+    ends = legs.groupBy("job").agg(*[F.min(F.when(F.col("leg") == leg, F.col("done"))).alias(f"_{leg}") for leg in LEGS])
+    out = rounds.join(ends, "job", "left").withColumns({"end": F.col("ts"), "missing": F.lit(None).cast("string")})
     for leg in LEGS:
-        ends = legs.filter(F.col("leg") == leg).groupBy("job").agg(F.min("done").alias("done"))
-        out = out.join(ends, "job", "left")
-        if leg == LEGS[0]:
-            out = out.withColumn("done", F.when(F.col("rendered"), F.col("ts")).otherwise(F.col("done")))
-        out = out.withColumn("missing", F.coalesce("missing", F.when(F.col("done").isNull(), leg)))
-        reached = F.when(F.col("missing").isNull(), F.col("done"))
-        out = out.withColumn(f"t_{leg}", reached - F.col("end")).withColumn("end", reached).drop("done")
+        done = F.when(F.col("rendered"), F.col("ts")).otherwise(F.col(f"_{leg}")) if leg == LEGS[0] else F.col(f"_{leg}")
+        out = out.withColumn("missing", F.coalesce("missing", F.when(done.isNull(), leg)))
+        reached = F.when(F.col("missing").isNull(), done)
+        out = out.withColumn(f"t_{leg}", reached - F.col("end")).withColumn("end", reached)
     return out.select("job", *[f"t_{leg}" for leg in LEGS], "missing")
 
 
