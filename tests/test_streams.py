@@ -87,6 +87,41 @@ def test_rounds_of_three_legs_are_those_of_the_batch(spark):
     assert {r.missing for r in got} == {None, *review.LEGS}
 
 
+def test_rounds_of_legs_are_told_once_by_one_aggregate(spark):
+    """Rounds of a job over days, near and across the starts of windows; ends that are repeated, too early, just in time and too late."""
+    rng = random.Random(7)
+    rounds, legs, want = [], [], []
+    for job in range(40):
+        for day in range(3):
+            t = day * 86_400 + (21_600 - rng.randrange(1, 3600) if job % 2 else rng.randrange(0, 80_000))
+            rounds += [(job, at(t), job % 5 == 0)] * (2 if job == 7 else 1)
+            ends = {leg: [t + s for s in rng.sample([-5, 0, 1, 900, 1800, 3599, 3600, 3601, 3700], rng.randrange(4))] for leg in review.LEGS}
+            legs += [(job, leg, at(e)) for leg, es in ends.items() for e in es]
+            first = {leg: min((e * 1_000_000 for e in es if 0 <= e - t <= 3600), default=None) for leg, es in ends.items()}
+            want += [(job, t * 1_000_000, t * 1_000_000 if job % 5 == 0 else first["render"], first["restyle"], first["texture"])] * (2 if job == 7 else 1)
+    folder = jobs.own_folder(spark, "test")
+    a, beat_a = streamed(spark, rounds, "job long, at timestamp, rendered boolean", f"{folder}/rounds", 4, mixed=0)
+    b, beat_b = streamed(spark, legs, "job long, leg string, at timestamp", f"{folder}/legs", 4, mixed=0)
+    stream = jobs.stream_retexture_legs(a, b, late="1 minute")
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert "Join" not in plan and plan.count("Aggregate") == 1
+    got = jobs.to_end(spark, folder, stream, (beat_a, beat_b), END).collect()
+    zero = ZERO.replace(tzinfo=dt.timezone.utc).timestamp() * 1_000_000
+    us = lambda x: x if x is None else int(x - zero)
+    assert sorted(((r.job, (r.ts - ZERO) // dt.timedelta(microseconds=1), us(r.render), us(r.restyle), us(r.texture)) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_events_without_number_or_value_have_no_ends(spark, tmp_path):
+    from weftline.plans.streams import stream_retexture_legs
+
+    rows = [(1, at(0), "view", 20.0, '{"k": 1}'), (2, at(5), "click", 20.0, '{"k": 1}'), (3, at(9), "click", 20.0, None), (4, at(9), "view", None, '{"k": 1}'), (5, at(9), "click", None, '{"k": 1}'), (6, at(9), "view", 20.0, "{}"), (7, at(9), None, 20.0, '{"k": 1}')]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    told = {r.job: tuple(r)[1:] for r in stream_retexture_legs(spark, str(tmp_path)).collect()}
+    s = 1_000_000
+    whole = (20 * s, 100 * s, 200 * s, None)
+    assert told == {1: (0, 120 * s, 200 * s, None), 2: whole, 3: (None, None, None, "render"), 4: (0, None, None, "restyle"), 5: (None, None, None, "render"), 6: (0, 120 * s, None, "texture"), 7: whole}
+
+
 MEMO = "sig long, pid long, kind string, at timestamp, ord long, verb string, arg string"
 
 

@@ -66,11 +66,12 @@ def stream_retexture_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as rounds of three legs; views have their render already."""
     folder = jobs.own_folder(spark, "legs")
     events, beat = _events(spark, sf_dir, folder)
-    rounds = events.select(F.col("event_id").alias("job"), _later(F.lit(0)), (F.col("event_type") == "view").alias("rendered"))
-    legs = [("render", _k() % 5 != 0, F.lit(0)), ("restyle", F.col("value") > 10, F.lit(100_000_000)), ("texture", _k() % 7 != 0, F.lit(300_000_000))]
-    rows = [F.when(F.coalesce(there, F.lit(True)), F.struct(F.col("event_id").alias("job"), F.lit(leg).alias("leg"), _later(us + _cents() * 10_000))) for leg, there, us in legs]
-    ends = events.select(F.explode(F.filter(F.array(*rows), lambda r: r.isNotNull())).alias("r")).select("r.*")
-    told = jobs.to_end(spark, folder, jobs.stream_retexture_legs(rounds, ends, late="1 hour"), (beat,), _END)
+    took, none = _cents() * 10_000, F.lit(None).cast("boolean")
+    kinds = [(jobs.BEGUN, F.lit(True), F.lit(0), F.col("event_type") == "view"), ("render", _k() % 5 != 0, took, none), ("restyle", F.col("value") > 10, took + 100_000_000, none), ("texture", _k() % 7 != 0, took + 300_000_000, none)]
+    beats = F.col("event_id").isNull()  # an event without a number or a value has no ends; a heartbeat keeps its rows
+    rows = [F.when(beats | (there & us.isNotNull()), F.struct(F.col("event_id").alias("job"), F.lit(leg).alias("leg"), _later(us), rendered.alias("rendered"))) for leg, there, us, rendered in kinds]
+    log = events.select(F.explode(F.filter(F.array(*rows), lambda r: r.isNotNull())).alias("r")).select("r.*")
+    told = jobs.to_end(spark, folder, jobs.rounds_told(jobs.watched(log, "job", "1 hour")), (beat,), _END)
     return jobs.legs_told(told)
 
 
