@@ -573,6 +573,18 @@ def test_vetoes_stand_for_all_slots_of_a_signature(spark):
     assert len(by_slot) > 6 and all(told == by_slot[min(s for s in by_slot if s % 6 == slot % 6)] for slot, told in by_slot.items())
 
 
+def test_pairs_in_blocks_are_all_pairs_and_are_spread(spark):
+    """More rows than a block on either side, rows without a partner, null values and keys; few signatures are many tasks, and no pair is shuffled."""
+    verdicts = spark.range(1800).selectExpr("CASE WHEN id % 3 < 2 THEN id % 3 WHEN id % 2 = 0 THEN 7 END AS sig", "id AS event_id", "nullif(id % 5, 4) AS pid")
+    slots = spark.range(1500).selectExpr("CASE WHEN id % 2 = 0 THEN 0 WHEN id % 5 = 0 THEN 1 WHEN id % 5 = 1 THEN 8 END AS sig", "nullif(id, 10) AS slot")
+    got = annotate.paired_in_blocks(verdicts, slots)
+    told = lambda df: df.select(F.count("*"), F.sum(F.xxhash64("event_id", "pid", "slot").cast("decimal(38,0)")), F.countDistinct("event_id", "slot")).first()
+    assert told(got) == told(annotate.paired(verdicts, slots)) and got.count() == 600 * 750 + 600 * 150
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate inline(_asked") < plan.index("Generate inline(_told") < plan.index("Join") < plan.index("Exchange")
+    assert got.groupBy(F.spark_partition_id()).count().count() >= 3
+
+
 def test_transforms_near_a_bound_are_told_as_in_the_sql(spark, tmp_path):
     """Where least singular values are within a hundredth of 1e-5, rounding decides, and it must do so alike."""
     from weftline import catalog
